@@ -9,6 +9,7 @@ MODULES = {
     "op1_bpe": "bpe",
     "op3_exact_dedup": "exact_dedup",
     "op5_chat_format": "chat_format",
+    "op7_ngram_jaccard": "ngram_jaccard",
     "op9_quality_rules": "quality_rules",
 }
 
