@@ -11,6 +11,7 @@ MODULES = {
     "op5_chat_format": "chat_format",
     "op7_ngram_jaccard": "ngram_jaccard",
     "op9_quality_rules": "quality_rules",
+    "op10_source_mix": "source_mix",
 }
 
 
