@@ -7,6 +7,7 @@ import importlib
 #: Query name -> module.
 MODULES = {
     "op1_bpe": "bpe",
+    "op2_quality_mil": "quality_mil",
     "op3_exact_dedup": "exact_dedup",
     "op5_chat_format": "chat_format",
     "op7_ngram_jaccard": "ngram_jaccard",
