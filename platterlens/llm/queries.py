@@ -10,6 +10,7 @@ MODULES = {
     "op2_quality_mil": "quality_mil",
     "op3_exact_dedup": "exact_dedup",
     "op5_chat_format": "chat_format",
+    "op6_suffix_dedup": "suffix_dedup",
     "op7_ngram_jaccard": "ngram_jaccard",
     "op8_language_id": "language_id",
     "op9_quality_rules": "quality_rules",
