@@ -31,6 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    spark.sparkContext._jvm.System.gc()  # Spark's cleaner then deletes the shuffle files of lineages cut before
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,13 +3,14 @@
 1. Sets. A document's set holds 64-bit hashes of its distinct k-word runs. Documents with equal sets form a class, known
    by (size, hash of the set); from here on one document stands for its class, so copies cost nothing.
 2. Tiles. Shingles are put in one order for all documents: those that many documents hold last, the others by hash. Two
-   sets that link must share one of their first size - ceil(t * size) + 1 shingles, so each class goes to the tiles of
-   those shingles. A tile is sorted by size and only sizes within the band that t allows meet.
+   sets that link must share c of their first size - ceil(t * size) + c shingles, so each class goes to the tiles of
+   those shingles, with c about a twenty-fifth of its size; a class with fewer than c tiles that hold another class can't
+   link and leaves. A tile is sorted by size and only sizes within the band that t allows meet.
 3. Stars. In each tile every class is paired with a few leaders (lowest ids) of its band; the leaders that a class shares
    most tiles with are compared exactly. That joins nearly all of a large group without naming its pairs.
 4. Rest. In tiles that still hold more than one component, classes of different components meet through bitmap
-   signatures: the bits of one that the other lacks bound the overlap from above. What passes is compared exactly, by
-   intersection of sorted arrays. Nothing is capped: every pair that could link is in one component already, refused by
+   signatures: the bits of one that the other lacks bound the overlap from above. Pairs that pass in c tiles or more are
+   compared exactly, by intersection of sorted arrays. Nothing is capped: every pair that could link is in one component already, refused by
    a bound, or compared.
 
 Tiles, stars and rest are shuffles by key; no pairs of equal or already joined documents are made, and no set, link or
@@ -38,7 +39,7 @@ from .components import components
 #: Shingles counted as common: those above one in COMMON of all shingle occurrences; there can't be more than COMMON.
 COMMON = 1 << 19
 #: Leaders a class is paired with in a tile, and leaders it is compared with.
-LEADERS, COMPARED = 4, 2
+LEADERS, COMPARED = 4, 1
 #: Stands for a null id within: smaller than any other.
 LOWEST = -(1 << 63)
 #: Members that one task compares with a leader.
@@ -58,8 +59,14 @@ def class_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
+def least_shared(n: int) -> int:
+    """Tiles that sets of n shingles or more share if they link."""
+    return 1 + n // 25
+
+
 def prefix_size(n: int, num: int, den: int) -> int:
-    return n - -(-num * n // den) + 1
+    """The first so many shingles of sets that link have least_shared(the smaller size) in common."""
+    return min(n, n - -(-num * n // den) + least_shared(n))
 
 
 def _bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
@@ -69,42 +76,41 @@ def _bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
 def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
     """Sorted hashes of common shingles, each with its rank by count.
 
-    A task counts the distinct sets it sees and passes on what holds at least one in COMMON of its own occurrences: a
-    shingle above that share of all occurrences is above it in some task. At most COMMON reach the driver, 8 MB.
+    A task counts the distinct texts it sees and passes on what holds at least one in COMMON of its own occurrences: a
+    shingle above that share of all occurrences is above it in some task. At most COMMON reach the driver, 8 MB. The
+    counts only choose the order; any order gives the same links.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen, held, total = WordHashes(), set(), [], 0
+        table, seen, total, size = WordHashes(), set(), 0, 0
         pending: list[np.ndarray] = []
-        size = 0
-
-        def fold() -> None:
-            nonlocal pending, size, held
-            values = np.concatenate([h for h, _ in held] + pending) if pending or held else np.empty(0, np.uint64)
-            weights = np.concatenate([c for _, c in held] + [np.ones(size, np.int64)])
-            order = np.argsort(values, kind="stable")
-            values, weights = values[order], weights[order]
-            first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
-            held = [(values[first], np.add.reduceat(weights, first))] if len(first) else []
-            pending, size = [], 0
+        held = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+        def fold() -> tuple[np.ndarray, np.ndarray]:
+            values, counts = np.unique(np.concatenate(pending), return_counts=True)
+            both = np.concatenate([held[0], values])
+            order = np.argsort(both, kind="stable")
+            both = both[order]
+            first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+            return both[first], np.add.reduceat(np.concatenate([held[1], counts])[order], first)
 
         for batch in batches:
             for data in _bytes(batch, "text"):
-                s = word_shingles(data, k, table)
-                key = class_of(s)
-                if len(s) and key not in seen:
-                    seen.add(key)
-                    pending.append(s)
-                    size += len(s)
-                    total += len(s)
-                    if size > 4_000_000:
-                        fold()
-        fold()
-        if held:
-            values, counts = held[0]
-            often = counts >= max(4, total / COMMON)
-            yield pa.RecordBatch.from_arrays([pa.array(values[often].astype(np.int64)), pa.array(counts[often]), pa.array(np.zeros(often.sum(), np.int64))], ["shingle", "n", "total"])
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], ["shingle", "n", "total"])
+                key = xxhash.xxh3_64_intdigest(data)
+                if key in seen:
+                    continue
+                seen.add(key)
+                runs = shingle_hashes(table.of(data.lower().split()), k)
+                pending.append(runs)
+                size += len(runs)
+                total += len(runs)
+                if size > 4_000_000:
+                    held, pending, size = fold(), [], 0
+        if size:
+            held = fold()
+        often = held[1] >= max(4, total / COMMON)
+        columns = np.r_[held[0][often].astype(np.int64), 0], np.r_[held[1][often], 0], np.r_[np.zeros(often.sum(), np.int64), total]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["shingle", "n", "total"])
 
     counted = written(texts.select("text").mapInArrow(count, "shingle long, n long, total long").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "counts")
     total = counted.agg(F.sum("total")).first()[0] or 0
@@ -185,19 +191,26 @@ def _runs(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.r_[starts, len(tokens)])
 
 
-def shared_tiles(classes: DataFrame) -> DataFrame:
-    """(token, n, cid) of tiles with two classes or more."""
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token and class, those of tokens with two classes or more, each class once."""
+    for pdf in _tiles(batches):
+        t, c = pdf["token"].to_numpy(), pdf["cid"].to_numpy()
+        pdf = pdf[np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])]]
+        _, sizes = _runs(pdf["token"].to_numpy())
+        yield pa.RecordBatch.from_pandas(pdf[np.repeat(sizes > 1, sizes)], preserve_index=False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pdf in _tiles(batches):
-            t, c = pdf["token"].to_numpy(), pdf["cid"].to_numpy()
-            new = np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])]
-            pdf = pdf[new]
-            starts, sizes = _runs(pdf["token"].to_numpy())
-            yield pa.RecordBatch.from_pandas(pdf[np.repeat(sizes > 1, sizes)], preserve_index=False)
 
-    rows = classes.filter("tokens is not null").select("n", "cid", "tokens").mapInArrow(_spread, "token long, n long, cid long")
-    return written(rows.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(run, "token long, n long, cid long"), "tiles")
+def shared_tiles(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(token, n, cid) of tiles with two classes or more, of classes that have enough of them to link."""
+    shape = "token long, n long, cid long"
+    rows = classes.filter("tokens is not null").select("n", "cid", "tokens").mapInArrow(_spread, shape)
+    first = written(rows.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(_shared, shape), "tiles")
+    smaller = F.floor((F.col("n") * num + den - 1) / den)
+    enough = first.groupBy("cid", "n").count().filter(F.col("count") >= 1 + F.floor(smaller / 25)).select("cid")
+    left = first.join(enough, "cid", "left_semi").select("token", "n", "cid")
+    tiles = written(left.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(_shared, shape), "tiles")
+    drop_written(first)
+    return tiles
 
 
 def leader_pairs(tiles: DataFrame, num: int, den: int) -> DataFrame:
@@ -229,8 +242,8 @@ def leader_pairs(tiles: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Bitmap of a set, with about sixteen bits for each shingle."""
-    bits = 1 << max(6, int(16 * len(s) - 1).bit_length())
+    """Bitmap of a set, with four to eight bits for each shingle."""
+    bits = 1 << max(6, int(4 * len(s) - 1).bit_length())
     flags = np.zeros(bits, np.uint8)
     flags[(mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)) & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags).tobytes()
@@ -290,11 +303,16 @@ def rest_pairs(tiles: DataFrame, held: DataFrame, roots: DataFrame, num: int, de
     """(a, b) of different components that share a tile and that bitmaps can't refuse."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said: set = set()
+        said: dict[tuple[int, int], list[int]] = {}
+
+        def told() -> pa.RecordBatch:
+            rows = [(a, b, *x) for (a, b), x in said.items()]
+            said.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(4)], ["a", "b", "times", "need"])
+
         for pdf in _tiles(batches):
             starts, sizes = _runs(pdf["token"].to_numpy())
             n, c, root, sigs = (pdf[x].to_numpy() for x in ("n", "cid", "root", "sig"))
-            found = []
             for start, m in zip(starts.tolist(), sizes.tolist()):
                 mine = slice(start, start + m)
                 if m < 2 or (root[mine] == root[start]).all():
@@ -313,26 +331,43 @@ def rest_pairs(tiles: DataFrame, held: DataFrame, roots: DataFrame, num: int, de
                         size[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(axis=1, dtype=np.int64),
                         size[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(axis=1, dtype=np.int64),
                     )
+                    need = least_shared(int(size[i]))
                     for x in ids[j[den * over >= num * (size[i] + size[j] - over)]].tolist():
                         pair = (min(int(ids[i]), x), max(int(ids[i]), x))
-                        if pair not in said:
-                            said.add(pair)
-                            found.append(pair)
-                if len(said) > 1_000_000:
-                    said.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    known = held.select("cid", "sig").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("cid", "sig", F.coalesce("root", "cid").alias("root"))
-    rows = tiles.join(known, "cid")
-    mixed_tiles = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
-    return rows.join(mixed_tiles, "token", "left_semi").select("token", "n", "cid", "root", "sig").repartition("token").sortWithinPartitions("token", "cid").mapInArrow(run, "a long, b long").distinct()
+                        if pair in said:
+                            said[pair][0] += 1
+                        else:
+                            said[pair] = [1, need]
+            if len(said) > 500_000:
+                yield told()
+        yield told()
+
+    known = roots.select(F.col("node").alias("cid"), "root")
+    rows = tiles.join(known, "cid", "left").select("token", "n", "cid", F.coalesce("root", "cid").alias("root"))
+    shape = "token long, n long, cid long, root long"
+    crossing = rows.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(lambda batches: _crossing(batches, num, den), shape)
+    signed = crossing.join(held.select("cid", "sig"), "cid").select("token", "n", "cid", "root", "sig")
+    pairs = signed.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(run, "a long, b long, times long, need long")
+    return pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.first("need").alias("need")).filter("times >= need").select("a", "b")
+
+
+def _crossing(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Of tiles sorted by token and size, the rows whose band holds more than one component."""
+    for pdf in _tiles(batches):
+        t, n, root = (pdf[x].to_numpy() for x in ("token", "n", "root"))
+        starts, sizes = _runs(t)
+        tile = np.repeat(np.arange(len(starts)), sizes).astype(np.int64) << 32
+        key = tile + n
+        lo, hi = np.searchsorted(key, tile - (-num * n // den)), np.searchsorted(key, tile + n * den // num, side="right")
+        changes = np.cumsum(np.r_[0, root[1:] != root[:-1]])
+        yield pa.RecordBatch.from_pandas(pdf[changes[hi - 1] > changes[lo]], preserve_index=False)
 
 
 def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, n, component_id) for every row of docs (doc_id, text); similarity num / den or more links."""
     texts = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     classes = class_table(texts, k, num, den)
-    tiles = shared_tiles(classes)
+    tiles = shared_tiles(classes, num, den)
     held = payloads(texts, classes, tiles.select("cid").distinct(), k)
     stars = compared(leader_pairs(tiles, num, den), held, k, num, den)
     roots = written(components(stars), "roots")
