@@ -9,6 +9,7 @@ MODULES = {
     "op1_bpe": "bpe",
     "op2_quality_mil": "quality_mil",
     "op3_exact_dedup": "exact_dedup",
+    "op4_license_scan": "license_scan",
     "op5_chat_format": "chat_format",
     "op6_suffix_dedup": "suffix_dedup",
     "op7_ngram_jaccard": "ngram_jaccard",
