@@ -1,11 +1,15 @@
-"""Queries over the driver's tables, each with its SQL."""
+"""Queries over the driver's tables, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
+from . import counting_queries, matching_queries, text_queries
+
+_ALL = matching_queries.QUERIES | counting_queries.QUERIES | text_queries.QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
