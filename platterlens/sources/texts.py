@@ -17,7 +17,7 @@ def cues(files: DataFrame) -> DataFrame:
     blocks = files.select("stream_id", F.posexplode(F.split(plain, r"\n[ \t]*\n+")).alias("seq", "block"))
     pattern = r"(?s)^\s*(?:[0-9]+\s*\n)?\s*([0-9:.,]+)\s*-->\s*([0-9:.,]+)[^\n]*\n?(.*)$"
     part = lambda i: F.regexp_extract("block", pattern, i)
-    return blocks.select("stream_id", "seq", parse_timestamp(part(1)).alias("start_ms"), parse_timestamp(part(2)).alias("end_ms"), F.rtrim(part(3)).alias("text")).filter("start_ms is not null and end_ms is not null")
+    return blocks.select("stream_id", "seq", parse_timestamp(part(1)).alias("start_ms"), parse_timestamp(part(2)).alias("end_ms"), F.regexp_replace(part(3), r"\s+$", "").alias("text")).filter("start_ms is not null and end_ms is not null")
 
 
 def subtitle_text(rows: DataFrame) -> DataFrame:
