@@ -232,11 +232,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
 def unpacked(ids: Column) -> Column:
     """Packed ids as array<bigint>, with JVM functions."""
-    n = F.octet_length(ids).cast("int") / 4
-    return F.transform(
-        F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.conv(F.hex(F.reverse(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.substring(ids, i * 4 + k, F.lit(1))))[0]), 16, 10).cast("long"),
-    )
+    n = (F.octet_length(ids) / 4).cast("int")
+    last_first = lambda i: F.concat(*(F.hex(F.substring(ids, i * 4 + k, F.lit(1))) for k in (4, 3, 2, 1)))
+    return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.conv(last_first(i), 16, 10).cast("long"))
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
