@@ -4,7 +4,7 @@
    target stops at `most` times its source's words, and what is over is shared again by weight until no target is above.
 2. Blocks. A source's documents are dealt by a seeded hash into blocks of about BLOCK documents. Whole passes take every
    block once; what a target asks beyond whole passes is a draw without replacement: blocks in a seeded order until the
-   words are reached, the last one only in part: those of its documents that bring the sum nearest, of a few greedy tries.
+   words are reached, the last one only in part: those of its documents that bring the sum nearest.
 3. Splitting tree. The output shards are the leaves of a binary tree. At each node the exact numbers of blocks of every
    source are split between the two sides by a multivariate-hypergeometric draw, seeded by the node, so every shard
    gets an exact quota of every source and the quotas add up. Blocks in seeded order fill the quotas, so they are
@@ -30,7 +30,10 @@ from .common import WORD, documents
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: Documents in a block, about.
 BLOCK = 512
-SHARDS = 64
+#: Output shards at least, blocks in a shard, about, and shards whose bounds are searched together.
+SHARDS, SHARD_BLOCKS, CHUNK = 64, 1024, 256
+#: Words missing from which a boundary block is filled exactly, and ranges that a source's blocks are summed in first.
+FINE, RANGES = 65_536, 1024
 
 
 def word_count(text: Column) -> Column:
@@ -72,22 +75,32 @@ def quotas(blocks: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def nearest(sizes: list[int], want: float) -> list[int]:
-    """Places in sizes (largest first) whose sum comes near to want: largest first while they fit, from several starts,
-    and then perhaps one more that overshoots by less than was missing."""
-    best, best_miss = [], want
-    for start in range(min(len(sizes), 32)):
-        got, taken = 0, []
-        for i in range(start, len(sizes)):
-            if got + sizes[i] <= want:
-                got += sizes[i]
-                taken.append(i)
-        rest = set(range(len(sizes))).difference(taken)
-        if rest and abs(got + sizes[i := min(rest, key=lambda i: (abs(got + sizes[i] - want), i))] - want) < want - got:
-            got += sizes[i]
+    """Places in sizes (largest first) whose sum comes nearest to want: largest first while much is missing, then exactly,
+    by the set of all sums that the rest can make, as bits of a number."""
+    taken, rest, left = [], [], want
+    for i, size in enumerate(sizes):
+        if left > FINE and size <= left:
             taken.append(i)
-        if abs(got - want) < best_miss:
-            best, best_miss = taken, abs(got - want)
-    return best
+            left -= size
+        elif 0 < size < 2 * left:
+            rest.append(i)
+    if left > FINE:  # whatever is left is larger than what is missing, so at most one goes in
+        best = min(rest, key=lambda i: (abs(sizes[i] - left), i), default=None)
+        return taken + [best] * (best is not None and abs(sizes[best] - left) < left)
+    rest = [i for i in rest if sizes[i] < 2 * left]
+    mask, reach = (1 << int(2 * left) + 1) - 1, [1]
+    for i in rest:
+        reach.append((reach[-1] | reach[-1] << sizes[i]) & mask)
+    at = int(left)
+    low = (reach[-1] & ((1 << at + 1) - 1)).bit_length() - 1
+    above = reach[-1] >> at + 1
+    high = at + (above & -above).bit_length() if above else None
+    total = high if high is not None and high - left < left - low else low
+    for k in range(len(rest), 0, -1):
+        if not reach[k - 1] >> total & 1:
+            taken.append(rest[k - 1])
+            total -= sizes[rest[k - 1]]
+    return taken
 
 
 def _nearest(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -98,7 +111,22 @@ def _nearest(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source_no": pdf["source_no"].iloc[:1], "block": pdf["block"].iloc[:1], "drawn": [drawn]})
 
 
-def draw(docs: DataFrame, seed: int = 17, shards: int = SHARDS) -> DataFrame:
+def running(rows: DataFrame, order: Column, ties: list[str], value: Column, name: str) -> DataFrame:
+    """rows with the sum of value over their source's rows up to each, in the given order of hashes.
+
+    Hashes fall in RANGES ranges: each is summed first, those few sums run through, and only rows of one range are sorted
+    together, so a source with a third of all rows is a thousand keys.
+    """
+    ranged = rows.withColumns({"__order": order, "__value": value}).withColumn("__range", F.shiftright("__order", 64 - RANGES.bit_length() + 1))
+    sums = ranged.groupBy("source_no", "__range").agg(F.sum("__value").alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy("source_no").orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__sum")
+    starts = sums.select("source_no", "__range", before.alias("__before"))
+    within = Window.partitionBy("source_no", "__range").orderBy("__order", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    own = F.sum("__value").over(within)
+    return ranged.join(starts, ["source_no", "__range"]).withColumn(name, own + F.col("__before")).drop("__order", "__value", "__range", "__before")
+
+
+def draw(docs: DataFrame, seed: int = 17, shards: int | None = None) -> DataFrame:
     """docs with size, source_size, target and units: for each time the row is taken, its pass, shard and place there."""
     spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "units")]
@@ -116,9 +144,8 @@ def draw(docs: DataFrame, seed: int = 17, shards: int = SHARDS) -> DataFrame:
 
     # blocks: sums fold in the map tasks; windows run over blocks, not documents
     blocks = keyed.groupBy("source_no", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
-    order = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(seed), "source_no", "block"), "block")
     want = F.col("target") - F.col("passes") * F.col("source_size")
-    blocks = blocks.withColumns({"end": F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)), "want": want})
+    blocks = running(blocks, F.xxhash64(F.lit(seed), "source_no", "block"), ["block"], F.col("words"), "end").withColumn("want", want)
     blocks = blocks.withColumn("want", F.col("want") - (F.col("end") - F.col("words")))
     blocks = blocks.select("source_no", "block", "passes", "want", (F.col("want") >= F.col("words")).alias("whole"), ((F.col("want") > 0) & (F.col("want") < F.col("words"))).alias("part"))
     boundary = blocks.filter("part").select("source_no", "block", "want")
@@ -129,14 +156,14 @@ def draw(docs: DataFrame, seed: int = 17, shards: int = SHARDS) -> DataFrame:
     units = blocks.withColumn("pass", F.explode(F.filter(F.sequence(F.lit(0), F.lit(int(MOST))), lambda p: p < F.col("passes") + last)))
     per = {r[0]: r[1] for r in units.groupBy("source_no").count().collect()}
     numbers = sorted(per)
+    shards = shards or max(SHARDS, -(-sum(per.values()) // SHARD_BLOCKS))
     split = quotas([per[i] for i in numbers], shards, seed).cumsum(axis=0)
-    ranges = spark.createDataFrame(
-        [(i, shard, int(split[shard - 1, k]) if shard else 0, int(split[shard, k])) for k, i in enumerate(numbers) for shard in range(shards)],
-        "source_no int, shard int, lo long, hi long",
-    )
-    rank = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(seed + 1), "source_no", "block", "pass"), "block", "pass")
-    ranked = units.withColumn("rank", F.row_number().over(rank) - 1)
-    dealt = ranked.join(ranges.filter("lo < hi"), "source_no").filter("rank >= lo AND rank < hi")
+    chunks = [[split[at : at + CHUNK, k].tolist() for at in range(0, shards, CHUNK)] for k in range(len(numbers))]
+    bounds = spark.createDataFrame([(i, c, [x[-1] for x in c]) for i, c in zip(numbers, chunks)], "source_no int, bounds array<array<bigint>>, lasts array<bigint>")
+    ranked = running(units, F.xxhash64(F.lit(seed + 1), "source_no", "block", "pass"), ["block", "pass"], F.lit(1).cast("long"), "rank")
+    below = lambda found: F.size(F.filter(found, lambda b: b < F.col("rank")))
+    dealt = ranked.join(bounds, "source_no").withColumn("__chunk", below(F.col("lasts")))
+    dealt = dealt.withColumn("shard", F.col("__chunk") * CHUNK + below(F.get("bounds", F.col("__chunk"))))
     dealt = dealt.groupBy("source_no", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("dealt"))
     dealt = dealt.join(blocks.filter("part").select("source_no", "block", "passes", F.lit(True).alias("part")), ["source_no", "block"], "left").join(parts, ["source_no", "block"], "left")
     taken = keyed.join(dealt.withColumnRenamed("passes", "__passes"), ["source_no", "block"], "left")
@@ -145,7 +172,7 @@ def draw(docs: DataFrame, seed: int = 17, shards: int = SHARDS) -> DataFrame:
     return taken.select(*own, "size", "source_size", "target", F.coalesce(units_of, F.array().cast("array<struct<pass:int,shard:int,place:bigint>>")).alias("units"))
 
 
-def mix(docs: DataFrame, seed: int = 17, shards: int = SHARDS) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, shards: int | None = None) -> DataFrame:
     """One row for each time a row of docs is taken, with its shard, and its place in the shard's own shuffle."""
     own = [c for c in docs.columns if c not in ("shard", "place", "pass")]
     return draw(docs, seed, shards).select(*own, F.explode("units").alias("__u")).select(*own, "__u.pass", "__u.shard", "__u.place")
