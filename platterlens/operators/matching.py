@@ -140,3 +140,18 @@ def similar_frames(frames: DataFrame, bands: int = 16, tolerance: int = 8) -> Da
     hit = met.filter(distance <= tolerance).select(F.col("a.title").alias("a"), F.col("a.frame_pos").alias("frame_pos"), F.col("b.title").alias("b")).distinct()
     n = frames.groupBy(F.col("title").alias("a")).agg(F.count("*").alias("n"))
     return hit.groupBy("a", "b").agg(F.count("*").alias("hits")).join(n, "a").select("a", "b", "hits", "n")
+
+
+def extended_cuts(frames: DataFrame, loose: DataFrame, episodes: DataFrame, least: float = 0.15) -> DataFrame:
+    """(key, episode, share): for each of loose (key) the one of episodes (key, episode_pos) most of whose frames it has,
+    the FIRST of equals, if that is `least` of them or more. frames as in similar_frames."""
+    found = similar_frames(frames).withColumn("share", F.col("hits") / F.col("n"))
+    met = found.join(episodes.select(F.col("key").alias("a"), "episode_pos"), "a").join(loose.select(F.col("key").alias("b")), "b")
+    best = met.groupBy("b").agg(F.max(F.struct("share", (-F.col("episode_pos")).alias("p"), "a")).alias("x"))
+    return best.filter(F.col("x.share") >= least).select(F.col("b").alias("key"), F.col("x.a").alias("episode"), F.col("x.share").alias("share"))
+
+
+def dangling(references: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of references (owner, ref_pos, id) those (owner, ref_pos) none of whose ids is among ids (owner, id)."""
+    there = references.join(ids, ["owner", "id"], "left_semi").select("owner", "ref_pos").distinct()
+    return references.select("owner", "ref_pos").distinct().join(there, ["owner", "ref_pos"], "left_anti")
