@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 #: A word is a run of bytes other than ASCII white space, which is what bytes.split() gives.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries a worker's word table holds before it starts afresh; it bounds memory and changes no result.
-WORD_TABLE = 400_000
+WORD_TABLE = 100_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +57,26 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of at most so many rows, which bounds what a worker holds as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def smallest(rows: DataFrame, order: str, n: int, *ties: str) -> DataFrame:
+    """The n rows with the smallest 64-bit hashes in column `order`, or a few less.
+
+    The number of rows gives the hash that about n lie below, with a margin of six deviations; only those are sorted, so
+    what one task gathers is about n rows, whatever the input.
+    """
+    total = rows.count()
+    if total > n:
+        share = (n + 6 * n**0.5 + 6) / total
+        rows = rows.filter(F.col(order) < min(-(1 << 63) + int(share * (1 << 64)), (1 << 63) - 1))
+    return rows.orderBy(order, *ties).limit(n)
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered."""
 

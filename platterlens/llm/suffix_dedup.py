@@ -35,12 +35,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop_written, mixed, written
+from .common import documents, drop_written, mixed, sliced, written
 
 WIDTH, K = 50, 24
 SPAN = WIDTH - K + 1
 #: Bytes of text worked on at once, entries in a run, bytes of text for a bucket, and texts that make a mark common.
-PIECE, RUN, BUCKET_BYTES, HOT = 2_000_000, 150_000, 24_000_000, 2000
+PIECE, RUN, BUCKET_BYTES, HOT = 500_000, 150_000, 16_000_000, 2000
+#: Rows of a batch that are worked on at once, which bounds a worker's memory and changes no result.
+ROWS = 1500
 LOWEST = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -107,6 +109,10 @@ def _laid(held: list) -> tuple[np.ndarray, ...]:
     return np.frombuffer(b"".join(p for _, _, p in held), np.uint8), ends - [len(p) for _, _, p in held], ends, np.array([i for i, _, _ in held]), np.array([o for _, o, _ in held])
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return sliced(batches, ROWS)
+
+
 def _bucket(marks: np.ndarray, buckets: int) -> np.ndarray:
     return (marks.astype(np.uint64) * np.uint64(buckets) >> np.uint64(40)).astype(np.int64)
 
@@ -116,7 +122,7 @@ def flagged_marks(texts: DataFrame, buckets: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, seen = zstandard.ZstdCompressor(level=1), set()
-        for batch in batches:
+        for batch in _sliced(batches):
             rows = [(h, t) for h, t in zip(batch.column("h").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()) if h not in seen and not seen.add(h)]
             found = [(m, number[own]) for data, starts, ends, number, _ in pieces([t for _, t in rows]) for m, _, _, _, own in [anchors(data, starts, ends)]]
             if not found:
@@ -175,7 +181,9 @@ def _each_bucket(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], wo
     """work(rows of one bucket), bucket by bucket, of batches sorted by bucket."""
     held, now = [], None
     for batch in batches:
-        for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", *columns))):
+        own = [batch.column(c) for c in columns]
+        for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+            row = [c[i].as_py() for c in own]  # a run at a time: a batch may hold many large ones
             if bucket != now and held:
                 yield from work(held)
                 held = []
@@ -277,7 +285,7 @@ def write_runs(rows: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, bytes, int, int, int, int]] = []  # bucket, entry, document number, first window, windows
         docs: list[tuple[int, int]] = []
-        for batch in batches:
+        for batch in _sliced(batches):
             for doc_id, h, text, marks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text", "marks"))):
                 text = text.encode() if isinstance(text, str) else text
                 flags = np.sort(np.frombuffer(b"".join(marks), np.uint64))
