@@ -415,47 +415,73 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket, "run_id long, bucket int, answer binary")
 
 
+def _earlier(refs: bytes, answer: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(doc_id, h, pairs): for each document of one run's bucket its stretches of windows that start in an earlier one."""
+    n_docs, n_entries, n_refs = np.frombuffer(refs, np.int64, 3)
+    at, parts = 24, []
+    for kind, n in ((np.int64, n_docs), (np.int64, n_docs), (np.uint32, n_entries), (np.uint32, n_entries), (np.uint32, n_refs), (np.uint64, n_refs)):
+        parts.append(np.frombuffer(refs, kind, n, at))
+        at += parts[-1].nbytes
+    ids, hashes, times, counts, index, windows = parts
+    n, n_sizes = np.frombuffer(answer, np.int64, 2)
+    segments = np.frombuffer(answer, np.uint8, n, 16).astype(np.int64)
+    sizes = np.frombuffer(answer, np.uint8, n_sizes, 16 + n).astype(np.int64)
+    low = np.frombuffer(answer, np.int64, n_sizes, int(16 + n + n_sizes))
+    entry_of = np.repeat(np.arange(n), segments)
+    sizes = np.minimum(sizes, counts[entry_of])  # 255 stands for all windows of the entry
+    shift = np.cumsum(sizes) - sizes
+    first_segment = np.cumsum(segments) - segments
+    shift = shift - shift[first_segment][entry_of]
+    # every ref with every segment of its entry
+    of = np.repeat(np.arange(n), times)
+    ref = np.repeat(np.arange(n_refs), segments[of])
+    seg = np.arange(len(ref)) - np.repeat(np.cumsum(segments[of]) - segments[of], segments[of]) + first_segment[of][ref]
+    hit = low[seg] < ids[index[ref]]
+    ref, seg = ref[hit], seg[hit]
+    start, number, doc = windows[ref].astype(np.int64) + shift[seg], sizes[seg], index[ref]
+    order = np.lexsort((start, doc))
+    doc, pairs = doc[order], np.stack([start[order], number[order]], axis=1)
+    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
+    for a, b in zip(cuts, [*cuts[1:], len(doc)]):
+        yield int(ids[doc[a]]), int(hashes[doc[a]]), pairs[a:b]
+
+
 def removed_windows(runs: DataFrame, answers: DataFrame) -> DataFrame:
-    """(doc_id, h, windows): packed (first start, number) of stretches of windows that start in an earlier document."""
+    """(doc_id, h, windows): packed (first start, number) of stretches of windows that start in an earlier document.
+
+    What a run asked and what its buckets answer meet by run, so a document gets one row from each run it lies in, however
+    many buckets there are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
+        held: dict[tuple[int, int], list[np.ndarray]] = {}
+        now, asked = None, (None, b"")
+
+        def told() -> pa.RecordBatch:
+            rows = []
+            for (doc_id, h), found in held.items():
+                pairs = np.concatenate(found)
+                narrow = pairs.max() < 1 << 32
+                rows.append((doc_id, h, pairs.astype(np.uint32 if narrow else np.uint64).tobytes() + (b"\4" if narrow else b"\10")))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "h", "windows"])
+
         for batch in batches:
-            out = []
-            for refs, answer in zip(batch.column("refs").to_pylist(), batch.column("answer").to_pylist()):
-                refs, answer = unpress.decompress(refs), unpress.decompress(answer)
-                n_docs, n_entries, n_refs = np.frombuffer(refs, np.int64, 3)
-                at = 24
-                parts = []
-                for kind, n in ((np.int64, n_docs), (np.int64, n_docs), (np.uint32, n_entries), (np.uint32, n_entries), (np.uint32, n_refs), (np.uint64, n_refs)):
-                    parts.append(np.frombuffer(refs, kind, n, at))
-                    at += parts[-1].nbytes
-                ids, hashes, times, counts, index, windows = parts
-                n, n_sizes = np.frombuffer(answer, np.int64, 2)
-                segments = np.frombuffer(answer, np.uint8, n, 16).astype(np.int64)
-                sizes = np.frombuffer(answer, np.uint8, n_sizes, 16 + n).astype(np.int64)
-                low = np.frombuffer(answer, np.int64, n_sizes, int(16 + n + n_sizes))
-                entry_of = np.repeat(np.arange(n), segments)
-                sizes = np.minimum(sizes, counts[entry_of])  # 255 stands for all windows of the entry
-                shift = np.cumsum(sizes) - sizes
-                first_segment = np.cumsum(segments) - segments
-                shift = shift - shift[first_segment][entry_of]
-                # every ref with every segment of its entry
-                of = np.repeat(np.arange(n), times)
-                ref = np.repeat(np.arange(n_refs), segments[of])
-                seg = np.arange(len(ref)) - np.repeat(np.cumsum(segments[of]) - segments[of], segments[of]) + first_segment[of][ref]
-                hit = low[seg] < ids[index[ref]]
-                ref, seg = ref[hit], seg[hit]
-                start, number, doc = windows[ref].astype(np.int64) + shift[seg], sizes[seg], index[ref]
-                order = np.lexsort((start, doc))
-                doc, pairs = doc[order], np.stack([start[order], number[order]], axis=1)
-                cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
-                for a, b in zip(cuts, [*cuts[1:], len(doc)]):
-                    out.append((int(ids[doc[a]]), int(hashes[doc[a]]), pairs[a:b].astype(np.uint32 if pairs[a:b].max() < 1 << 32 else np.uint64).tobytes() + (b"\4" if pairs[a:b].max() < 1 << 32 else b"\10")))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "h", "windows"])
-
-    both = runs.select("run_id", "bucket", "refs").join(answers, ["run_id", "bucket"])
-    return both.select("refs", "answer").mapInArrow(run, "doc_id long, h long, windows binary")
+            for i, (run_id, bucket, side) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("run_id", "bucket", "side")))):
+                if run_id != now:
+                    yield told()
+                    now = run_id
+                body = unpress.decompress(batch.column("body")[i].as_py())
+                if side == 0:
+                    asked = (bucket, body)
+                elif asked[0] == bucket:
+                    for doc_id, h, pairs in _earlier(asked[1], body):
+                        held.setdefault((doc_id, h), []).append(pairs)
+        yield told()
+
+    both = runs.select("run_id", "bucket", F.lit(0).alias("side"), F.col("refs").alias("body")).unionByName(answers.select("run_id", "bucket", F.lit(1).alias("side"), F.col("answer").alias("body")))
+    return both.repartition("run_id").sortWithinPartitions("run_id", "bucket", "side").mapInArrow(run, "doc_id long, h long, windows binary")
 
 
 def spans_of(packed: list[bytes], n_bytes: int) -> list[tuple[int, int]]:
