@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, mixed
+from .common import documents, held_out, mixed, smallest
 
 FEATURES = 1 << 16
 TRAIN = 6000
@@ -89,7 +89,8 @@ def temperature(z: np.ndarray, labels: np.ndarray) -> float:
 def fit(labelled: DataFrame, seed: int = 11) -> dict:
     """The model of labelled (doc_id, text, lang): languages, idf, weights, temperature."""
     order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text"))
-    sample = labelled.filter("text is not null and lang is not null").select("text", "lang", order.alias("__h")).orderBy("__h", "text").limit(TRAIN + TRAIN // 5)
+    rows = labelled.filter("text is not null and lang is not null").select("text", "lang", order.alias("__h"))
+    sample = smallest(rows, "__h", TRAIN + TRAIN // 5, "text")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, documents, held_out
+from .common import WordHashes, documents, held_out, smallest
 
 PASSAGE = 100
 TRAIN = 5000
@@ -149,7 +149,7 @@ def fit(labelled: DataFrame, seed: int = 5) -> dict:
     """The model of labelled (doc_id, text, quality)."""
     order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sample = labelled.filter("quality is not null").select(text.alias("text"), "quality", order.alias("__h")).orderBy("__h", "text", "quality").limit(TRAIN)
+    sample = smallest(labelled.filter("quality is not null").select(text.alias("text"), "quality", order.alias("__h")), "__h", TRAIN, "text", "quality")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
@@ -195,7 +195,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").filter(~held_out())
     order = F.xxhash64(F.lit(5), F.col("doc_id").cast("string"))
     # the bounded sample of labels is drawn before texts are joined to it, so the join has at most TRAIN rows on one side
-    chosen = labels.filter("quality is not null").orderBy(order, "quality").limit(TRAIN)
+    chosen = smallest(labels.filter("quality is not null").withColumn("__order", order), "__order", TRAIN, "quality").drop("__order")
     model = fit(docs.join(F.broadcast(chosen), "doc_id"))
     scored = score(docs, model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

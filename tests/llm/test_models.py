@@ -76,3 +76,15 @@ def test_language_of_awkward_rows(spark):
 def test_penalty_leaves_weights_zero(spark, larger):
     docs = spark.read.parquet(f"{larger}/documents.parquet")
     assert np.mean(language_id.fit(docs.select("doc_id", "text", "lang"))["weights"] == 0) > 0.5
+
+
+def test_samples_are_the_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from platterlens.llm.common import smallest
+
+    rows = spark.range(50_000).select("id", F.xxhash64("id").alias("h"))
+    want = sorted(r["h"] for r in rows.collect())
+    for n in (10, 700, 60_000):
+        assert sorted(r["h"] for r in smallest(rows, "h", n).collect()) == want[:n]
+    assert smallest(rows.limit(0), "h", 5).count() == 0
