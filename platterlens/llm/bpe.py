@@ -27,11 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, sliced
 
 SHORT = 64
 #: Chunks a worker remembers before it starts afresh; it bounds memory and changes no result.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 NONE = np.int32((1 << 31) - 1)
 #: Fixed value: the pattern that parts a text into words, with Unicode's white space spelt out.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -207,27 +207,40 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _mapped(df: DataFrame, source: Column, name: str, kind: T.DataType, arrow: pa.DataType, f) -> DataFrame:
-    kept = [c for c in df.columns if c != name]
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(name, kind)])
+IDS, TEXT = (T.BinaryType(), pa.binary()), (T.StringType(), pa.string())
+
+
+def _mapped(df: DataFrame, source: Column, added: dict[str, tuple], f) -> DataFrame:
+    """df with the columns that f makes, a list for each, of a list of source's values; no shuffle."""
+    kept = [c for c in df.columns if c not in added]
+    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, kind) for n, (kind, _) in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(f(part.column("__in").to_pylist()), type=arrow)], [*kept, name])
+        for part in sliced(batches, 512):
+            made = f(part.column("__in").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(x, type=arrow) for x, (_, arrow) in zip(made, added.values()))], [*kept, *added])
 
     return df.select(*kept, source.alias("__in")).mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with the ids of its texts as packed little-endian unsigned 32-bit integers (`unpacked` makes an array)."""
-    return _mapped(df, F.coalesce(F.col(text).cast("string"), F.lit("")), ids, T.BinaryType(), pa.binary(), lambda texts: vocabulary(path).encode_many(texts))
+    return _mapped(df, F.coalesce(F.col(text).cast("string"), F.lit("")), {ids: IDS}, lambda texts: [vocabulary(path).encode_many(texts)])
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the text that its packed ids stand for; bytes that are no UTF-8 become U+FFFD."""
-    return _mapped(df, F.coalesce(F.col(ids), F.lit(b"")), text, T.StringType(), pa.string(), lambda packed: [vocabulary(path).decode(x) for x in packed])
+    return _mapped(df, F.coalesce(F.col(ids), F.lit(b"")), {text: TEXT}, lambda packed: [[vocabulary(path).decode(x) for x in packed]])
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """df with its texts' packed ids and what those decode to, in one pass: one worker and one vocabulary for both."""
+
+    def both(texts: list[str]) -> list[list]:
+        packed = vocabulary(path).encode_many(texts)
+        return [packed, [vocabulary(path).decode(x) for x in packed]]
+
+    return _mapped(df, F.coalesce(F.col(text).cast("string"), F.lit("")), {ids: IDS, decoded: TEXT}, both)
 
 
 def unpacked(ids: Column) -> Column:
@@ -249,10 +262,10 @@ def digests(coded: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path()
-    return digests(decode(encode(documents(spark, sf_dir).select("doc_id", "text"), path).drop("text"), path))
+    return digests(round_trip(documents(spark, sf_dir).select("doc_id", "text"), path))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: for each row its ids, their number and digest, and the digest of the decoded text."""
     path = vocabulary_path()
-    return digests(decode(encode(docs.select("doc_id", "text"), path).drop("text"), path))
+    return digests(round_trip(docs.select("doc_id", "text"), path))

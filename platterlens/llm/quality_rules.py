@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, documents, shingle_hashes
+from .common import WordHashes, documents, shingle_hashes, sliced
 
 #: Set phrases of page furniture, lower case.
 BOILERPLATE = (
@@ -122,7 +122,7 @@ def clean(docs: DataFrame, text: str = "text", min_words: int = 10, window: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [judge(t or "", table, min_words, window, most_repeated, most_lost) for t in batch.column("__text").to_pylist()]
             fields = [pa.array(list(x), type=pa.string() if f.name == "cleaned" else pa.bool_() if isinstance(f.dataType, T.BooleanType) else pa.int64()) for f, x in zip(VERDICT, zip(*rows) if rows else [[]] * len(VERDICT), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.StructArray.from_arrays(fields, VERDICT.names)], [*names, "quality"])
