@@ -8,12 +8,14 @@
    link and leaves. A tile is sorted by size and only sizes within the band that t allows meet.
 3. Stars. In each tile every class is paired with a few leaders (lowest ids) of its band; the leaders that a class shares
    most tiles with are compared exactly. That joins nearly all of a large group without naming its pairs.
-4. Rest. In tiles that still hold more than one component, classes of different components meet through bitmap
-   signatures: the bits of one that the other lacks bound the overlap from above. Pairs that pass in c tiles or more are
-   compared exactly, by intersection of sorted arrays. Nothing is capped: every pair that could link is in one component already, refused by
-   a bound, or compared.
-
-Tiles, stars and rest are shuffles by key; no pairs of equal or already joined documents are made, and no set, link or
+4. Nearest. In tiles that still hold more than one component, classes of different components meet through bitmap
+   signatures: the bits of one that the other lacks bound the overlap from above. Each class is compared, by intersection
+   of sorted arrays, with the one that its bounds leave nearest, which joins nearly all that is left to join.
+5. Rest. Classes that had other pairs besides, and still lie in different components, meet once more, and all pairs that
+   pass the bounds in c tiles or more are compared. Nothing is capped: every pair that could link is in one component
+   already, refused by a bound, or compared.
+
+All steps are shuffles by key; no pairs of equal or already joined documents are made, and no set, link or
 component comes to the driver.
 
 Defined cases: null text counts as empty; an empty set links with nothing, so such a document is its own group; a text
@@ -33,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, drop_written, mixed, shingle_hashes, written
+from .common import WordHashes, documents, drop_written, mixed, shingle_hashes, sliced, written
 from .components import components
 
 #: Shingles counted as common: those above one in COMMON of all shingle occurrences; there can't be more than COMMON.
@@ -94,7 +96,7 @@ def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
             first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
             return both[first], np.add.reduceat(np.concatenate([held[1], counts])[order], first)
 
-        for batch in batches:
+        for batch in sliced(batches):
             for data in _bytes(batch, "text"):
                 key = xxhash.xxh3_64_intdigest(data)
                 if key in seen:
@@ -104,7 +106,7 @@ def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
                 pending.append(runs)
                 size += len(runs)
                 total += len(runs)
-                if size > 4_000_000:
+                if size > 1_500_000:
                     held, pending, size = fold(), [], 0
         if size:
             held = fold()
@@ -138,7 +140,7 @@ def class_table(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = WordHashes(), set()
-        for batch in batches:
+        for batch in sliced(batches):
             cids, sizes, tokens = [], [], []
             for data in _bytes(batch, "text"):
                 s = word_shingles(data, k, table)
@@ -276,6 +278,7 @@ def payloads(docs: DataFrame, classes: DataFrame, needed: DataFrame, k: int) ->
 def compared(pairs: DataFrame, held: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The links among pairs (a, b), by exact intersection. Members travel to their leader in chunks of CHUNK or so, so a
     leader of any number of members is compared in as many tasks as that takes."""
+    pairs = written(pairs, "pairs")  # it is read twice
     counts = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
     members = pairs.join(counts, "a").select("a", (F.abs(F.xxhash64("b")) % F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"), F.col("b").alias("cid"))
     leaders = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), F.col("a").alias("cid"))
@@ -296,11 +299,95 @@ def compared(pairs: DataFrame, held: DataFrame, k: int, num: int, den: int) -> D
                         links.append((a, cid))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return written(rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "side").mapInArrow(run, "a long, b long"), "links")
+    links = written(rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "side").mapInArrow(run, "a long, b long"), "links")
+    drop_written(pairs)
+    return links
+
+
+def _passing(pdf: pd.DataFrame, num: int, den: int) -> Iterator[tuple]:
+    """For each tile of signed rows: (class ids, sizes, pairs); pairs gives, for a place, the later places in order of size
+    that are of another component and that bitmaps can't refuse, and what overlap those leave at most."""
+    starts, sizes = _runs(pdf["token"].to_numpy())
+    n, c, root, sigs = (pdf[x].to_numpy() for x in ("n", "cid", "root", "sig"))
+    for start, m in zip(starts.tolist(), sizes.tolist()):
+        mine = slice(start, start + m)
+        if m < 2 or (root[mine] == root[start]).all():
+            continue
+        order = start + np.argsort(n[mine], kind="stable")
+        size, comp = n[order], root[order]
+        width = len(sigs[order[0]])
+        bits = np.stack([_folded(np.frombuffer(sigs[x], np.uint8), width) for x in order]).view(np.uint64)
+        ends = np.searchsorted(size, size * den // num, side="right")
+
+        def pairs(i: int) -> tuple[np.ndarray, np.ndarray]:
+            j = i + 1 + np.flatnonzero(comp[i + 1 : ends[i]] != comp[i])
+            # each bit of one bitmap that the other lacks is an element that the other set lacks
+            over = np.minimum(
+                size[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(axis=1, dtype=np.int64),
+                size[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(axis=1, dtype=np.int64),
+            )
+            ok = den * over >= num * (size[i] + size[j] - over)
+            return j[ok], over[ok]
+
+        yield c[order], size, pairs
+
+
+def _signed(tiles: DataFrame, held: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of tiles whose band holds more than one component, with their bitmaps, sorted by tile."""
+    known = roots.select(F.col("node").alias("cid"), "root")
+    rows = tiles.join(known, "cid", "left").select("token", "n", "cid", F.coalesce("root", "cid").alias("root"))
+    shape = "token long, n long, cid long, root long"
+    crossing = rows.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(lambda batches: _crossing(batches, num, den), shape)
+    signed = crossing.join(held.select("cid", "sig"), "cid").select("token", "n", "cid", "root", "sig")
+    return signed.repartition("token").sortWithinPartitions("token", "n", "cid")
+
+
+def nearest_pairs(tiles: DataFrame, held: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """(cid, other, more): each class that a pair of different components may link, with the one of them that its bounds
+    leave most similar, and whether there are others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[float, int, bool]] = {}
+
+        def told() -> pa.RecordBatch:
+            rows = [(c, *x) for c, x in best.items()]
+            best.clear()
+            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], ["cid", "share", "other", "more"])
+
+        for pdf in _tiles(batches):
+            for ids, size, pairs in _passing(pdf, num, den):
+                share, other, times = np.full(len(ids), -1.0), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+                for i in range(len(ids) - 1):
+                    j, over = pairs(i)
+                    if not len(j):
+                        continue
+                    likely = over / (size[i] + size[j] - over)
+                    times[i] += len(j)
+                    times[j] += 1
+                    at = int(np.argmax(likely))
+                    if likely[at] > share[i]:
+                        share[i], other[i] = likely[at], ids[j[at]]
+                    nearer = likely > share[j]
+                    share[j[nearer]], other[j[nearer]] = likely[nearer], ids[i]
+                hit = np.flatnonzero(times)
+                for c, x, o, more in zip(ids[hit].tolist(), share[hit].tolist(), other[hit].tolist(), (times[hit] > 1).tolist()):
+                    old = best.get(c)
+                    if old is None:
+                        best[c] = (x, o, more)
+                    else:
+                        best[c] = (*max((x, o), old[:2]), more or old[2] or o != old[1])
+            if len(best) > 500_000:
+                yield told()
+        yield told()
+
+    found = _signed(tiles, held, roots, num, den).mapInArrow(run, "cid long, share double, other long, more boolean")
+    nearest = F.max(F.struct("share", "other"))
+    return written(found.groupBy("cid").agg(nearest.alias("x"), (F.bool_or("more") | (F.min("other") != F.max("other"))).alias("more")).select("cid", F.col("x.other").alias("other"), "more"), "nearest")
 
 
 def rest_pairs(tiles: DataFrame, held: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of different components that share a tile and that bitmaps can't refuse."""
+    """(a, b) of different components that share enough tiles and that bitmaps can't refuse."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said: dict[tuple[int, int], list[int]] = {}
@@ -311,46 +398,32 @@ def rest_pairs(tiles: DataFrame, held: DataFrame, roots: DataFrame, num: int, de
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(4)], ["a", "b", "times", "need"])
 
         for pdf in _tiles(batches):
-            starts, sizes = _runs(pdf["token"].to_numpy())
-            n, c, root, sigs = (pdf[x].to_numpy() for x in ("n", "cid", "root", "sig"))
-            for start, m in zip(starts.tolist(), sizes.tolist()):
-                mine = slice(start, start + m)
-                if m < 2 or (root[mine] == root[start]).all():
-                    continue
-                order = start + np.argsort(n[mine], kind="stable")
-                size, comp, ids = n[order], root[order], c[order]
-                width = len(sigs[order[0]])
-                bits = np.stack([_folded(np.frombuffer(sigs[x], np.uint8), width) for x in order]).view(np.uint64)
-                ends = np.searchsorted(size, size * den // num, side="right")
-                for i in range(m - 1):
-                    j = i + 1 + np.flatnonzero(comp[i + 1 : ends[i]] != comp[i])
-                    if not len(j):
-                        continue
-                    # each bit of one bitmap that the other lacks is an element that the other set lacks
-                    over = np.minimum(
-                        size[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(axis=1, dtype=np.int64),
-                        size[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(axis=1, dtype=np.int64),
-                    )
-                    need = least_shared(int(size[i]))
-                    for x in ids[j[den * over >= num * (size[i] + size[j] - over)]].tolist():
-                        pair = (min(int(ids[i]), x), max(int(ids[i]), x))
+            for ids, size, pairs in _passing(pdf, num, den):
+                for i in range(len(ids) - 1):
+                    own, need = int(ids[i]), least_shared(int(size[i]))
+                    for x in ids[pairs(i)[0]].tolist():
+                        pair = (min(own, x), max(own, x))
                         if pair in said:
                             said[pair][0] += 1
                         else:
                             said[pair] = [1, need]
-            if len(said) > 500_000:
-                yield told()
+                if len(said) > 500_000:
+                    yield told()
         yield told()
 
-    known = roots.select(F.col("node").alias("cid"), "root")
-    rows = tiles.join(known, "cid", "left").select("token", "n", "cid", F.coalesce("root", "cid").alias("root"))
-    shape = "token long, n long, cid long, root long"
-    crossing = rows.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(lambda batches: _crossing(batches, num, den), shape)
-    signed = crossing.join(held.select("cid", "sig"), "cid").select("token", "n", "cid", "root", "sig")
-    pairs = signed.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(run, "a long, b long, times long, need long")
+    pairs = _signed(tiles, held, roots, num, den).mapInArrow(run, "a long, b long, times long, need long")
     return pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.first("need").alias("need")).filter("times >= need").select("a", "b")
 
 
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of the components that links (a, b) make of those in roots: a graph whose nodes are the old roots."""
+    ends = links.join(roots.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(roots.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left")
+    upper = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    fresh = upper.select("node", F.col("node").alias("root")).join(roots.select("node"), "node", "left_anti")
+    lifted = roots.unionByName(fresh).join(upper.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "left")
+    return written(lifted.select("node", F.coalesce("upper", "root").alias("root")), "roots")
+
+
 def _crossing(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Of tiles sorted by token and size, the rows whose band holds more than one component."""
     for pdf in _tiles(batches):
@@ -371,16 +444,16 @@ def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     held = payloads(texts, classes, tiles.select("cid").distinct(), k)
     stars = compared(leader_pairs(tiles, num, den), held, k, num, den)
     roots = written(components(stars), "roots")
-    more = compared(rest_pairs(tiles, held, roots, num, den), held, k, num, den)
-    drop_written(held)
-    drop_written(tiles)
-    # the rest joins components, so it is a graph of its own whose nodes are the roots found so far
-    ends = more.join(roots.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(roots.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left")
-    upper = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).withColumnsRenamed({"node": "cid", "root": "upper"})
+    near = nearest_pairs(tiles, held, roots, num, den)
+    closest = compared(near.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct(), held, k, num, den)
+    roots = joined_roots(roots, closest)
+    left = tiles.join(near.filter("more").select("cid"), "cid", "left_semi").select("token", "n", "cid")
+    roots = joined_roots(roots, compared(rest_pairs(left, held, roots, num, den), held, k, num, den))
+    for done in (held, tiles, near):
+        drop_written(done)
     # a component's smallest doc_id: classes fold their documents first, then components fold their classes
     owns = classes.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("least"))
-    first = owns.join(roots.withColumnsRenamed({"node": "cid"}), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    rooted = first.join(upper.withColumnRenamed("cid", "root"), "root", "left").select("cid", "n", "least", F.coalesce("upper", "root").alias("root"))
+    rooted = owns.join(roots.withColumnsRenamed({"node": "cid"}), "cid", "left").select("cid", "n", "least", F.coalesce("root", "cid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = rooted.join(least, "root").select("cid", "n", "component_id")
     found = classes.select("doc_id", "cid", "n").join(by_class, ["cid", "n"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
