@@ -3,24 +3,33 @@
 1. Blocks. A file's text falls into blocks: each line, each paragraph (lines between blank ones) and, for a file named
    like a licence file, the whole text. A block counts if it has a marker word and at least LEAST_KNOWN of its words are
    words of a template; all of a text is looked at.
-2. Cosine. A block's vector holds the counts of its words times idf = ln((1 + N) / (1 + df)) + 1, with df and N over all
+2. Licence files. The whole text of a file named like one is compared with the full texts in license_texts, one file for
+   each licence (AGPL-3.0, EPL-2.0 and the CC-BY family have notices alone); the best at LEAST or more is the file's.
+   Else an SPDX-License-Identifier, of an expression the first, without -only, -or-later or +, is the file's, score 1.
+   Else its blocks are compared with notices.
+3. Cosine. A block's vector holds the counts of its words times idf = ln((1 + N) / (1 + df)) + 1, with df and N over all
    files; a word of no template weighs as if df were 0. It is sparse: only words that a template has meet it, in a join
    with the templates' words, a table as long as the templates are. The best template at LEAST or more is the file's.
-3. Inheritance. Directories that have a licence file take its licence. Every directory is joined to those among its own
+4. Inheritance. Directories that have a licence file take its licence. Every directory is joined to those among its own
    path's prefixes, the longest wins, and files without a licence of their own take their directory's.
 
-Document frequencies fold in the map tasks to one row for each template word; that many rows, and nothing that grows with
+Document frequencies fold in the map tasks to one row for each template word, some thousands; that many rows, and nothing that grows with
 the corpus, reach the driver. Blocks are scored by file, so a hot repository is many keys; directories, not files, are
 expanded to their ancestors.
 
 Defined cases: null text counts as empty and has no licence of its own; a null path lies in no directory and inherits
 nothing; equal scores go to the first template in order of name; of several licence files in one directory the highest
 score and then the smallest path counts; repeated rows are scored one by one and all kept; empty tables give empty
-results; other columns pass through `scan`, and columns named like its results are replaced.
+results; other columns pass through `scan`, and columns named like its results are replaced. The opening paragraph of the
+BSD licences alone, outside a licence file, counts as BSD-3-Clause. The SQL knows TEMPLATES alone; it gives the same where
+no file has another wording, which holds for the test documents.
 """
 
 from __future__ import annotations
 
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +62,39 @@ TEMPLATES = {
     ),
     "MPL-2.0": ("this source code form is subject to the terms of the mozilla public license, v. 2.0",),
 }
+#: The verbs of notices, and the names that licences have in them.
+VERBS = ("licensed", "released", "distributed", "available", "provided")
+NAMES = {
+    "AGPL-3.0": ("gnu affero general public license version 3", "agplv3"),
+    "Apache-2.0": ("apache license version 2.0", "apache license 2.0", "apache 2.0 license"),
+    "BSD-2-Clause": ("bsd 2-clause license", "simplified bsd license", "2-clause bsd license"),
+    "BSD-3-Clause": ("bsd 3-clause license", "new bsd license", "3-clause bsd license"),
+    "CC-BY-4.0": ("creative commons attribution 4.0 international license", "cc by 4.0"),
+    "CC-BY-NC-4.0": ("creative commons attribution-noncommercial 4.0 international license", "cc by-nc 4.0"),
+    "CC-BY-SA-4.0": ("creative commons attribution-sharealike 4.0 international license", "cc by-sa 4.0"),
+    "CC0-1.0": ("cc0 1.0 universal public domain dedication", "cc0 1.0 license"),
+    "EPL-2.0": ("eclipse public license version 2.0", "eclipse public license v2.0", "eclipse public license 2.0"),
+    "GPL-2.0": ("gnu general public license version 2", "gplv2 license"),
+    "GPL-3.0": ("gnu general public license version 3", "gplv3 license"),
+    "ISC": ("isc license",),
+    "LGPL-2.1": ("gnu lesser general public license version 2.1",),
+    "LGPL-3.0": ("gnu lesser general public license version 3",),
+    "MIT": ("mit license",),
+    "MPL-2.0": ("mozilla public license version 2.0", "mozilla public license v2.0"),
+    "Unlicense": ("unlicense license",),
+}
+#: Notices that no verb and name make.
+OTHERS = {
+    "EPL-2.0": ("this program and the accompanying materials are made available under the terms of the eclipse public license v. 2.0 which is available at http://www.eclipse.org/legal/epl-2.0",),
+    "GPL-2.0": (
+        "this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version 2 of the license, or (at your option) any later version",
+        "this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    ),
+    "LGPL-2.1": ("this library is free software; you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation; either version 2.1 of the license, or (at your option) any later version",),
+    "Unlicense": ("this is free and unencumbered software released into the public domain",),
+}
+#: Full texts of fewer characters stand in headers too.
+SHORT = 2000
 #: Words of which a notice has one.
 MARKERS = r"licen[cs]e|copyright|permission|redistribut|public domain|free software"
 #: Fixed value: names of licence files.
@@ -72,6 +114,31 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("([a-z0-9]+)"), F.lit(1))
 
 
+@cache
+def full_texts() -> dict[str, tuple[str, ...]]:
+    """licence -> its full text, from the files in license_texts."""
+    return {p.stem: (p.read_text(),) for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
+
+
+@cache
+def all_notices() -> dict[str, tuple[str, ...]]:
+    """licence -> TEMPLATES, notices by verb and name, OTHERS, and short full texts with each of their paragraphs that
+    only one licence has."""
+    short = {name: [t, *t.split("\n\n")] for name, (t,) in full_texts().items() if len(t) < SHORT}
+    held = [p for parts in short.values() for p in parts]
+    found = {}
+    for name in sorted({*TEMPLATES, *NAMES, *OTHERS, *short}):
+        named = [f"{start}{verb} under the {terms}{n}" for n in NAMES.get(name, ()) for verb in VERBS for start, terms in (("", ""), ("this project is ", "terms of the "))]
+        found[name] = (*TEMPLATES.get(name, ()), *named, *OTHERS.get(name, ()), *(p for p in short.get(name, ()) if held.count(p) == 1 and marker_in(p)))
+    return found
+
+
+def marker_in(text: str) -> bool:
+    import re
+
+    return re.search(MARKERS, text.lower()) is not None
+
+
 def template_words(templates: dict[str, tuple[str, ...]]) -> dict[tuple[str, int], dict[str, int]]:
     """(licence, number of the notice) -> word -> count."""
     import re
@@ -87,12 +154,11 @@ def template_words(templates: dict[str, tuple[str, ...]]) -> dict[tuple[str, int
 
 def frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
     """The number of files, and how many of them have each word of the vocabulary."""
-    known = F.array(*map(F.lit, vocabulary))
-    held = F.array_intersect(words(lowered(F.coalesce("text", F.lit("")))), known)
-    # "" stands for the file itself, so one aggregation gives N too
-    rows = files.select(F.explode(F.array_append(held, F.lit(""))).alias("w")).groupBy("w").count().collect()
-    counts = {r["w"]: r["count"] for r in rows}
-    return counts.pop("", 0), counts
+    known = files.sparkSession.createDataFrame([(w,) for w in vocabulary], "w string")
+    held = files.select(F.explode(F.array_distinct(words(lowered(F.coalesce("text", F.lit("")))))).alias("w"))
+    # the vocabulary is as long as the fixed templates are
+    rows = held.join(F.broadcast(known), "w").groupBy("w").count().collect()
+    return files.count(), {r["w"]: r["count"] for r in rows}
 
 
 def blocks(files: DataFrame, vocabulary: list[str]) -> DataFrame:
@@ -109,14 +175,28 @@ def blocks(files: DataFrame, vocabulary: list[str]) -> DataFrame:
     return worded.filter(n_known >= LEAST_KNOWN * F.size("words"))
 
 
-def own_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
-    """(__file, license, score): the best template of each of files (__file, path, text) that reaches LEAST."""
-    spark = files.sparkSession
-    notices = template_words(templates)
-    vocabulary = sorted(set().union(*notices.values()))
-    n, df = frequencies(files, vocabulary)
+def whole_files(files: DataFrame) -> DataFrame:
+    """(__file, block, words): the whole text of each licence file."""
+    text = lowered(F.coalesce("text", F.lit("")))
+    named = files.filter(F.col("path").rlike(LICENSE_FILE) & text.rlike(MARKERS))
+    return named.select("__file", F.lit(-1).alias("block"), words(text).alias("words"))
+
+
+def tagged(files: DataFrame, names: list[str]) -> DataFrame:
+    """(__file, license): the first SPDX identifier of each of files that has one, spelled as in names if it is there."""
+    tag = F.regexp_extract(F.coalesce("text", F.lit("")), r"(?i)spdx-license-identifier:[ \t(]*([a-z0-9][a-z0-9.+-]*)", 1)
+    bare = F.regexp_replace(tag, r"(?i)(-only|-or-later|\+)$", "")
+    spelled = F.coalesce(*(F.when(F.lower(bare) == n.lower(), F.lit(n)) for n in names), bare)
+    return files.select("__file", spelled.alias("license")).filter("license <> ''")
+
+
+def nearest(counts: DataFrame, templates: dict[str, tuple[str, ...]], n: int, df: dict[str, int]) -> DataFrame:
+    """(__file, license, score): the best template of each of blocks (__file, block, words) that reaches LEAST."""
     from math import log, sqrt
 
+    spark = counts.sparkSession
+    notices = template_words(templates)
+    vocabulary = sorted(set().union(*notices.values()))
     idf = {w: log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
     top = log(1 + n) + 1
     rows = []
@@ -125,7 +205,7 @@ def own_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPL
         rows += [(w, name, i, k * idf[w] ** 2 / norm) for w, k in own.items()]
     weights = spark.createDataFrame(rows, "w string, license string, notice int, weight double")
     idfs = spark.createDataFrame([(w, idf[w]) for w in vocabulary], "w string, idf double")
-    counted = blocks(files, vocabulary).select("__file", "block", F.explode("words").alias("w")).groupBy("__file", "block", "w").agg(F.count("*").alias("tf"))
+    counted = counts.select("__file", "block", F.explode("words").alias("w")).groupBy("__file", "block", "w").agg(F.count("*").alias("tf"))
     counted = counted.join(F.broadcast(idfs), "w", "left").withColumn("square", F.pow(F.col("tf") * F.coalesce("idf", F.lit(top)), F.lit(2)))
     norms = counted.groupBy("__file", "block").agg(F.sqrt(F.sum("square")).alias("norm"))
     # the templates' words are as many as the fixed table above has: a bound that no corpus moves
@@ -135,6 +215,23 @@ def own_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPL
     return best.select("__file", F.col("best.license").alias("license"), (-F.col("best.s")).alias("score"))
 
 
+def own_licenses(files: DataFrame, notices: dict[str, tuple[str, ...]], texts: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(__file, license, score) of files (__file, path, text): by the full text, else by the SPDX tag, else by notices."""
+    known = sorted(set().union(*template_words(notices).values()))
+    n, df = frequencies(files, sorted(set(known).union(*template_words(texts).values())))
+    ranked = [
+        nearest(whole_files(files), texts, n, df),
+        tagged(files, sorted({*notices, *texts})).withColumn("score", F.lit(1.0)),
+        nearest(blocks(files, known), notices, n, df),
+    ]
+    found = None
+    for rank, part in enumerate(ranked):
+        part = part.withColumn("rank", F.lit(rank))
+        found = part if found is None else found.unionByName(part)
+    first = found.groupBy("__file").agg(F.min(F.struct("rank", "license", "score")).alias("f"))
+    return first.select("__file", "f.license", "f.score")
+
+
 def directory(path: Column) -> Column:
     """The path up to its last slash; '' for a file at the top."""
     return F.regexp_replace(F.regexp_replace(path, r"[^/]*$", ""), r"/$", "")
@@ -150,13 +247,13 @@ def inherited(directories: DataFrame, licensed: DataFrame) -> DataFrame:
     return met.groupBy("dir").agg(F.max(F.struct("depth", "license", "license_path")).alias("n")).select("dir", "n.license", "n.license_path")
 
 
-def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
+def scan(files: DataFrame, notices: dict[str, tuple[str, ...]] | None = None, texts: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """files (path, text, and an id column file_id that tells rows apart where it can) with license, score, origin
     (`file`, `directory` or null) and license_path, the licence file that a licence comes from."""
     own = [c for c in files.columns if c not in _RESULTS]
     keyed = files.select(*own, F.struct("file_id", "path", F.xxhash64("text").alias("h")).alias("__file"))
     # rows that repeat id, path and text are one file here, and all of them get its result
-    found = own_licenses(keyed.select("__file", "path", "text"), templates)
+    found = own_licenses(keyed.select("__file", "path", "text"), notices or all_notices(), texts or full_texts())
     rows = keyed.join(found, "__file", "left")
     named = rows.filter(F.col("license").isNotNull() & F.col("path").rlike(LICENSE_FILE))
     first = named.groupBy(directory(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "license")).alias("f"))

@@ -31,3 +31,24 @@ def test_files_and_directories(spark):
 
 def test_query(spark, small, duck, same_rows):
     same_rows(license_scan.query(spark, small), duck, license_scan.ORACLE)
+
+
+def test_full_texts_tags_and_other_wordings(spark):
+    texts = {name: t for name, (t,) in license_scan.full_texts().items()}
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} <= set(texts)
+    # licence files as they lie in repositories: a title, a holder, other line breaks
+    rows = [(f"{name}/LICENSE", f"Copyright (c) 2019 Jo Doe\n\n{' '.join(t.split(' '))}".replace("\n   ", " "), name) for name, t in texts.items()]
+    permission = texts["MIT"].split("\n\n")[0]
+    rows += [
+        ("a/one.c", "/*\n * " + permission.replace("\n", "\n * ") + "\n */\n\nint main;", "MIT"),
+        ("a/two.py", "# SPDX-License-Identifier: MIT\nimport os", "MIT"),
+        ("a/three.py", "# SPDX-License-Identifier: (GPL-2.0-or-later OR MIT)\nimport os", "GPL-2.0"),
+        ("a/four.md", "Distributed under the MIT License.", "MIT"),
+        ("a/five.md", "This project is released under the terms of the Apache License 2.0.", "Apache-2.0"),
+        ("a/six.md", "Available under the Eclipse Public License v2.0", "EPL-2.0"),
+        ("a/seven.c", "words of a story, with permission of the owner and a copyright", None),
+    ]
+    filler = [(f"f/{i}.txt", f"the story of number {i} and of this work, in which the software is provided to all for use under the sun", None) for i in range(200)]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(rows + filler)], "file_id int, path string, text string")
+    found = {r["path"]: r["license"] for r in license_scan.scan(df).collect()}
+    assert found == {p: name for p, _, name in rows + filler}
