@@ -5,13 +5,14 @@ characters. N-grams are hashed to FEATURES slots; a slot weighs its count times
 have length one. Weights are learned by follow-the-regularised-leader (FTRL-proximal) with an elastic-net penalty: most
 weights stay zero. A temperature fitted on rows kept out of the training then calibrates the scores.
 
-The fit takes a bounded sample: at most TRAIN labelled texts (and a fifth of those for the temperature), the ones with
-the smallest seeded hashes of their ids, with their whole texts. Document frequencies come from the same rows. Scoring
+The fit takes a bounded sample of each language: its distinct texts with the smallest seeded hashes, a language's share of
+TRAIN (and a fifth of that for the temperature) and LEAST_TEXTS at least, so at most the larger of 7,200 and 60 for each
+language; every language with a labelled text is in the model, and the prior leans to equal languages. Texts are whole. Document frequencies come from the same rows. Scoring
 covers every row and whole texts, where each partition lies; the model that travels is FEATURES x languages floats.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; texts of any length are read whole; a null
 lang is no label; with no labelled row every row is `und`; equal texts get equal scores, and of tied languages the first
-in order of code point wins; other columns are ignored.
+in order of code point wins; a sixth of each language's sample, none of fewer than six texts, is for the temperature; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, mixed, smallest
+from .common import documents, held_out, mixed
 
 FEATURES = 1 << 16
 TRAIN = 6000
+#: Distinct texts of a language that the sample takes, however many languages there are.
+LEAST_TEXTS = 60
 #: FTRL-proximal: learning rate, its smoothing, and the two penalties.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.5, 3
 
@@ -86,11 +89,22 @@ def temperature(z: np.ndarray, labels: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
+def drawn(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Of rows (text, lang, __h), __h a hash of text and lang, the distinct texts of each language with about its share of
+    smallest hashes, and that share; six deviations more are let in, which the caller cuts."""
+    spark = rows.sparkSession
+    sizes = rows.groupBy("lang", "__h").agg(F.lit(1).alias("one")).groupBy("lang").count().collect()
+    each = max((TRAIN + TRAIN // 5) // max(len(sizes), 1), LEAST_TEXTS)
+    share = [(r["lang"], min(1.0, (each + 6 * each**0.5 + 6) / r["count"])) for r in sizes]
+    limits = spark.createDataFrame([(lang, min(-(1 << 63) + int(x * (1 << 64)), (1 << 63) - 1)) for lang, x in share], "lang string, __limit long")
+    return rows.join(F.broadcast(limits), "lang").filter("__h <= __limit").select("text", "lang", "__h").distinct(), each
+
+
 def fit(labelled: DataFrame, seed: int = 11) -> dict:
     """The model of labelled (doc_id, text, lang): languages, idf, weights, temperature."""
-    order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text"))
+    order = F.xxhash64(F.lit(seed), F.col("lang"), F.col("text"))
     rows = labelled.filter("text is not null and lang is not null").select("text", "lang", order.alias("__h"))
-    sample = smallest(rows, "__h", TRAIN + TRAIN // 5, "text")
+    sample, each = drawn(rows)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +112,11 @@ def fit(labelled: DataFrame, seed: int = 11) -> dict:
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("__h"), pa.array([s.astype(np.uint16).tobytes() for s, _ in found], pa.binary()), pa.array([c.astype(np.float32).tobytes() for _, c in found], pa.binary())], ["lang", "h", "slots", "counts"])
 
     pdf = sample.repartition(8, "__h").mapInArrow(featurise, "lang string, h long, slots binary, counts binary").toPandas().sort_values(["h", "lang"])
+    pdf = pdf.groupby("lang").head(each)
     pdf = pdf[pdf["slots"].map(len) > 0]
+    # the first sixth of each language is for the temperature, so a rare one is never missing from the fit
+    at, size = pdf.groupby("lang").cumcount(), pdf.groupby("lang")["lang"].transform("size")
+    kept_out = (at < size // 6).to_numpy(bool)
     languages = sorted(pdf["lang"].unique())
     rows = [(np.frombuffer(s, np.uint16).astype(np.int64), np.frombuffer(c, np.float32).astype(np.float64)) for s, c in zip(pdf["slots"], pdf["counts"])]
     labels = np.array([languages.index(x) for x in pdf["lang"]], np.int64)
@@ -107,11 +125,11 @@ def fit(labelled: DataFrame, seed: int = 11) -> dict:
         df[slots] += 1
     idf = np.log((1 + len(rows)) / (1 + df)) + 1
     vectors = [(slots, weighed(slots, n, idf)) for slots, n in rows]
-    apart = len(rows) // 6
     if not languages:
         return {"languages": [], "idf": idf, "weights": np.zeros((FEATURES, 0)), "temperature": 1.0}
-    w = ftrl(vectors[apart:], labels[apart:], len(languages), seed)
-    t = temperature(np.stack([x @ w[slots] for slots, x in vectors[:apart]]), labels[:apart]) if apart else 1.0
+    apart, train = np.flatnonzero(kept_out), np.flatnonzero(~kept_out)
+    w = ftrl([vectors[i] for i in train], labels[train], len(languages), seed)
+    t = temperature(np.stack([vectors[i][1] @ w[vectors[i][0]] for i in apart]), labels[apart]) if len(apart) else 1.0
     return {"languages": languages, "idf": idf.astype(np.float32), "weights": w.astype(np.float32), "temperature": t}
 
 

@@ -88,3 +88,16 @@ def test_samples_are_the_smallest_hashes(spark):
     for n in (10, 700, 60_000):
         assert sorted(r["h"] for r in smallest(rows, "h", n).collect()) == want[:n]
     assert smallest(rows.limit(0), "h", 5).count() == 0
+
+
+def test_language_sample_keeps_rare_languages_and_folds_copies(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TRAIN", 100)
+    rows = [(i, f"the cat {i} and the dog in house {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", "en") for i in range(2000)]
+    rows += [(i, "one text that a third of all rows repeat", "en") for i in range(2000, 3000)] + [(3000, "кошка и собака", "ru"), (3001, "собака и дом", "ru")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    assert language_id.fit(docs)["languages"] == ["en", "ru"]
+    hashed = docs.select("text", "lang", language_id.F.xxhash64("lang", "text").alias("__h"))
+    sample, each = language_id.drawn(hashed)
+    found = [(r["lang"], r["text"]) for r in sample.collect()]
+    assert each == 60 and len(found) == len(set(found)) and each <= len(found) - 2 <= each + 12 * each**0.5 + 12
+    assert sum(lang == "ru" for lang, _ in found) == 2
