@@ -7,7 +7,9 @@ weights stay zero. A temperature fitted on rows kept out of the training then ca
 
 The fit takes a bounded sample of each language: its distinct texts with the smallest seeded hashes, a language's share of
 TRAIN (and a fifth of that for the temperature) and LEAST_TEXTS at least, so at most the larger of 7,200 and 60 for each
-language; every language with a labelled text is in the model, and the prior leans to equal languages. Texts are whole. Document frequencies come from the same rows. Scoring
+language; every language with a labelled text is in the model, and the prior leans to equal languages. Texts are whole. Document frequencies and N come from all texts with a letter that fit is
+given, labelled or not: each task adds up one array of FEATURES slots, and their sums, of that fixed size, reach the
+driver. Scoring
 covers every row and whole texts, where each partition lies; the model that travels is FEATURES x languages floats.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; texts of any length are read whole; a null
@@ -25,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, mixed
+from .common import documents, held_out, mixed, sliced
 
 FEATURES = 1 << 16
 TRAIN = 6000
@@ -100,8 +102,31 @@ def drawn(rows: DataFrame) -> tuple[DataFrame, int]:
     return rows.join(F.broadcast(limits), "lang").filter("__h <= __limit").select("text", "lang", "__h").distinct(), each
 
 
+def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """How many texts of docs (text) have a letter, and how many of them have each slot."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last place counts the texts
+        df = np.zeros(FEATURES + 1, np.int64)
+        for batch in sliced(batches):
+            for t in batch.column("text").to_pylist():
+                slots, _ = counts(t)
+                if len(slots):
+                    df[slots] += 1
+                    df[FEATURES] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["slot", "n"])
+
+    rows = docs.filter("text is not null").select("text").mapInArrow(add, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    df = np.zeros(FEATURES + 1)
+    for r in rows:
+        df[r["slot"]] = r["n"]
+    return int(df[FEATURES]), df[:FEATURES]
+
+
 def fit(labelled: DataFrame, seed: int = 11) -> dict:
-    """The model of labelled (doc_id, text, lang): languages, idf, weights, temperature."""
+    """The model of labelled (doc_id, text, lang): languages, idf, weights, temperature. Rows without a label count for
+    the idf alone."""
     order = F.xxhash64(F.lit(seed), F.col("lang"), F.col("text"))
     rows = labelled.filter("text is not null and lang is not null").select("text", "lang", order.alias("__h"))
     sample, each = drawn(rows)
@@ -120,10 +145,8 @@ def fit(labelled: DataFrame, seed: int = 11) -> dict:
     languages = sorted(pdf["lang"].unique())
     rows = [(np.frombuffer(s, np.uint16).astype(np.int64), np.frombuffer(c, np.float32).astype(np.float64)) for s, c in zip(pdf["slots"], pdf["counts"])]
     labels = np.array([languages.index(x) for x in pdf["lang"]], np.int64)
-    df = np.zeros(FEATURES)
-    for slots, _ in rows:
-        df[slots] += 1
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    n_texts, df = frequencies(labelled)
+    idf = np.log((1 + n_texts) / (1 + df)) + 1
     vectors = [(slots, weighed(slots, n, idf)) for slots, n in rows]
     if not languages:
         return {"languages": [], "idf": idf, "weights": np.zeros((FEATURES, 0)), "temperature": 1.0}

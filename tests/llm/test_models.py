@@ -101,3 +101,13 @@ def test_language_sample_keeps_rare_languages_and_folds_copies(spark, monkeypatc
     found = [(r["lang"], r["text"]) for r in sample.collect()]
     assert each == 60 and len(found) == len(set(found)) and each <= len(found) - 2 <= each + 12 * each**0.5 + 12
     assert sum(lang == "ru" for lang, _ in found) == 2
+
+
+def test_language_idf_covers_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TRAIN", 100)
+    texts = [f"word {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} of many" for i in range(600)] + ["123", None]
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else None) for i, t in enumerate(texts)], "doc_id int, text string, lang string").repartition(5)
+    df = np.zeros(language_id.FEATURES)
+    for t in texts[:600]:
+        df[language_id.counts(t)[0]] += 1
+    assert np.allclose(language_id.fit(docs)["idf"], np.log(601 / (1 + df)) + 1)
