@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,20 +23,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is set, a local session gets one here;
+    a cluster gets an error, since its executors don't see one another's folders."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if not told:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         told = "/tmp/checkpoints/platterlens"
         spark.conf.set("spark.checkpoint.dir", told)
     return told.rstrip("/")
 
 
+#: Spark's own setting that removes an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
+    """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors. The shuffle
+    files of the write go when it ends, since nothing reads them any more."""
     spark = df.sparkSession
-    spark.sparkContext._jvm.System.gc()  # Spark's cleaner then deletes the shuffle files of lineages cut before
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,11 +70,20 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Batches in slices of at most so many rows, which bounds what a worker holds as Python objects."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of at most so many rows and bytes of text, which bounds what a worker holds as Python objects. A
+    row that is longer than that is a slice of its own."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+            end = min(max(end, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def smallest(rows: DataFrame, order: str, n: int, *ties: str) -> DataFrame:

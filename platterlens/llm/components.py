@@ -9,7 +9,7 @@ from .common import drop_written, written
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of links (a, b): root is the smallest node reachable.
+    """(node, root) for every node of links (a, b), a written table: root is the smallest node reachable.
 
     Every round points each node's larger neighbours at its smallest neighbour and then smaller ones likewise; the rounds
     needed grow with the logarithm of the longest path. Rounds are written tables in the shared folder, so a lost
@@ -28,4 +28,6 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
         if not changed:
             roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-            return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            told = written(roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
+            drop_written(edges)
+            return told

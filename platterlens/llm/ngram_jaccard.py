@@ -2,18 +2,23 @@
 
 1. Sets. A document's set holds 64-bit hashes of its distinct k-word runs. Documents with equal sets form a class, known
    by (size, hash of the set); from here on one document stands for its class, so copies cost nothing.
-2. Tiles. Shingles are put in one order for all documents: those that many documents hold last, the others by hash. Two
-   sets that link must share c of their first size - ceil(t * size) + c shingles, so each class goes to the tiles of
-   those shingles, with c about a twenty-fifth of its size; a class with fewer than c tiles that hold another class can't
-   link and leaves. A tile is sorted by size and only sizes within the band that t allows meet.
-3. Stars. In each tile every class is paired with a few leaders (lowest ids) of its band; the leaders that a class shares
-   most tiles with are compared exactly. That joins nearly all of a large group without naming its pairs.
+2. Tiles. Sizes fall in bands. Within a band, sets are cut into the same ranges of the hash space, more ranges than two
+   sets that link can differ in elements: most of their ranges are then equal. Two sets that differ in h elements agree
+   in all but h ranges, so among a set's h + 1 fullest ranges there is one that the other set has too, and also among its
+   own h + 1 fullest. A class goes to the tiles of those: (band, range, hash of what lies in it). Equal ranges hold several
+   shingles each, so sets that do not resemble one another hardly ever meet, whatever the number of documents.
+3. Stars. In each tile every class is paired with the class that has most company in all its tiles; the one of these that a
+   class shares most tiles with is compared exactly. That joins nearly all of a large group without naming its pairs.
 4. Nearest. In tiles that still hold more than one component, classes of different components meet through bitmap
    signatures: the bits of one that the other lacks bound the overlap from above. Each class is compared, by intersection
    of sorted arrays, with the one that its bounds leave nearest, which joins nearly all that is left to join.
 5. Rest. Classes that had other pairs besides, and still lie in different components, meet once more, and all pairs that
-   pass the bounds in c tiles or more are compared. Nothing is capped: every pair that could link is in one component
-   already, refused by a bound, or compared.
+   pass the bounds are compared. Nothing is capped: every pair that could link is in one component already, refused by a
+   bound, or compared.
+
+Tiles are never gathered. Their leaders, components and sizes are aggregates that fold in the map tasks, they go back
+to the rows by joins that adaptive execution can split, and where classes of one tile meet, CELL of them meet CELL others
+in a task of their own.
 
 All steps are shuffles by key; no pairs of equal or already joined documents are made, and no set, link or
 component comes to the driver.
@@ -25,7 +30,10 @@ result.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -38,14 +46,12 @@ from pyspark.sql import functions as F
 from .common import WordHashes, documents, drop_written, mixed, shingle_hashes, sliced, written
 from .components import components
 
-#: Shingles counted as common: those above one in COMMON of all shingle occurrences; there can't be more than COMMON.
-COMMON = 1 << 19
-#: Leaders a class is paired with in a tile, and leaders it is compared with.
-LEADERS, COMPARED = 4, 1
+#: A band's largest size as a power of 1 / t over its smallest, and ranges there are for each that is needed.
+STEPS, SPARE = 3, 1.3
 #: Stands for a null id within: smaller than any other.
 LOWEST = -(1 << 63)
-#: Members that one task compares with a leader.
-CHUNK = 256
+#: Members that one task compares with a leader, and classes of a tile that meet as many others in one task, about.
+CHUNK, CELL = 256, 1024
 
 
 def word_shingles(data: bytes, k: int, table: WordHashes) -> np.ndarray:
@@ -61,82 +67,51 @@ def class_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
-def least_shared(n: int) -> int:
-    """Tiles that sets of n shingles or more share if they link."""
-    return 1 + n // 25
-
+@lru_cache
+def band_starts(num: int, den: int) -> list[int]:
+    """Smallest size of each band. A set that links with one of band i lies in band i - 1, i or i + 1."""
+    starts = [1]
+    while starts[-1] < 1 << 40:
+        starts.append(max(starts[-1] + 1, starts[-1] * den**STEPS // num**STEPS))
+    return starts
 
-def prefix_size(n: int, num: int, den: int) -> int:
-    """The first so many shingles of sets that link have least_shared(the smaller size) in common."""
-    return min(n, n - -(-num * n // den) + least_shared(n))
 
+def differing(both: int, num: int, den: int) -> int:
+    """Elements at most that lie in one only of two linked sets, of so many elements together."""
+    return both * (den - num) // (den + num)
 
-def _bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
-    return batch.column(name).cast(pa.binary()).to_pylist()
 
+@lru_cache(4096)
+def range_starts(band: int, num: int, den: int) -> np.ndarray:
+    """Where the ranges begin that the sets of a band are cut into."""
+    largest = band_starts(num, den)[band + 1] - 1
+    ranges = ceil(SPARE * (differing(largest + largest * den // num, num, den) + 1))
+    return np.array([(j << 64) // ranges for j in range(ranges)], np.uint64)
 
-def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
-    """Sorted hashes of common shingles, each with its rank by count.
 
-    A task counts the distinct texts it sees and passes on what holds at least one in COMMON of its own occurrences: a
-    shingle above that share of all occurrences is above it in some task. At most COMMON reach the driver, 8 MB. The
-    counts only choose the order; any order gives the same links.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen, total, size = WordHashes(), set(), 0, 0
-        pending: list[np.ndarray] = []
-        held = np.empty(0, np.uint64), np.empty(0, np.int64)
+def range_tokens(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The tiles of a sorted set: its fullest ranges in its own band, and in the band below if a set there can link."""
+    starts, n = band_starts(num, den), len(s)
+    band = bisect_right(starts, n) - 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
+    out = []
+    for of, partner in ((band, n * den // num), (band - 1, starts[band] - 1)):
+        differ = differing(n + partner, num, den)
+        if of < 0 or not differ or n > partner * den // num:
+            continue
+        at = np.append(np.searchsorted(s, range_starts(of, num, den)), n)
+        fullest = np.argsort(-np.diff(at), kind="stable")[: differ + 1]
+        out.append(mixed(sums[at[fullest + 1]] - sums[at[fullest]] + mixed(fullest.astype(np.uint64) + np.uint64(of << 32))))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
-        def fold() -> tuple[np.ndarray, np.ndarray]:
-            values, counts = np.unique(np.concatenate(pending), return_counts=True)
-            both = np.concatenate([held[0], values])
-            order = np.argsort(both, kind="stable")
-            both = both[order]
-            first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
-            return both[first], np.add.reduceat(np.concatenate([held[1], counts])[order], first)
 
-        for batch in sliced(batches):
-            for data in _bytes(batch, "text"):
-                key = xxhash.xxh3_64_intdigest(data)
-                if key in seen:
-                    continue
-                seen.add(key)
-                runs = shingle_hashes(table.of(data.lower().split()), k)
-                pending.append(runs)
-                size += len(runs)
-                total += len(runs)
-                if size > 1_500_000:
-                    held, pending, size = fold(), [], 0
-        if size:
-            held = fold()
-        often = held[1] >= max(4, total / COMMON)
-        columns = np.r_[held[0][often].astype(np.int64), 0], np.r_[held[1][often], 0], np.r_[np.zeros(often.sum(), np.int64), total]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["shingle", "n", "total"])
-
-    counted = written(texts.select("text").mapInArrow(count, "shingle long, n long, total long").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "counts")
-    total = counted.agg(F.sum("total")).first()[0] or 0
-    found = counted.filter((F.col("n") >= 4) & (F.col("n") >= total / COMMON)).toPandas().sort_values(["n", "shingle"])
-    drop_written(counted)
-    shingles = found["shingle"].to_numpy(np.int64).astype(np.uint64)
-    order = np.argsort(shingles)
-    return np.stack([shingles[order], order.astype(np.uint64)])
-
-
-def _ordered(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Sort keys of shingles in the one order: uncommon by hash, then common by count."""
-    keys = mixed(s) >> np.uint64(1)
-    if common.shape[1]:
-        at = np.minimum(np.searchsorted(common[0], s), common.shape[1] - 1)
-        hit = common[0][at] == s
-        keys[hit] = (np.uint64(1) << np.uint64(63)) + common[1][at[hit]]
-    return keys
+def _bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
+    return batch.column(name).cast(pa.binary()).to_pylist()
 
 
 def class_table(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, cid, n, tokens) of every document; tokens: the packed prefix, null where this task has given it for the
-    same set already."""
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))
+    """(doc_id, cid, n, tokens) of every document; tokens: the packed tiles, null where this task has given them for the
+    same set already or there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = WordHashes(), set()
@@ -153,94 +128,34 @@ def class_table(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add((n, cid))
-                p = prefix_size(n, num, den)
-                tokens.append(s[np.argpartition(_ordered(s, common.value), p - 1)[:p]].tobytes())
+                tokens.append(range_tokens(s, num, den).tobytes() or None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary())], ["doc_id", "cid", "n", "tokens"])
 
     return written(docs.mapInArrow(run, "doc_id long, cid long, n long, tokens binary"), "classes")
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, n, cid) rows of packed prefixes."""
-    for batch in batches:
+    """(token, cid) rows of packed tiles."""
+    for batch in sliced(batches):
         packed = batch.column("tokens").to_pylist()
-        if packed:
-            times = np.array([len(p) // 8 for p in packed])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(b"".join(packed), np.int64)), pa.array(np.repeat(batch.column("n").to_numpy(), times)), pa.array(np.repeat(batch.column("cid").to_numpy(), times))], ["token", "n", "cid"]
-            )
-
-
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-    """Whole tiles of rows sorted by token, many to a frame; a tile that spans batches is put together."""
-    rest: list[pd.DataFrame] = []
-    for batch in batches:
-        pdf = batch.to_pandas()
-        if not len(pdf):
-            continue
-        last = pdf["token"].iloc[-1]
-        cut = int(np.searchsorted(pdf["token"].to_numpy(), last))
-        if cut or (rest and rest[0]["token"].iloc[-1] != last):
-            yield pd.concat([*rest, pdf.iloc[:cut]], ignore_index=True)
-            rest = []
-        rest.append(pdf.iloc[cut:])
-    if rest:
-        yield pd.concat(rest, ignore_index=True)
-
-
-def _runs(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-    return starts, np.diff(np.r_[starts, len(tokens)])
+        times = np.array([len(p) // 8 for p in packed])
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(packed), np.int64)), pa.array(np.repeat(batch.column("cid").to_numpy(), times))], ["token", "cid"])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and class, those of tokens with two classes or more, each class once."""
-    for pdf in _tiles(batches):
-        t, c = pdf["token"].to_numpy(), pdf["cid"].to_numpy()
-        pdf = pdf[np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])]]
-        _, sizes = _runs(pdf["token"].to_numpy())
-        yield pa.RecordBatch.from_pandas(pdf[np.repeat(sizes > 1, sizes)], preserve_index=False)
+def shared_tiles(classes: DataFrame) -> DataFrame:
+    """(token, cid, m) of tiles with two classes or more: each of their classes once, and about how many the tile has."""
+    rows = classes.filter("tokens is not null").select("cid", "tokens").mapInArrow(_spread, "token long, cid long")
+    counted = rows.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.count("*").alias("m"))
+    return written(rows.join(counted.filter("low < high").select("token", "m"), "token").distinct(), "tiles")
 
 
-def shared_tiles(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(token, n, cid) of tiles with two classes or more, of classes that have enough of them to link."""
-    shape = "token long, n long, cid long"
-    rows = classes.filter("tokens is not null").select("n", "cid", "tokens").mapInArrow(_spread, shape)
-    first = written(rows.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(_shared, shape), "tiles")
-    smaller = F.floor((F.col("n") * num + den - 1) / den)
-    enough = first.groupBy("cid", "n").count().filter(F.col("count") >= 1 + F.floor(smaller / 25)).select("cid")
-    left = first.join(enough, "cid", "left_semi").select("token", "n", "cid")
-    tiles = written(left.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(_shared, shape), "tiles")
-    drop_written(first)
-    return tiles
-
-
-def leader_pairs(tiles: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): every class of a shared tile with the leaders that it shares most tiles with."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pdf in _tiles(batches):
-            t, n, c = (pdf[x].to_numpy() for x in ("token", "n", "cid"))
-            starts, _ = _runs(t)
-            start_of = np.repeat(starts, np.diff(np.r_[starts, len(t)]))
-            out = []
-            for k in range(LEADERS):
-                at = start_of + k
-                ok = at < np.arange(len(t))
-                at, me = at[ok], np.flatnonzero(ok)
-                ok = (np.minimum(n[at], n[me]) * den >= num * np.maximum(n[at], n[me]))
-                out.append((c[at[ok]], c[me[ok]]))
-            # a class whose band has none of the tile's leaders is paired with the one before it in order of size
-            order = np.lexsort((c, n, t))
-            a, b = order[:-1], order[1:]
-            ok = (t[a] == t[b]) & (n[a] * den >= num * n[b])
-            out.append((np.minimum(c[a[ok]], c[b[ok]]), np.maximum(c[a[ok]], c[b[ok]])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1)], ["a", "b"])
-
-    pairs = tiles.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(run, "a long, b long")
-    counted = pairs.groupBy("a", "b").count()
-    best = counted.groupBy("b").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), "a"))), 1, COMPARED).alias("best"))
-    return best.select(F.explode("best.a").alias("a"), "b")
+def leader_pairs(tiles: DataFrame) -> DataFrame:
+    """(a, b): every class of a shared tile with the one of its tiles' leaders that it shares most tiles with. A tile's leader
+    is its class with most company in all its tiles: in a group of near copies, the one nearest to what they come from."""
+    company = tiles.groupBy("cid").agg(F.sum("m").alias("company"))
+    leaders = tiles.join(company, "cid").groupBy("token").agg(F.max(F.struct("company", "cid")).alias("leader")).select("token", F.col("leader.cid").alias("a"))
+    counted = tiles.join(leaders, "token").filter("cid <> a").groupBy("a", F.col("cid").alias("b")).count()
+    return counted.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select("best.a", "b")
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -259,20 +174,24 @@ def _folded(sig: np.ndarray, width: int) -> np.ndarray:
 def payloads(docs: DataFrame, classes: DataFrame, needed: DataFrame, k: int) -> DataFrame:
     """(cid, n, payload, sig) of the classes in needed (cid): the compressed text of one document for each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, press = WordHashes(), zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part, rows = batch.slice(start, 1000), []
-                for cid, n, text in zip(part.column("cid").to_pylist(), part.column("n").to_pylist(), _bytes(part, "text")):
-                    s = word_shingles(text, k, table)
-                    if (len(s), class_of(s)) == (n, cid):  # rows that repeat an id may hold other texts
-                        rows.append((cid, n, press.compress(text), signature(s)))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["cid", "n", "payload", "sig"])
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pressed = zstandard.ZstdCompressor(level=3)
+        for part in sliced(batches):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(pressed.compress, _bytes(part, "text")), pa.binary())], ["doc_id", "payload"])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, unpress = WordHashes(), zstandard.ZstdDecompressor()
+        for part in sliced(batches):
+            rows = []
+            for cid, n, payload in zip(*(part.column(c).to_pylist() for c in ("cid", "n", "payload"))):
+                s = word_shingles(unpress.decompress(payload), k, table)
+                if (len(s), class_of(s)) == (n, cid):  # rows that repeat an id may hold other texts
+                    rows.append((cid, n, payload, signature(s)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["cid", "n", "payload", "sig"])
 
     stands = classes.join(needed, "cid", "left_semi").groupBy("cid", "n").agg(F.min("doc_id").alias("doc_id"))
-    rows = docs.join(stands, "doc_id")
-    return written(rows.select("cid", "n", "text").mapInArrow(run, "cid long, n long, payload binary, sig binary"), "payloads")
+    rows = docs.select("doc_id", "text").mapInArrow(press, "doc_id long, payload binary").join(stands, "doc_id")
+    return written(rows.select("cid", "n", "payload").mapInArrow(sign, "cid long, n long, payload binary, sig binary"), "payloads")
 
 
 def compared(pairs: DataFrame, held: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -287,7 +206,7 @@ def compared(pairs: DataFrame, held: DataFrame, k: int, num: int, den: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, unpress = WordHashes(), zstandard.ZstdDecompressor()
         key, own = None, np.empty(0, np.uint64)
-        for batch in batches:
+        for batch in sliced(batches):
             links = []
             for a, chunk, side, cid, payload in zip(*(batch.column(c).to_pylist() for c in ("a", "chunk", "side", "cid", "payload"))):
                 s = word_shingles(unpress.decompress(payload), k, table)
@@ -304,23 +223,45 @@ def compared(pairs: DataFrame, held: DataFrame, k: int, num: int, den: int) -> D
     return links
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """Whole cells of rows sorted by cell, many to a frame; a cell that spans batches is put together."""
+    rest: list[pd.DataFrame] = []
+    for batch in batches:
+        pdf = batch.to_pandas()
+        if not len(pdf):
+            continue
+        last = pdf["cell"].iloc[-1]
+        cut = int(np.searchsorted(pdf["cell"].to_numpy(), last))
+        if cut or (rest and rest[0]["cell"].iloc[-1] != last):
+            yield pd.concat([*rest, pdf.iloc[:cut]], ignore_index=True)
+            rest = []
+        rest.append(pdf.iloc[cut:])
+    if rest:
+        yield pd.concat(rest, ignore_index=True)
+
+
 def _passing(pdf: pd.DataFrame, num: int, den: int) -> Iterator[tuple]:
-    """For each tile of signed rows: (class ids, sizes, pairs); pairs gives, for a place, the later places in order of size
+    """For each cell of signed rows: (class ids, sizes, pairs); pairs gives, for a place, the later places in order of size
     that are of another component and that bitmaps can't refuse, and what overlap those leave at most."""
-    starts, sizes = _runs(pdf["token"].to_numpy())
-    n, c, root, sigs = (pdf[x].to_numpy() for x in ("n", "cid", "root", "sig"))
-    for start, m in zip(starts.tolist(), sizes.tolist()):
-        mine = slice(start, start + m)
-        if m < 2 or (root[mine] == root[start]).all():
+    cells = pdf["cell"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+    n, c, root, chunk, sigs = (pdf[x].to_numpy() for x in ("n", "cid", "root", "chunk", "sig"))
+    for start, end in zip(starts.tolist(), np.r_[starts[1:], len(cells)].tolist()):
+        mine = slice(start, end)
+        if (root[mine] == root[start]).all():
             continue
+        across = (chunk[mine] != chunk[start]).any()  # two chunks meet here; each within itself has a cell of its own
         order = start + np.argsort(n[mine], kind="stable")
-        size, comp = n[order], root[order]
+        size, comp, side = n[order], root[order], chunk[order]
         width = len(sigs[order[0]])
         bits = np.stack([_folded(np.frombuffer(sigs[x], np.uint8), width) for x in order]).view(np.uint64)
         ends = np.searchsorted(size, size * den // num, side="right")
 
         def pairs(i: int) -> tuple[np.ndarray, np.ndarray]:
-            j = i + 1 + np.flatnonzero(comp[i + 1 : ends[i]] != comp[i])
+            meet = comp[i + 1 : ends[i]] != comp[i]
+            if across:
+                meet &= side[i + 1 : ends[i]] != side[i]
+            j = i + 1 + np.flatnonzero(meet)
             # each bit of one bitmap that the other lacks is an element that the other set lacks
             over = np.minimum(
                 size[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(axis=1, dtype=np.int64),
@@ -332,14 +273,18 @@ def _passing(pdf: pd.DataFrame, num: int, den: int) -> Iterator[tuple]:
         yield c[order], size, pairs
 
 
-def _signed(tiles: DataFrame, held: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows of tiles whose band holds more than one component, with their bitmaps, sorted by tile."""
+def _signed(tiles: DataFrame, held: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of tiles that hold more than one component, with their bitmaps, sorted by cell. A tile of more than CELL classes
+    is dealt into chunks, and every two chunks meet in a cell."""
     known = roots.select(F.col("node").alias("cid"), "root")
-    rows = tiles.join(known, "cid", "left").select("token", "n", "cid", F.coalesce("root", "cid").alias("root"))
-    shape = "token long, n long, cid long, root long"
-    crossing = rows.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(lambda batches: _crossing(batches, num, den), shape)
-    signed = crossing.join(held.select("cid", "sig"), "cid").select("token", "n", "cid", "root", "sig")
-    return signed.repartition("token").sortWithinPartitions("token", "n", "cid")
+    rows = tiles.select("token", "cid").join(known, "cid", "left").select("token", "cid", F.coalesce("root", "cid").alias("root"))
+    spread = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"))
+    chunks = spread.filter("low < high").select("token", F.ceil(F.col("m") / CELL).cast("int").alias("chunks"))
+    dealt = rows.join(chunks, "token").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cell = F.when(F.col("chunks") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("chunk", "with"), F.greatest("chunk", "with")))
+    signed = met.select(cell.alias("cell"), "cid", "root", "chunk").join(held.select("cid", "n", "sig"), "cid")
+    return signed.repartition("cell").sortWithinPartitions("cell", "n", "cid")
 
 
 def nearest_pairs(tiles: DataFrame, held: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
@@ -355,7 +300,7 @@ def nearest_pairs(tiles: DataFrame, held: DataFrame, roots: DataFrame, num: int,
             kinds = (pa.int64(), pa.float64(), pa.int64(), pa.bool_())
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], ["cid", "share", "other", "more"])
 
-        for pdf in _tiles(batches):
+        for pdf in _cells(batches):
             for ids, size, pairs in _passing(pdf, num, den):
                 share, other, times = np.full(len(ids), -1.0), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
                 for i in range(len(ids) - 1):
@@ -381,38 +326,32 @@ def nearest_pairs(tiles: DataFrame, held: DataFrame, roots: DataFrame, num: int,
                 yield told()
         yield told()
 
-    found = _signed(tiles, held, roots, num, den).mapInArrow(run, "cid long, share double, other long, more boolean")
+    found = _signed(tiles, held, roots).mapInArrow(run, "cid long, share double, other long, more boolean")
     nearest = F.max(F.struct("share", "other"))
     return written(found.groupBy("cid").agg(nearest.alias("x"), (F.bool_or("more") | (F.min("other") != F.max("other"))).alias("more")).select("cid", F.col("x.other").alias("other"), "more"), "nearest")
 
 
 def rest_pairs(tiles: DataFrame, held: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of different components that share enough tiles and that bitmaps can't refuse."""
+    """(a, b) of different components that bitmaps can't refuse."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said: dict[tuple[int, int], list[int]] = {}
+        said: set[tuple[int, int]] = set()
 
         def told() -> pa.RecordBatch:
-            rows = [(a, b, *x) for (a, b), x in said.items()]
+            rows = list(said)
             said.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(4)], ["a", "b", "times", "need"])
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(2)], ["a", "b"])
 
-        for pdf in _tiles(batches):
-            for ids, size, pairs in _passing(pdf, num, den):
+        for pdf in _cells(batches):
+            for ids, _, pairs in _passing(pdf, num, den):
                 for i in range(len(ids) - 1):
-                    own, need = int(ids[i]), least_shared(int(size[i]))
-                    for x in ids[pairs(i)[0]].tolist():
-                        pair = (min(own, x), max(own, x))
-                        if pair in said:
-                            said[pair][0] += 1
-                        else:
-                            said[pair] = [1, need]
+                    own = int(ids[i])
+                    said.update((min(own, x), max(own, x)) for x in ids[pairs(i)[0]].tolist())
                 if len(said) > 500_000:
                     yield told()
         yield told()
 
-    pairs = _signed(tiles, held, roots, num, den).mapInArrow(run, "a long, b long, times long, need long")
-    return pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.first("need").alias("need")).filter("times >= need").select("a", "b")
+    return _signed(tiles, held, roots).mapInArrow(run, "a long, b long").distinct()
 
 
 def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -421,43 +360,35 @@ def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
     upper = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     fresh = upper.select("node", F.col("node").alias("root")).join(roots.select("node"), "node", "left_anti")
     lifted = roots.unionByName(fresh).join(upper.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "left")
-    return written(lifted.select("node", F.coalesce("upper", "root").alias("root")), "roots")
-
-
-def _crossing(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Of tiles sorted by token and size, the rows whose band holds more than one component."""
-    for pdf in _tiles(batches):
-        t, n, root = (pdf[x].to_numpy() for x in ("token", "n", "root"))
-        starts, sizes = _runs(t)
-        tile = np.repeat(np.arange(len(starts)), sizes).astype(np.int64) << 32
-        key = tile + n
-        lo, hi = np.searchsorted(key, tile - (-num * n // den)), np.searchsorted(key, tile + n * den // num, side="right")
-        changes = np.cumsum(np.r_[0, root[1:] != root[:-1]])
-        yield pa.RecordBatch.from_pandas(pdf[changes[hi - 1] > changes[lo]], preserve_index=False)
+    told = written(lifted.select("node", F.coalesce("upper", "root").alias("root")), "roots")
+    drop_written(upper)
+    return told
 
 
 def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, n, component_id) for every row of docs (doc_id, text); similarity num / den or more links."""
     texts = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     classes = class_table(texts, k, num, den)
-    tiles = shared_tiles(classes, num, den)
+    tiles = shared_tiles(classes)
     held = payloads(texts, classes, tiles.select("cid").distinct(), k)
-    stars = compared(leader_pairs(tiles, num, den), held, k, num, den)
-    roots = written(components(stars), "roots")
+    stars = compared(leader_pairs(tiles), held, k, num, den)
+    roots = components(stars)
     near = nearest_pairs(tiles, held, roots, num, den)
     closest = compared(near.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct(), held, k, num, den)
-    roots = joined_roots(roots, closest)
-    left = tiles.join(near.filter("more").select("cid"), "cid", "left_semi").select("token", "n", "cid")
-    roots = joined_roots(roots, compared(rest_pairs(left, held, roots, num, den), held, k, num, den))
-    for done in (held, tiles, near):
-        drop_written(done)
+    closer = joined_roots(roots, closest)
+    left = tiles.join(near.filter("more").select("cid"), "cid", "left_semi")
+    rest = compared(rest_pairs(left, held, closer, num, den), held, k, num, den)
+    final = joined_roots(closer, rest)
     # a component's smallest doc_id: classes fold their documents first, then components fold their classes
     owns = classes.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("least"))
-    rooted = owns.join(roots.withColumnsRenamed({"node": "cid"}), "cid", "left").select("cid", "n", "least", F.coalesce("root", "cid").alias("root"))
+    rooted = owns.join(final.withColumnsRenamed({"node": "cid"}), "cid", "left").select("cid", "n", "least", F.coalesce("root", "cid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = rooted.join(least, "root").select("cid", "n", "component_id")
     found = classes.select("doc_id", "cid", "n").join(by_class, ["cid", "n"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return found.select(F.nullif("doc_id", F.lit(LOWEST)).alias("doc_id"), "n", F.nullif("component_id", F.lit(LOWEST)).alias("component_id"))
+    told = written(found.select(F.nullif("doc_id", F.lit(LOWEST)).alias("doc_id"), "n", F.nullif("component_id", F.lit(LOWEST)).alias("component_id")), "groups")
+    for done in (classes, tiles, held, stars, roots, near, closest, closer, rest, final):
+        drop_written(done)
+    return told
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
