@@ -151,11 +151,20 @@ def drawn_alike(a: Column, b: Column) -> Column:
 
 
 def unescape_xml(s: Column) -> Column:
-    """The five named entities and decimal references of ASCII; others stay as they stand."""
-    out = s
-    for name, plain in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("#39", "'"), ("#34", '"'), ("amp", "&")):
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(plain))
-    return out
+    """Named entities of XML, and decimal and hexadecimal references, in one pass from left to right: what a reference
+    stands for is never read again. References to no character, and other entities, stay as they stand."""
+    named = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+    tokens = F.regexp_extract_all(s, F.lit(r"(?s)(&(?:lt|gt|quot|apos|amp|#[0-9]+|#[xX][0-9a-fA-F]+);|[^&]+|&)"), F.lit(1))
+
+    def plain(t: Column) -> Column:
+        code = F.when(t.rlike("^&#[0-9]{1,8};$"), F.regexp_extract(t, "([0-9]+)", 1).try_cast("long")).when(t.rlike("^&#[xX][0-9a-fA-F]{1,8};$"), F.conv(F.regexp_extract(t, "[xX]([0-9a-fA-F]+)", 1), 16, 10).try_cast("long"))
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        out = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "utf-32")).otherwise(t)
+        for name, value in named.items():
+            out = F.when(t == name, value).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(tokens, plain), "")
 
 
 def escape_html(s: Column) -> Column:
@@ -218,3 +227,27 @@ def music_detail(year: Column, country: Column, label: Column, disc: Column, dis
 def counted(n: Column, one: str, many: str) -> Column:
     """`1 episode`, `2 episodes`; null for none."""
     return F.when(n == 1, F.lit(f"1 {one}")).when(n > 1, F.concat(n.cast("string"), F.lit(f" {many}")))
+
+
+def percent_decode(s: Column) -> Column:
+    """%XX as bytes, read as UTF-8; a plus sign stays one, and so does a percent sign that no two digits follow."""
+    lone = F.regexp_replace(s, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.try_url_decode(F.replace(lone, F.lit("+"), F.lit("%2B")))
+
+
+def destination(root: Column, system: Column, name: Column, several: Column) -> Column:
+    """A disc's place below root: its system's folder, or that of discs nobody knows, and a folder of its own if it has
+    several files."""
+    folder = F.when(F.coalesce(system, F.lit("")) != "", sanitize(system)).otherwise("Unidentified")
+    clean = sanitize(name)
+    return F.concat_ws("/", root, folder, F.when(several, clean), clean)
+
+
+def track_file(stem_: Column, number: Column) -> Column:
+    return F.concat(stem_, F.format_string(" (Track %02d).bin", number))
+
+
+def log_name(started: Column, label: Column) -> Column:
+    """A log's file name: when the job began, and what is safe of the disc's label."""
+    safe = F.trim(F.regexp_replace(label, r"[^\p{IsAlphabetic}\p{N}_-]", "-"), F.lit("-"))
+    return F.concat(started, F.when(safe != "", F.concat(F.lit("-"), safe)).otherwise(""), F.lit(".log"))

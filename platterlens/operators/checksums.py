@@ -121,3 +121,11 @@ def digests(files: DataFrame, content: str = "content") -> DataFrame:
     """files with bytes, crc32 and sha1 of their content, by the JVM's functions."""
     data = F.col(content).cast("binary")
     return files.withColumns({"bytes": F.octet_length(data).cast("long"), "crc32": F.crc32(data), "sha1": F.sha1(data)})
+
+
+def scan_health(printed: DataFrame, by: list[str]) -> DataFrame:
+    """(by, failed, read_errors) of printed (by, seq, line): the files whose key could not be found, each once, and how many
+    lines tell of sectors that can't be read."""
+    file = F.regexp_extract("line", r"Error cracking CSS key for\s+(\S+)", 1)
+    unread = F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").rlike("cannot read from device|error reading nav packet|read error")
+    return printed.groupBy(*by).agg(F.collect_set(F.when(file != "", file)).alias("failed"), F.count_if(unread).alias("read_errors"))

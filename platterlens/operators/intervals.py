@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sentences import rescue_summary
+
 
 def union(ranges: DataFrame, by: list[str]) -> DataFrame:
     """(by, start, end): overlapping or touching ranges joined; empty ones go."""
@@ -62,3 +64,25 @@ def chain_numbers(specs: DataFrame, spec: str) -> DataFrame:
     ends = F.transform(parts, lambda p: F.struct(F.trim(F.split(p, "-")[0]).try_cast("int").alias("a"), F.trim(F.element_at(F.split(p, "-"), -1)).try_cast("int").alias("b")))
     good = F.forall(ends, lambda e: e.a.isNotNull() & e.b.isNotNull() & (e.a <= e.b))
     return specs.withColumn("numbers", F.when(good, F.array_sort(F.array_distinct(F.flatten(F.transform(ends, lambda e: F.sequence(e.a, F.greatest(e.a, e.b))))))))
+
+
+def report(runs: DataFrame, by: list[str], sector_bytes: int) -> DataFrame:
+    """(by, summary, done, first_start) of runs (by, start, end, state): what is recovered, left and bad in a sentence,
+    whether nothing is left to try, and where the first run that is begins."""
+    sizes = summary(runs, by, ["Finished", "Bad"])
+    first = runs.groupBy(*by).agg(F.bool_and(F.col("state").isin("Finished", "Bad")).alias("done"), F.min(F.when(F.col("state") == "Untried", F.col("start"))).alias("first_start"))
+    left = F.col("total") - F.col("Finished") - F.col("Bad")
+    return sizes.join(first, by).select(*by, rescue_summary(F.col("Finished"), left, F.col("Bad"), sector_bytes).alias("summary"), "done", "first_start")
+
+
+def in_state(runs: DataFrame, state: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The runs of one state, and the first of each map."""
+    mine = runs.filter(F.col("state") == state)
+    return mine, mine.groupBy(*by).agg(F.min(F.struct("start", "end", "state")).alias("run")).select(*by, "run.*")
+
+
+def pregaps(sectors: DataFrame, by: list[str]) -> DataFrame:
+    """(by, track, pregap) of sectors (by, track, lba, seq, index, countdown): by the first sector filed under a track, 0 if
+    its index is not 0, else one more than what it counts down."""
+    first = sectors.groupBy(*by, "track").agg(F.min_by(F.struct("index", "countdown"), F.struct("lba", "seq")).alias("q"))
+    return first.select(*by, "track", F.when(F.col("q.index") != 0, F.lit(0)).otherwise(F.col("q.countdown") + 1).cast("long").alias("pregap"))

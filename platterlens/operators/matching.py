@@ -62,6 +62,38 @@ def match_partly(left: DataFrame, right: DataFrame) -> DataFrame:
     return best.select("id", "best.match_id", "best.matched", "n")
 
 
+def over_datfiles(dumps: DataFrame, entries: DataFrame) -> DataFrame:
+    """Whole dumps against several datfiles: dumps (id, pos, part), entries (dat_pos, game_pos, game, pos, part).
+
+    whole_dat and whole_game: the first datfile that has all parts in order, and its first entry. near_game, matched, n and
+    differing (places from 1): the entry of as many parts of which most agree, the last datfile and entry of equals. An
+    entry numbered as the dump itself is not compared with it.
+    """
+    whole = lambda parts, keys: parts.groupBy(*keys).agg(F.sha1(F.to_json(F.array_sort(F.collect_list(F.struct("pos", "part")))).cast("binary")).alias("whole"), F.count("*").alias("n"))
+    asked = whole(dumps, ["id"])
+    # equal entries are known by their first two and last two, which is all an answer needs
+    place = F.struct("dat_pos", "game_pos", "game")
+    known = whole(entries, ["dat_pos", "game_pos", "game"]).groupBy("whole", "n").agg(F.slice(F.array_sort(F.collect_set(place)), 1, 2).alias("first"), F.slice(F.sort_array(F.collect_set(place), asc=False), 1, 2).alias("last"))
+    other = lambda found: F.get(F.filter(found, lambda e: e.game_pos != F.col("id")), F.lit(0))
+    hits = asked.join(known.select("whole", "first"), "whole", "left").select("id", other(F.col("first")).alias("hit"))
+    parts = entries.join(known.select("whole", "n", "last").withColumn("stand", F.col("last")[0]["game_pos"]), F.col("game_pos") == F.col("stand")).select("whole", "n", "last", "pos", "part")
+    met = dumps.join(asked.select("id", "n"), "id").join(parts, ["n", "pos", "part"])
+    scored = met.groupBy("id", "n", "whole", "last").agg(F.count("*").alias("matched"), F.collect_set("pos").alias("same"))
+    ranked = scored.withColumn("entry", other(F.col("last"))).filter("entry is not null").groupBy("id", "n").agg(F.max(F.struct("matched", "entry", "same")).alias("b"))
+    all_parts = dumps.groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("all"))
+    near = ranked.join(all_parts, "id").select("id", F.col("b.entry.game").alias("near_game"), F.col("b.matched").alias("matched"), "n", F.transform(F.array_except("all", "b.same"), lambda p: p + 1).alias("differing"))
+    return hits.join(near, "id", "left").select("id", F.col("hit.dat_pos").alias("whole_dat"), F.col("hit.game").alias("whole_game"), "near_game", "matched", "n", "differing")
+
+
+def preselect(tags: DataFrame, aliases: DataFrame, wanted: list[str]) -> DataFrame:
+    """All tags (group, tag_pos, tag) as they are offered: preferred ones first, in the order of preference and ticked, the
+    others after them in their own."""
+    ticked = by_preference(tags, aliases, wanted, fallback=False).select("group", "tag", F.col("out_pos").alias("__place"))
+    joined = tags.join(ticked, ["group", "tag"], "left")
+    order = Window.partitionBy("group").orderBy(F.col("__place").asc_nulls_last(), "tag_pos")
+    return joined.withColumns({"out_pos": F.row_number().over(order), "ticked": F.col("__place").isNotNull()}).drop("__place")
+
+
 def by_preference(tags: DataFrame, aliases: DataFrame, wanted: list[str] | None, fallback: bool = True) -> DataFrame:
     """Of tags (group, tag_pos, tag) those that a preference list selects, with out_pos, their place in it.
 

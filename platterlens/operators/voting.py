@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import drawn_alike, same_letter
 
+#: Ranges that a group's values are summed in before one of them is sorted.
+RANGES = 64
+
 
 def ranked(votes: DataFrame) -> DataFrame:
     """(key, total, n_labels, top, top_n, second, second_n) of votes (key, label, n): most votes first, then by label.
@@ -44,15 +47,28 @@ def mode(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return best.select(*by, F.col("b.value").alias(value), (-F.col("b.m")).alias("n"))
 
 
+def joined_by(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """left with the columns of right (by, ...), nulls of by being equal."""
+    renamed = right.withColumnsRenamed({c: f"__by_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
+    return left.join(renamed, same).drop(*(f"__by_{c}" for c in by))
+
+
 def index_quantile(rows: DataFrame, by: list[str], value: str, num: int, den: int) -> DataFrame:
-    """The value at index n * num / den (whole division) of each group's sorted values.
+    """The value at index n * num / den (whole division) of each group's sorted values, which are numbers.
 
     Equal values fold to counts first, so a hot group sends one row for each distinct value and task, not all its rows.
+    Values fall in RANGES ranges by cuts that are about its quantiles; only the range in which the index lies is sorted.
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    end = F.sum("__n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ends = counts.withColumns({"__end": end, "__all": F.sum("__n").over(Window.partitionBy(*by))})
+    whole = counts.groupBy(*by).agg(F.sum("__n").alias("__all"), F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 20 * RANGES).alias("__cuts"))
+    ranged = joined_by(counts, whole, by).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    sums = ranged.groupBy(*by, "__range").agg(F.sum("__n").alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__sum")
     at = F.floor(F.col("__all") * num / den)
+    held = joined_by(ranged, sums.withColumn("__before", before), [*by, "__range"]).filter((F.col("__before") <= at) & (F.col("__before") + F.col("__sum") > at))
+    end = F.col("__before") + F.sum("__n").over(Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ends = held.withColumn("__end", end)
     return ends.filter((F.col("__end") > at) & (F.col("__end") - F.col("__n") <= at)).select(*by, value, F.col("__all").alias("n"))
 
 

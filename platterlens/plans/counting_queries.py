@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,15 +167,26 @@ def picture_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edc_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as raw sectors: a header of their mode, the name as data, and no stored code."""
-    mode = F.lpad(F.hex((F.col("p_partkey") % 3).cast("long")), 2, "0")
+    """Parts as raw sectors: a header of their mode, the name as data, and no stored code; but one in eight is an empty sector
+    of the second mode, whose code is 0, and one an empty one of the first mode with the code that it should have."""
+    k = F.col("p_partkey")
+    mode = F.lpad(F.hex((k % 3).cast("long")), 2, "0")
     head = F.unhex(F.concat(F.lit("00" + "FF" * 10 + "00" + "000200"), mode))
-    raw = F.substring(F.concat(head, F.rpad(F.col("p_name").cast("binary"), 2336, F.lit(b"\x00"))), 1, 2352)
-    sectors = table(spark, sf_dir, "part").select((F.col("p_partkey") % 10).alias("track"), F.col("p_partkey").alias("sector_pos"), raw.alias("raw"))
+    named = F.substring(F.concat(head, F.rpad(F.col("p_name").cast("binary"), 2336, F.lit(b"\x00"))), 1, 2352)
+    first = checksums.SYNC + b"\x00\x02\x00\x01" + bytes(2048)
+    code = int(checksums.edc(np.frombuffer(first, np.uint8).reshape(1, -1))[0]).to_bytes(4, "little")
+    raw = F.when(k % 8 == 0, F.lit(checksums.SYNC + b"\x00\x02\x00\x02" + bytes(2336))).when(k % 8 == 1, F.lit(first + code + bytes(284))).otherwise(named)
+    sectors = table(spark, sf_dir, "part").select((k % 10).alias("track"), k.alias("sector_pos"), raw.alias("raw"))
     checked = checksums.check_sectors(sectors.withColumn("address", checksums.sector_address(F.col("raw"))))
     return checksums.track_verdicts(checked)
 
 
+#: SQL for codes by remainders, a byte at a time, with the table of a polynomial; SQL lists count from 1.
+_TABLE_SQL = "list_transform(range(256), lambda n: list_reduce(list_concat([CAST(n AS BIGINT)], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST({0} AS BIGINT)) ELSE c >> 1 END))"
+_BYTES_SQL = "list_transform(range(0, length({0}) // 2), lambda i: CAST('0x' || substring({0}, 2 * i + 1, 2) AS BIGINT))"
+_CODE_SQL = "list_reduce(list_concat([CAST({1} AS BIGINT)], {0}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))"
+
+
 def decompose_playall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as discs, orders as titles with a chapter for each line, and one more title of all of them on end."""
     chapters = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "l_quantity"))), lambda x: (x.l_quantity * 10_000 + 200_000).cast("long")).alias("chapters"))
@@ -309,8 +321,27 @@ QUERIES = {
         repeated_lines,
         f"WITH {VISITS_SQL} SELECT event_id, event_type FROM visits QUALIFY lag(event_type) OVER (PARTITION BY user_id, day ORDER BY ms, event_id) IS DISTINCT FROM event_type",
     ),
-    "crc32_digest": (crc32_digest, None),
-    "picture_keys": (picture_keys, None),
-    "edc_check": (edc_check, None),
+    "crc32_digest": (
+        crc32_digest,
+        f"""WITH b AS (SELECT doc_id, text, {_BYTES_SQL.format("hex(encode(text))")} AS bytes, {_TABLE_SQL.format(0xEDB88320)} AS t FROM documents)
+        SELECT doc_id, strlen(text) AS bytes, CASE WHEN text IS NOT NULL THEN printf('%08x', xor({_CODE_SQL.format("bytes", 0xFFFFFFFF)}, 4294967295)) END AS crc32, sha1(text) AS sha1 FROM b""",
+    ),
+    "picture_keys": (
+        picture_keys,
+        """WITH b AS (SELECT vec_id, list_concat([8, 0, 8, 0], list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END)) AS bytes FROM embeddings), k AS (
+          SELECT vec_id, list_reduce(list_concat([CAST(14695981039346656037 AS HUGEINT)], bytes), lambda v, b: (xor(v, b) * 1099511628211) % 18446744073709551616) AS v FROM b)
+        SELECT vec_id, lpad(lower(hex(CAST(v AS UBIGINT))), 16, '0') AS key FROM k""",
+    ),
+    "edc_check": (
+        edc_check,
+        f"""WITH h AS (SELECT p_partkey AS k, '00' || repeat('FF', 10) || '00000200' AS head, upper(hex(encode(p_name))) AS name FROM part), t AS (SELECT {_TABLE_SQL.format(0xD8018001)} AS t), raw AS (
+          SELECT k, CASE WHEN k % 8 = 0 THEN head || '02' || repeat('00', 2336) WHEN k % 8 = 1 THEN head || '01' || repeat('00', 2336) ELSE head || '0' || k % 3 || rpad(name, 4672, '0') END AS r, k % 8 = 1 AS known FROM h), b AS (
+          SELECT k, known, {_BYTES_SQL.format("r")} AS bytes FROM raw), m AS (SELECT *, bytes[16] AS mode, bytes[19] & 32 = 0 AS first_form, bytes[2349:2352] = [0, 0, 0, 0] AS blank FROM b), c AS (
+          SELECT *, CASE WHEN mode = 1 THEN bytes[1:2064] WHEN mode = 2 AND first_form THEN bytes[17:2072] WHEN mode = 2 AND NOT blank THEN bytes[17:2348] END AS covered,
+                 CASE WHEN mode = 1 THEN bytes[2065:2068] WHEN mode = 2 AND first_form THEN bytes[2073:2076] ELSE bytes[2349:2352] END AS stored FROM m), e AS (
+          SELECT k, known, covered IS NULL AS unchecked, {_CODE_SQL.format("covered", 0)} AS code, stored[1] + (stored[2] << 8) + (stored[3] << 16) + (stored[4] << 24) AS told FROM c, t)
+        SELECT k % 10 AS track, count(*) AS sectors, count(*) FILTER (WHERE NOT unchecked AND (known OR code = told)) AS sound, count(*) FILTER (WHERE NOT unchecked AND NOT known AND code <> told) AS corrupt, count(*) FILTER (WHERE unchecked) AS unchecked,
+          count(*) FILTER (WHERE k <> 0) AS misplaced FROM e GROUP BY 1""",
+    ),
     "decompose_playall": (decompose_playall, None),
 }

@@ -26,11 +26,12 @@ def verify_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.concat_ws("\n", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    # odd turns are known by their role alone, so that conversations share some parts and not others
+    body = F.when(F.col("turn") % 2 == 1, F.coalesce("role", F.lit(""))).otherwise(F.concat_ws("\n", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))))
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), F.sha1(body.cast("binary")).alias("part"))
 
 
-_PARTS_SQL = "parts AS (SELECT conv_id AS id, turn AS pos, sha1(coalesce(role, '') || chr(10) || coalesce(text, '')) AS part FROM conversations)"
+_PARTS_SQL = "parts AS (SELECT conv_id AS id, turn AS pos, sha1(CASE WHEN turn % 2 = 1 THEN coalesce(role, '') ELSE coalesce(role, '') || chr(10) || coalesce(text, '') END) AS part FROM conversations)"
 
 
 def ordered_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +78,8 @@ def asof_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anti_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    """Customers that never had an urgent order, by name."""
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
     wanted = customers.select(F.col("c_name").alias("name"))
     present = customers.join(orders.select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey", "left_semi").select(F.col("c_name").alias("name"))
     return matching.missing(wanted, present, strings.same_key)
@@ -90,9 +92,11 @@ def pref_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_nonempty_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("n_chars >= 3000")
-    hits = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("question"), F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(999_999)).alias("source_rank"))
-    return matching.first_answering(hits).select("doc_id", F.col("question").alias("lang"), F.col("source_rank").cast("long").alias("source_rank"))
+    """Questions are languages and hundreds of characters; of the sources that have such documents the first one's answer."""
+    docs = table(spark, sf_dir, "documents")
+    question = F.concat(F.coalesce("lang", F.lit("")), F.lit(" "), F.floor(F.coalesce("n_chars", F.lit(0)) / 100).cast("string"))
+    hits = docs.select("doc_id", question.alias("question"), F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(999_999)).alias("source_rank"))
+    return matching.first_answering(hits).select("doc_id", "question", F.col("source_rank").cast("long").alias("source_rank"))
 
 
 def top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +141,7 @@ QUERIES = {
         f"""WITH {VISITS_SQL} SELECT c.event_id, coalesce(arg_max(e.event_id, struct_pack(m := e.ms, i := e.event_id)) FILTER (WHERE e.ms <= c.ms), arg_min(e.event_id, struct_pack(m := e.ms, i := e.event_id))) AS number
         FROM visits c LEFT JOIN visits e ON e.user_id = c.user_id AND e.day = c.day AND e.event_type = 'error' WHERE c.event_type = 'click' GROUP BY c.event_id""",
     ),
-    "anti_missing": (anti_missing, "SELECT c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)"),
+    "anti_missing": (anti_missing, "SELECT c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')"),
     "pref_language": (
         pref_language,
         """WITH seen AS (SELECT source, lang AS tag, min(doc_id) AS tag_pos FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2),
@@ -147,8 +151,8 @@ QUERIES = {
     ),
     "first_nonempty_source": (
         first_nonempty_source,
-        """WITH hits AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT), 999999) AS source_rank FROM documents WHERE n_chars >= 3000)
-        SELECT doc_id, lang, source_rank FROM hits QUALIFY source_rank = min(source_rank) OVER (PARTITION BY lang)""",
+        """WITH hits AS (SELECT doc_id, coalesce(lang, '') || ' ' || coalesce(n_chars, 0) // 100 AS question, coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT), 999999) AS source_rank FROM documents)
+        SELECT doc_id, question, source_rank FROM hits QUALIFY source_rank = min(source_rank) OVER (PARTITION BY question)""",
     ),
     "top_candidates": (top_candidates, "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 5"),
     "image_cache": (image_cache, "SELECT page_id, substring(sha1(url), 1, 20) || '.img' AS cache_key, url_encode(url) AS encoded FROM pages"),

@@ -93,9 +93,9 @@ def subtitle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recovery_map_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as runs of a recovery map, as its lines."""
+    """Parts as runs of their brand's recovery map, as its lines."""
     states = F.array(*map(F.lit, texts.STATES.values()))
-    runs = table(spark, sf_dir, "part").select(F.lit("m").alias("map_id"), (F.col("p_partkey") * 2048).alias("start"), (F.col("p_partkey") * 2048 + F.col("p_size")).alias("end"), F.get(states, (F.col("p_partkey") % 5).cast("int")).alias("state"))
+    runs = table(spark, sf_dir, "part").select(F.col("p_brand").alias("map_id"), (F.col("p_partkey") * 2048).alias("start"), (F.col("p_partkey") * 2048 + F.col("p_size")).alias("end"), F.get(states, (F.col("p_partkey") % 5).cast("int")).alias("state"))
     return texts.map_lines(runs).select("start", "line")
 
 

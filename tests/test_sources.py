@@ -6,21 +6,21 @@ from platterlens.streaming import eventlog
 
 def test_datfiles(spark):
     xml = """<datafile><header><name>Console &amp; Co</name><version>1</version></header>
-    <game name="First (Europe)"><rom name="f.cue" size="90" crc="00000001" sha1="AA"/><rom name="f1.bin" size="10633392" crc="a129332b" sha1="BB"/><rom name="f2.bin" size="301157136" crc="75bcec88" sha1="cc"/><rom size="3"/></game>
-    <game name="Cut off"><rom name="x.iso" size="4700372992" crc="0000000f" """
+    <game name="First (Europe)"><rom name="f.cue" size="90" crc="00000001" sha1="AA"/><rom name="f1.bin" size="7056000" crc="0badc0de" sha1="BB"/><rom name="f2.bin" size="41160000" crc="1234abcd" sha1="cc"/><rom size="3"/></game>
+    <game name="Cut off"><rom name="x.iso" size="2048000" crc="0000000f" """
     files = spark.createDataFrame([("b.dat", xml + '/>'), ("a.dat", "<game name='none'></game>")], "path string, xml string")
     roms = datfiles.roms_of(files).orderBy("game_pos", "rom_pos").collect()
     assert [(r["system"], r["dat_pos"], r["game"], r["name"], r["size"], r["crc32"], r["sha1"]) for r in roms] == [
-        ("Console & Co", 1, "First (Europe)", "f.cue", 90, 1, "aa"), ("Console & Co", 1, "First (Europe)", "f1.bin", 10633392, 0xA129332B, "bb"),
-        ("Console & Co", 1, "First (Europe)", "f2.bin", 301157136, 0x75BCEC88, "cc"), ("Console & Co", 1, "Cut off", "x.iso", 4700372992, 15, None),
+        ("Console & Co", 1, "First (Europe)", "f.cue", 90, 1, "aa"), ("Console & Co", 1, "First (Europe)", "f1.bin", 7056000, 0x0BADC0DE, "bb"),
+        ("Console & Co", 1, "First (Europe)", "f2.bin", 41160000, 0x1234ABCD, "cc"), ("Console & Co", 1, "Cut off", "x.iso", 2048000, 15, None),
     ]
     assert datfiles.tracks_of(datfiles.roms_of(files)).filter("game = 'First (Europe)'").count() == 2
 
 
 def test_shows(spark):
-    answer = '[{"score":1.7,"show":{"id":1,"name":"A","type":"Reality","premiered":"2015-01-01","ended":"2016-01-01","network":{"name":"ITV1"},"webChannel":null}},{"score":null,"show":{"id":2,"name":"B","webChannel":{"name":"Netflix"},"premiered":"2019-01-01","status":"Running"}},{"score":0.1,"show":{"id":3}}]'
+    answer = '[{"score":1.7,"show":{"id":1,"name":"A","type":"Drama","premiered":"2003-04-05","ended":"2007-08-09","network":{"name":"Channel Q"},"webChannel":null}},{"score":null,"show":{"id":2,"name":"B","webChannel":{"name":"Web Q"},"premiered":"2019-01-01","status":"Running"}},{"score":0.1,"show":{"id":3}}]'
     found = catalogues.show_search(spark.createDataFrame([("q", answer), ("r", "not json")], "question string, json string")).orderBy("hit_pos").collect()
-    assert [(r["work_id"], r["score"], r["year"], r["detail"]) for r in found] == [("tvmaze:1", 1.0, 2015, "ITV1 · Reality · 2015-2016"), ("tvmaze:2", 0.0, 2019, "Netflix · ongoing")]
+    assert [(r["work_id"], r["score"], r["year"], r["detail"]) for r in found] == [("tvmaze:1", 1.0, 2003, "Channel Q · Drama · 2003-2007"), ("tvmaze:2", 0.0, 2019, "Web Q · ongoing")]
     episodes = catalogues.show_episodes(spark.createDataFrame([("w", '[{"season":7,"number":1,"name":"x","airdate":"","runtime":22},{"season":7,"number":0},{"season":7,"number":null},{"season":7,"number":2,"name":"y"}]')], "work_id string, json string"))
     assert [(r["number"], r["runtime_ms"], r["airdate"]) for r in episodes.orderBy("number").collect()] == [(1, 1320000, None), (2, None, None)]
 
@@ -34,9 +34,9 @@ def test_entities(spark):
     found = catalogues.entity_search(spark.createDataFrame([("q", '{"search":[{"id":"Q1","description":"book"},{"id":"Q2","description":"film"}]}')], "question string, json string"))
     claim = lambda v: '[{"mainsnak":{"datavalue":{"value":%s}}}]' % v
     answer = '{"entities":{"Q1":{"labels":{"en":{"value":"No"}},"claims":{"P31":%s}},"Q2":{"labels":{"en":{"value":"Yes"}},"claims":{"P31":%s,"P577":%s,"P2047":%s}}}}' % (
-        claim('{"id":"Q571"}'), claim('{"id":"Q11424"}'), claim('{"time":"+1998-02-03T00:00:00Z"}'), claim('{"amount":"+117"}'))
+        claim('{"id":"Q571"}'), claim('{"id":"Q11424"}'), claim('{"time":"+1998-02-03T00:00:00Z"}'), claim('{"amount":"+95"}'))
     films = catalogues.entity_films(spark.createDataFrame([("q", answer)], "question string, json string"), found).collect()
-    assert [(r["entity"], r["title"], r["year"], r["runtime_ms"], r["score"]) for r in films] == [("Q2", "Yes", 1998, 7020000, 0.75)]
+    assert [(r["entity"], r["title"], r["year"], r["runtime_ms"], r["score"]) for r in films] == [("Q2", "Yes", 1998, 5700000, 0.75)]
 
 
 def test_albums(spark):
@@ -47,10 +47,10 @@ def test_albums(spark):
 
 
 def test_probe(spark):
-    probe = '{"format":{"duration":"1274.933"},"chapters":[{"start_time":"0.0","end_time":"300.0"},{"start_time":"300.0","end_time":"1274.933"}],"streams":[{"codec_type":"video","codec_name":"mpeg2video","width":720,"height":576},{"codec_type":"audio","codec_name":"ac3","tags":{"language":"eng"},"disposition":{"default":1}},{"codec_type":"audio","codec_name":"ac3","tags":{"title":"Director commentary"}},{"codec_type":"data"}]}'
+    probe = '{"format":{"duration":"1500.25"},"chapters":[{"start_time":"0.0","end_time":"300.0"},{"start_time":"300.0","end_time":"1500.25"}],"streams":[{"codec_type":"video","codec_name":"mpeg2video","width":720,"height":576},{"codec_type":"audio","codec_name":"ac3","tags":{"language":"eng"},"disposition":{"default":1}},{"codec_type":"audio","codec_name":"ac3","tags":{"title":"Director commentary"}},{"codec_type":"data"}]}'
     files = spark.createDataFrame([("f", probe)], "file string, json string")
     info = media.probes(files).first()
-    assert (info["duration_ms"], info["chapters"], info["width"]) == (1274933, [300000, 974933], 720)
+    assert (info["duration_ms"], info["chapters"], info["width"]) == (1500250, [300000, 1200250], 720)
     assert [(r["kind"], r["index"], r["language"], r["is_default"]) for r in media.streams(files).orderBy("stream").collect()] == [("video", 0, "und", False), ("audio", 0, "eng", True), ("audio", 1, "und", False)]
     assert media.streams(files).filter(media.commentary("title")).count() == 1
 
@@ -78,8 +78,8 @@ def test_texts(spark):
     index = spark.createDataFrame([("s", "timestamp: 00:01:02:003, filepos: 00000f00"), ("s", "palette: ff0000, 00ff00, zz")], "stream_id string, line string")
     assert tuple(texts.index_events(index).select("start_ms", "filepos").first()) == (62003, 0xF00)
     assert texts.palette(index).first()["palette"] == [0xFF0000, 0x00FF00, 0]
-    words = spark.createDataFrame([("153714",), ("Inte/AB",), ("chans",), ("-/-06XY",), ("x",)], "line string")
-    assert {r["word"] for r in texts.words(words).collect()} == {"inte", "chans"}
+    words = spark.createDataFrame([("41",), ("Kanske/AB",), ("hus",), ("-/-QQ",), ("x",)], "line string")
+    assert {r["word"] for r in texts.words(words).collect()} == {"kanske", "hus"}
     spans = spark.createDataFrame([("d", "g", 1, True, 0), ("d", "g", 2, False, 150)], "disc_id string, stem string, number int, is_data boolean, pregap bigint")
     assert texts.cue_sheet(spans).first()["sheet"].endswith('FILE "g (Track 02).bin" BINARY\n  TRACK 02 AUDIO\n    INDEX 00 00:00:00\n    INDEX 01 00:02:00\n')
 
