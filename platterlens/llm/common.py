@@ -18,7 +18,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_TABLE = 100_000
 
 
+#: Spark's own setting of how many bytes a batch for a Python worker may have, its default, and what is used here.
+BATCH, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that workers get, by bytes, unless the session has a bound of its own."""
+    if spark.conf.get(BATCH).rstrip("bB") == str(BATCH_DEFAULT):
+        spark.conf.set(BATCH, f"{BATCH_BYTES}b")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -42,6 +53,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors. The shuffle
     files of the write go when it ends, since nothing reads them any more."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")

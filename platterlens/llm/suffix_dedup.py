@@ -4,8 +4,11 @@ A sparse suffix array. Every WIDTH-byte window has an anchor, the K-byte gram wi
 equals), so equal windows have equal anchors at equal places. Only suffixes that start at anchors are sorted, and each
 carries the stretch of its document whose windows have that anchor.
 
-1. Anchors. Map tasks send sorted runs of 40-bit anchor marks, delta-coded, to buckets by mark range; a bucket passes on
-   the marks that lie in two texts or more. A mark that is alone can't be in any repeated window.
+1. Anchors. Map tasks make runs of 40-bit anchor marks, sorted and delta-coded, and send each bucket of the mark range its
+   piece, without the texts' names: marks and how many texts of the run have them. A bucket answers each run with two bits
+   for a mark: whether it lies in two texts, and whether it is common. The answer meets the run's own list of which text
+   has which mark, so a phrase that stands in every text costs its bucket one entry for each run. A mark that is alone
+   can't be in any repeated window; one that only copies of one text have may be flagged, which costs little.
 2. Runs. Where its text lies, each flagged anchor becomes an entry: the suffix from the anchor, then what stands before
    it, reversed. A task sorts its entries, folds equal ones to one with the smallest document id, and writes sorted runs
    for each bucket, front-coded: the length shared with the entry before, and the rest. Marks found in more than HOT
@@ -40,11 +43,13 @@ from .common import documents, drop_written, mixed, sliced, written
 WIDTH, K = 50, 24
 SPAN = WIDTH - K + 1
 #: Bytes of text worked on at once, entries in a run, bytes of text for a bucket, and texts that make a mark common.
-PIECE, RUN, BUCKET_BYTES, HOT = 500_000, 150_000, 16_000_000, 2000
+PIECE, RUN, BUCKET_BYTES, HOT = 400_000, 60_000, 6_000_000, 2000
+#: Marks in a run of marks, and bytes of text for a bucket of marks.
+SEND, MARK_BYTES = 500_000, 12_000_000
 #: Rows of a batch that are worked on at once, which bounds a worker's memory and changes no result.
 ROWS = 1500
 LOWEST = -(1 << 63)
-_BASE = 0x9E3779B97F4A7C15
+_BASE, _SPREAD = 0x9E3779B97F4A7C15, 0x9E3779B97F
 
 
 def gram_marks(data: np.ndarray, k: int) -> np.ndarray:
@@ -85,7 +90,8 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     own = owner[windows]
     first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (own[1:] != own[:-1])])
     last = np.r_[first[1:], len(windows)] - 1
-    return marks[at[first]], at[first], windows[first], windows[last], own[first]
+    # anchors have small marks, being the smallest of a window; a bijection spreads them over the range that buckets share
+    return (marks[at[first]] * np.uint64(_SPREAD)) & np.uint64((1 << 40) - 1), at[first], windows[first], windows[last], own[first]
 
 
 def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -117,64 +123,149 @@ def _bucket(marks: np.ndarray, buckets: int) -> np.ndarray:
     return (marks.astype(np.uint64) * np.uint64(buckets) >> np.uint64(40)).astype(np.int64)
 
 
-def flagged_marks(texts: DataFrame, buckets: int) -> DataFrame:
-    """(h, marks): for each text its marks that lie in another text too, packed as mark * 2 + (1 if common)."""
+def _coded(marks: np.ndarray) -> bytes:
+    """Sorted marks as differences: their number, those above 32 bits with their places, and the others."""
+    deltas = np.diff(marks, prepend=np.uint64(0))
+    wide = np.flatnonzero(deltas >> np.uint64(32))
+    return np.array([len(marks), len(wide)], np.int64).tobytes() + wide.astype(np.int64).tobytes() + deltas[wide].tobytes() + zstandard.ZstdCompressor(level=1).compress(deltas.astype(np.uint32).tobytes())
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _marks_of(coded: bytes) -> np.ndarray:
+    n, n_wide = np.frombuffer(coded, np.int64, 2)
+    wide, values = np.frombuffer(coded, np.int64, n_wide, 16), np.frombuffer(coded, np.uint64, n_wide, 16 + 8 * n_wide)
+    deltas = np.frombuffer(zstandard.ZstdDecompressor().decompress(coded[16 + 16 * n_wide :]), np.uint32, n).astype(np.uint64)
+    deltas[wide] = values
+    return np.cumsum(deltas, dtype=np.uint64)
+
+
+def _times(many: bytes, n: int) -> np.ndarray:
+    """How many texts of a run have each of its n marks: one, but for those told."""
+    times = np.ones(n, np.int32)
+    told = np.frombuffer(many, np.uint32).reshape(-1, 2)
+    times[told[:, 0]] = told[:, 1]
+    return times
+
+
+def mark_runs(texts: DataFrame, buckets: int) -> DataFrame:
+    """(run_id, bucket, marks, many, owners) of texts (h, text): a run's marks by bucket, and in bucket -1 the texts' h."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, seen = zstandard.ZstdCompressor(level=1), set()
-        for batch in _sliced(batches):
-            rows = [(h, t) for h, t in zip(batch.column("h").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()) if h not in seen and not seen.add(h)]
-            found = [(m, number[own]) for data, starts, ends, number, _ in pieces([t for _, t in rows]) for m, _, _, _, own in [anchors(data, starts, ends)]]
-            if not found:
-                continue
-            marks, owners = np.concatenate([x[0] for x in found]).astype(np.uint64), np.concatenate([x[1] for x in found]).astype(np.uint64)
-            if not len(marks):
-                continue
-            both = np.unique(marks << np.uint64(24) | owners)  # a batch has fewer than 2 ** 24 rows
+        held: list[tuple[np.ndarray, np.ndarray, int]] = []
+        names: list[int] = []
+
+        def told() -> pa.RecordBatch:
+            both = np.unique(np.concatenate([m.astype(np.uint64) << np.uint64(24) | (own + base).astype(np.uint64) for m, own, base in held]))  # a run has fewer than 2 ** 24 texts
+            hashes = np.array(names, np.int64).tobytes()
+            held.clear()
+            names.clear()
+            run_id = xxhash.xxh3_64_intdigest(both.tobytes() + hashes) >> 1
             marks, owners = both >> np.uint64(24), (both & np.uint64((1 << 24) - 1)).astype(np.uint32)
-            hashes = np.array([h for h, _ in rows], np.int64)
-            to = _bucket(marks, buckets)
-            cuts = np.searchsorted(to, np.arange(buckets + 1))
-            out = []
-            for b in np.flatnonzero(np.diff(cuts)):
+            first = np.flatnonzero(np.r_[True, marks[1:] != marks[:-1]])
+            ends, marks = np.r_[first[1:], len(marks)], marks[first]
+            cuts = np.searchsorted(_bucket(marks, buckets), np.arange(buckets + 1))
+            out = [(run_id, -1, hashes, b"", b"")]
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
                 mine = slice(cuts[b], cuts[b + 1])
-                names, index = np.unique(owners[mine], return_inverse=True)
-                deltas = np.diff(marks[mine], prepend=np.uint64(0))
-                wide = np.flatnonzero(deltas >> np.uint64(32))
-                body = np.array([len(names), len(index), len(wide)], np.int64).tobytes() + hashes[names].tobytes() + wide.astype(np.int64).tobytes() + deltas[wide].tobytes()
-                out.append((int(b), body + press.compress(deltas.astype(np.uint32).tobytes() + index.astype(np.uint16 if len(names) < 65536 else np.uint32).tobytes())))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "run"])
-
-    def read(run: bytes) -> tuple[np.ndarray, np.ndarray]:
-        n_names, n, n_wide = np.frombuffer(run[:24], np.int64)
-        names = np.frombuffer(run, np.int64, n_names, 24)
-        wide, values = np.frombuffer(run, np.int64, n_wide, 24 + 8 * n_names), np.frombuffer(run, np.uint64, n_wide, 24 + 8 * (n_names + n_wide))
-        plain = zstandard.ZstdDecompressor().decompress(run[24 + 8 * (n_names + 2 * n_wide) :])
-        deltas = np.frombuffer(plain, np.uint32, n).astype(np.uint64)
-        deltas[wide] = values
-        return np.cumsum(deltas, dtype=np.uint64), names[np.frombuffer(plain, np.uint16 if n_names < 65536 else np.uint32, n, 4 * n)]
-
-    def flag(runs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        got = [read(r) for r in runs]
-        marks, names = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
-        order = np.argsort(marks, kind="stable")
-        marks, names = marks[order], names[order]
+                times = (ends - first)[mine]
+                at = np.flatnonzero(times > 1)
+                many = np.stack([at, times[at]], axis=1).astype(np.uint32).tobytes()
+                out.append((run_id, b, _coded(marks[mine]), many, press.compress(owners[first[mine.start] : ends[mine.stop - 1]].tobytes())))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["run_id", "bucket", "marks", "many", "owners"])
+
+        size = 0
+        for batch in _sliced(batches):
+            rows = [(h, t) for h, t in zip(batch.column("h").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()) if h not in seen and not seen.add(h)]
+            for data, starts, ends, number, _ in pieces([t for _, t in rows]):
+                marks, _, _, _, own = anchors(data, starts, ends)
+                if len(marks):
+                    held.append((marks, number[own], len(names)))
+                    size += len(marks)
+            names += [h for h, _ in rows]
+            if size >= SEND:
+                yield told()
+                size = 0
+            if len(seen) > 500_000:
+                seen.clear()
+        if held:
+            yield told()
+
+    return written(texts.select("h", "text").mapInArrow(run, "run_id long, bucket int, marks binary, many binary, owners binary"), "marks")
+
+
+def mark_answers(runs: DataFrame) -> DataFrame:
+    """(run_id, bucket, answer) of mark_runs: for each mark of the run there a bit whether two texts have it, and one whether
+    more than HOT have."""
+
+    def answer(rows: list) -> Iterator[pa.RecordBatch]:
+        ids = [(r, b) for r, b, _, _ in rows]
+        got = [_marks_of(m) for _, _, m, _ in rows]
+        times = np.concatenate([_times(many, len(m)) for m, (_, _, _, many) in zip(got, rows)])
+        rows.clear()
+        sizes = [len(m) for m in got]
+        marks = np.concatenate(got)
+        del got
+        order = np.argsort(marks, kind="stable").astype(np.int32)
+        marks = marks[order]
         first = np.flatnonzero(np.r_[True, marks[1:] != marks[:-1]])
-        times = np.diff(np.r_[first, len(marks)])
-        repeated = np.minimum.reduceat(names, first) != np.maximum.reduceat(names, first)
-        keep = np.repeat(repeated, times)
-        value, names = (marks * np.uint64(2) + np.repeat(times > HOT, times).astype(np.uint64))[keep], names[keep]
-        order = np.argsort(names, kind="stable")
-        value, names = value[order], names[order]
-        if len(names):
-            first = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
-            data, ends = value.tobytes(), np.r_[first[1:], len(names)]
-            for at in range(0, len(first), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(names[first[at : at + 10_000]], pa.int64()), pa.array([data[8 * a : 8 * b] for a, b in zip(first[at : at + 10_000].tolist(), ends[at : at + 10_000].tolist())], pa.binary())], ["h", "marks"])
-
-    sent = texts.select("h", "text").mapInArrow(send, "bucket int, run binary")
-    found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _each_bucket(batches, ("run",), lambda rows: flag([r for (r,) in rows])), "h long, marks binary")
-    return found.groupBy("h").agg(F.collect_list("marks").alias("marks"))
+        del marks
+        total = np.add.reduceat(times[order], first)
+        told = np.empty(len(order), np.uint8)
+        told[order] = np.repeat(((total > 1) + 2 * (total > HOT)).astype(np.uint8), np.diff(np.r_[first, len(order)]))
+        out = [np.packbits(part & 1).tobytes() + np.packbits(part >> 1).tobytes() for part in np.split(told, np.cumsum(sizes)[:-1])]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in ids], pa.int64()), pa.array([x for _, x in ids], pa.int32()), pa.array(out, pa.binary())], ["run_id", "bucket", "answer"])
+
+    sent = runs.filter("bucket >= 0").select("bucket", "run_id", F.col("bucket").alias("bucket_no"), "marks", "many")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _each_bucket(batches, ("run_id", "bucket_no", "marks", "many"), answer), "run_id long, bucket int, answer binary")
+
+
+def flagged_marks(runs: DataFrame, answers: DataFrame) -> DataFrame:
+    """(h, marks): for each text its marks that lie in another text too, packed as mark * 2 + (1 if common). What a run asked
+    and what its buckets answer meet by run, so a text gets one row, however many buckets there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor()
+        now, names, asked = None, np.empty(0, np.int64), None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            value, owner = np.concatenate([v for v, _ in held]), np.concatenate([o for _, o in held])
+            held.clear()
+            order = np.argsort(owner, kind="stable")
+            value, owner = value[order], owner[order]
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            data, ends = value.tobytes(), np.r_[first[1:], len(owner)]
+            for at in range(0, len(first), 2_000):
+                part = [data[8 * a : 8 * b] for a, b in zip(first[at : at + 2_000].tolist(), ends[at : at + 2_000].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(names[owner[first[at : at + 2_000]]], pa.int64()), pa.array(part, pa.binary())], ["h", "marks"])
+
+        for batch in batches:
+            own = [batch.column(c) for c in ("marks", "many", "owners", "answer")]
+            for i, (run_id, bucket, side) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("run_id", "bucket", "side")))):
+                marks, many, owners, bits = (c[i].as_py() for c in own)
+                if bucket < 0:
+                    if run_id != now:
+                        yield from told()
+                        now = run_id
+                    names = np.frombuffer(marks, np.int64)
+                elif side == 0:
+                    asked = bucket, marks, many, owners
+                elif asked is not None and asked[0] == bucket:
+                    known = _marks_of(asked[1])
+                    n = len(known)
+                    flags = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(2, -1), axis=1)[:, :n]
+                    times = _times(asked[2], n)
+                    keep = np.repeat(flags[0].astype(bool), times)
+                    held.append((np.repeat(known * np.uint64(2) + flags[1], times)[keep], np.frombuffer(unpress.decompress(asked[3]), np.uint32)[keep]))
+                    asked = None
+        yield from told()
+
+    none = F.lit(None).cast("binary")
+    both = runs.select("run_id", "bucket", F.lit(0).alias("side"), "marks", "many", "owners", none.alias("answer")).unionByName(answers.select("run_id", "bucket", F.lit(1).alias("side"), none.alias("marks"), none.alias("many"), none.alias("owners"), "answer"))
+    found = both.repartition("run_id").sortWithinPartitions("run_id", "bucket", "side").mapInArrow(run, "h long, marks binary")
+    return found.groupBy("h").agg(F.first("marks").alias("marks"))  # copies of a text get the same answer in every run
 
 
 def _each_bucket(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], work) -> Iterator[pa.RecordBatch]:
@@ -288,7 +379,7 @@ def write_runs(rows: DataFrame, buckets: int) -> DataFrame:
         for batch in _sliced(batches):
             for doc_id, h, text, marks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text", "marks"))):
                 text = text.encode() if isinstance(text, str) else text
-                flags = np.sort(np.frombuffer(b"".join(marks), np.uint64))
+                flags = np.sort(np.frombuffer(marks, np.uint64))
                 docs.append((doc_id, h))
                 for data, starts, ends, _, offset in pieces([text]):
                     mark, at, first, last, own = anchors(data, starts, ends)
@@ -501,15 +592,19 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     buckets = max(16, -(-total // BUCKET_BYTES))
     digest = F.unhex(F.sha2("text", 256))
     first = written(texts.select("doc_id", "h", digest.alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("h").alias("h")), "firsts")
-    flagged = first.select(F.col("first_id").alias("doc_id"), "h").join(flagged_marks(texts, buckets), "h")
+    asked = mark_runs(texts, max(16, -(-total // MARK_BYTES)))
+    marks = written(flagged_marks(asked, mark_answers(asked)), "flags")
+    drop_written(asked)
+    flagged = first.select(F.col("first_id").alias("doc_id"), "h").join(marks, "h")
     runs = write_runs(texts.join(flagged, ["doc_id", "h"]).select("doc_id", "h", "text", "marks").dropDuplicates(["doc_id", "h"]), buckets)
+    drop_written(marks)
     found = written(removed_windows(runs, merge_runs(runs)).groupBy("doc_id", "h").agg(F.collect_list("windows").alias("windows")), "windows")
     drop_written(runs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part, out = batch.slice(at, 500), []
+            for part in sliced([batch], 500):
+                out = []
                 for text, first_id, doc_id, windows in zip(part.column("text").cast(pa.binary()).to_pylist(), *(part.column(c).to_pylist() for c in ("first_id", "doc_id", "windows"))):
                     n = len(text)
                     if first_id < doc_id:

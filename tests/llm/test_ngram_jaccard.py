@@ -87,6 +87,40 @@ def test_signature_bounds_overlap():
         assert len(a) - int(np.bitwise_count(sa & ~sb).sum()) >= len(np.intersect1d(a, b))
 
 
+def test_linked_sets_meet_in_a_tile():
+    """Sets at and above the threshold, of all sizes and differences, share a tile; sets far below it hardly ever do."""
+    import numpy as np
+
+    draw, met, far = np.random.default_rng(5), 0, 0
+    for num, den in ((90, 100), (80, 100)):
+        for _ in range(1500):
+            n = int(draw.choice([3, 5, 8, 12, 20, 45, 100, 330, 1500]))
+            x = np.unique(draw.integers(0, 1 << 64, n, dtype=np.uint64))
+            lost = int(draw.integers(0, max(1, n // 5) + 1))
+            new = np.unique(draw.integers(0, 1 << 64, int(draw.integers(0, max(1, n // 4) + 1)), dtype=np.uint64))
+            y = np.union1d(draw.permutation(x)[lost:], new)
+            both = len(np.intersect1d(x, y))
+            if not len(y) or (len(x) == len(y) == both):
+                continue
+            meet = bool(set(ngram_jaccard.range_tokens(x, num, den)) & set(ngram_jaccard.range_tokens(y, num, den)))
+            if den * both >= num * (len(x) + len(y) - both):
+                assert meet
+                met += 1
+        for _ in range(200):
+            x, y = (np.unique(draw.integers(0, 1 << 64, 300, dtype=np.uint64)) for _ in range(2))
+            far += bool(set(ngram_jaccard.range_tokens(x, num, den)) & set(ngram_jaccard.range_tokens(y, num, den)))
+    assert met > 700 and far == 0
+
+
+def test_large_tiles_meet_chunk_by_chunk(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "CELL", 4)
+    monkeypatch.setattr(ngram_jaccard, "CHUNK", 3)
+    draw = random.Random(12)
+    base = words(draw, 60)
+    rows = [(i, edited(draw, base, draw.choice([1, 2, 3, 4, 6])), "en", "a") for i in range(90)]
+    same(spark, rows, 3, 90, 100)
+
+
 def test_stage_keeps_one_of_each_group(spark):
     draw = random.Random(5)
     base = words(draw, 100)

@@ -54,6 +54,10 @@ def test_common_marks_and_runs(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 20)
     monkeypatch.setattr(suffix_dedup, "RUN", 50)
     same(spark, rows)
+    monkeypatch.setattr(suffix_dedup, "SEND", 40)
+    monkeypatch.setattr(suffix_dedup, "MARK_BYTES", 100)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 100)
+    same(spark, awkward() + rows)
 
 
 def test_front_coding_and_merge():
