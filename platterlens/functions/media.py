@@ -11,8 +11,6 @@ from .strings import ascii_lower
 TIERS = {"high": (18, 0), "medium": (20, 2), "low": (23, 5)}
 #: Other words for a tier.
 TIER_WORDS = {"med": "medium"}
-#: Kinds of media that players file by.
-TELEVISION, FILM = 10, 9
 #: Fixed value: address of a picture, by its coded name.
 COMMONS = "https://commons.wikimedia.org/wiki/Special:FilePath/{}?width=342"
 #: Bytes of a raw sector, and of a sample of two channels.
@@ -78,27 +76,6 @@ def commons_image(file: Column) -> Column:
     return F.concat(F.lit(before), percent_encode(file), F.lit(after))
 
 
-def tags(role: Column, item_title: Column, air_date: Column, season: Column, number: Column, media: Column, media_title: Column, year: Column) -> Column:
-    """struct(title, show, season_number, episode_sort, episode_id, date, media_type) of an item of a series or a film."""
-    numbered = role.isin("Episode", "ExtendedCut") & (media == "series")
-    film = ~numbered & (media == "movie")
-    shown = F.when(role == "ExtendedCut", F.concat(item_title, F.lit(" (Extended Cut)"))).otherwise(item_title)
-    return F.struct(
-        F.when(numbered, shown).when(film, media_title).otherwise(item_title).alias("title"),
-        F.when(~film, media_title).alias("show"),
-        F.when(numbered, season).cast("int").alias("season_number"),
-        F.when(numbered, number).cast("int").alias("episode_sort"),
-        F.when(numbered, shown).alias("episode_id"),
-        F.when(numbered, air_date).when(film, year.cast("string")).alias("date"),
-        F.when(numbered, F.lit(TELEVISION)).when(film, F.lit(FILM)).alias("media_type"),
-    )
-
-
-def pairs(tag: Column, *names: str) -> Column:
-    """The fields of a struct that are there, in the order named, as `name=value`."""
-    return F.filter(F.array(*(F.concat(F.lit(f"{n}="), tag.getField(n).cast("string")) for n in names)), lambda x: x.isNotNull())
-
-
 def shifted(run: Column, at: Column, size: Column, shift: int) -> Column:
     """`size` bytes from `at` + shift of a run of bytes (hex text), with silence outside it; the bytes of one corrected
     track, as hex text."""

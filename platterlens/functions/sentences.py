@@ -103,8 +103,3 @@ def complaint(failed: Column, read_errors: Column) -> Column:
     locked = F.concat(F.lit("libdvdcss could not decrypt "), parts, F.lit(" of the disc ("), F.array_join(failed, ", "), F.lit(") - titles in those parts are missing from this scan"))
     return F.concat_ws("; ", F.when(F.size(failed) > 0, locked), F.when(read_errors > 0, F.concat(read_errors.cast("string"), F.lit(" unreadable sectors"))))
 
-
-def holds(episodes: Column, features: Column, extended_cuts: Column, extras: Column) -> Column:
-    """`holds 4 episodes, 1 extra`; null if a plan holds nothing."""
-    named = [F.when(n > 0, plural(n, noun)) for n, noun in ((episodes, "episode"), (features, "feature"), (extended_cuts, "extended cut"), (extras, "extra"))]
-    return F.when(F.coalesce(*named).isNotNull(), F.concat(F.lit("holds "), F.concat_ws(", ", *named)))

@@ -41,6 +41,14 @@ def wrong_case(table: DataFrame, by: list[str], least: int = 10) -> DataFrame:
     return found.filter("probably is not null").drop("__class")
 
 
+def taught(seen: DataFrame, answers: DataFrame) -> DataFrame:
+    """(batch, lines, answers, accepted): how many lines of seen (batch, pos, key) a reader was asked and how many of answers (batch, pos,
+    label) it gave; another number can't be laid beside the lines, so such a batch teaches nothing."""
+    given = answers.groupBy("batch").agg(F.count("*").alias("answers"))
+    n = F.coalesce("answers", F.lit(0).cast("long"))
+    return seen.groupBy("batch").agg(F.count("*").alias("lines")).join(given, "batch", "left").select("batch", "lines", n.alias("answers"), (F.col("lines") == n).alias("accepted"))
+
+
 def word_list(lists: DataFrame, english: bool) -> DataFrame:
     """(word) of lists (line): what stands before a slash, lower case, if it is two letters or more and nothing else."""
     word = F.lower(F.trim(F.substring_index("line", "/", 1)))

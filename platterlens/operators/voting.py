@@ -47,11 +47,11 @@ def mode(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return best.select(*by, F.col("b.value").alias(value), (-F.col("b.m")).alias("n"))
 
 
-def joined_by(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+def joined_by(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """left with the columns of right (by, ...), nulls of by being equal."""
     renamed = right.withColumnsRenamed({c: f"__by_{c}" for c in by})
     same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
-    return left.join(renamed, same).drop(*(f"__by_{c}" for c in by))
+    return left.join(renamed, same, how).drop(*(f"__by_{c}" for c in by))
 
 
 def index_quantile(rows: DataFrame, by: list[str], value: str, num: int, den: int) -> DataFrame:

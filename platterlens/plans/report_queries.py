@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import media, sentences, strings
+from ..functions import media, naming, sentences, strings
 from ..operators import catalogues, checksums, glyphs, intervals, matching
 from .counting_queries import _MINUTES_SQL, _writes
 from .tables import DISCS_SQL, LINES_SQL, VISITS_SQL, lines, table, visits
@@ -96,9 +96,10 @@ def media_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is written into files: orders as items of a series or a film, customers as what they belong to."""
     k = F.col("o_orderkey")
     role = F.element_at(F.array(*map(F.lit, ("Episode", "ExtendedCut", "Feature", "Extra"))), (k % 4 + 1).cast("int"))
-    found = media.tags(role, F.col("o_orderpriority"), F.when(k % 5 > 0, F.date_format("o_orderdate", "yyyy-MM-dd")), k % 3 + 1, k % 24, F.when(F.col("o_custkey") % 2 == 0, "series").otherwise("movie"), F.concat(F.lit("Work "), F.col("o_custkey").cast("string")), F.when(k % 7 > 0, F.year("o_orderdate")))
-    names = ("title", "show", "season_number", "episode_sort", "episode_id", "date", "media_type")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(media.pairs(found, *names), "; ").alias("tags"))
+    show, kind, year = F.concat(F.lit("Work "), F.col("o_custkey").cast("string")), F.when(F.col("o_custkey") % 2 == 0, "series").otherwise("movie"), F.when(k % 7 > 0, F.year("o_orderdate"))
+    found = naming.tags(kind, show, year, role, k % 3 + 1, k % 24, F.col("o_orderpriority"), F.when(k % 5 > 0, F.date_format("o_orderdate", "yyyy-MM-dd")))
+    names = {n: n for n in ("title", "show", "season_number", "episode_sort", "episode_id", "date", "media_type")}
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.transform(naming.pairs(found, names), lambda p: F.concat_ws("=", p["name"], p.value)), "; ").alias("tags"))
 
 
 def scan_health(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,8 +189,8 @@ def plan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("o_orderstatus") == "F", "Feature").when(F.col("o_orderstatus") == "O", "Episode").otherwise("PlayAll")
     roles = ("Episode", "Feature", "ExtendedCut", "Extra")
     counted = table(spark, sf_dir, "orders").select("o_custkey", role.alias("role")).groupBy("o_custkey").agg(*(F.count_if(F.col("role") == r).alias(r) for r in roles), F.count_if(F.col("role") == "PlayAll").alias("play_alls"))
-    held = sentences.holds(*(F.col(r) for r in roles))
-    return counted.select("o_custkey", held.alias("holds"), held.isNull().alias("holds_nothing"), F.when(F.col("play_alls") > 0, sentences.filled(sentences.WARNINGS["PlayAllsSkipped"], n=F.col("play_alls"))).alias("skipped"))
+    said = naming.plan_lines(*(F.col(r) for r in roles), F.col("play_alls"))
+    return counted.select("o_custkey", F.array_join(said, ". ").alias("lines"), (F.array_max(F.array(*roles)) == 0).alias("holds_nothing"))
 
 
 def chain_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,7 +372,7 @@ QUERIES = {
         plan_lines,
         """WITH c AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'O') AS e, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus NOT IN ('O', 'F')) AS p FROM orders GROUP BY 1), h AS (
           SELECT *, nullif(concat_ws(', ', CASE WHEN e > 0 THEN e || CASE WHEN e = 1 THEN ' episode' ELSE ' episodes' END END, CASE WHEN f > 0 THEN f || CASE WHEN f = 1 THEN ' feature' ELSE ' features' END END), '') AS h FROM c)
-        SELECT o_custkey, 'holds ' || h AS holds, h IS NULL AS holds_nothing, CASE WHEN p > 0 THEN 'skipping ' || p || CASE WHEN p = 1 THEN ' play-all title' ELSE ' play-all titles' END || ', whose content is on the disc already' END AS skipped FROM h""",
+        SELECT o_custkey, concat_ws('. ', 'holds ' || h, CASE WHEN p > 0 THEN 'skipping ' || p || CASE WHEN p = 1 THEN ' play-all title' ELSE ' play-all titles' END || ' - the same video again' END) AS lines, h IS NULL AS holds_nothing FROM h""",
     ),
     "chain_sectors": (
         chain_sectors,

@@ -6,9 +6,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder set here where none is set, as in tests."""
+    """spark.checkpoint.dir. Where none is set, a local session gets one here; a cluster gets an error."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if not told:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         told = "/tmp/checkpoints/platterlens"
         spark.conf.set("spark.checkpoint.dir", told)
     return told.rstrip("/")

@@ -120,3 +120,17 @@ def albums(answers: DataFrame) -> DataFrame:
         label["label"]["name"].alias("label"), label["catalog-number"].alias("catalogue_number"), F.col("r.barcode").alias("barcode"),
         F.coalesce("m.position", F.lit(1)).alias("disc"), F.size("r.media").alias("discs"), tracks.alias("tracks"),
     )
+
+
+def release_search(answers: DataFrame) -> DataFrame:
+    """(question, hit_pos, release_id, artist, title, tracks, detail) of answers (question, json) to a search for releases. The
+    first medium's number of tracks counts, else the release's; an answer that is no object of releases has no hits."""
+    medium = "struct<format:string,`track-count`:bigint>"
+    kind = f"struct<releases:array<struct<id:string,title:string,date:string,country:string,`artist-credit`:array<struct<name:string,joinphrase:string>>,media:array<{medium}>,`track-count`:bigint>>>"
+    hits = answers.select("question", F.posexplode(F.from_json("json", kind)["releases"]).alias("hit_pos", "h"))
+    first = F.get(F.col("h.media"), F.lit(0))
+    tracks = F.coalesce(first["track-count"], F.col("h.track-count"), F.lit(0).cast("long"))
+    artist = F.array_join(F.transform(F.col("h.artist-credit"), lambda a: F.concat(a["name"], F.coalesce(a["joinphrase"], F.lit("")))), "")
+    said = [F.substring("h.date", 1, 4), F.col("h.country"), first["format"]]
+    detail = F.concat_ws(" - ", *(F.when(x != "", x) for x in said), F.concat(tracks.cast("string"), F.lit(" tracks")))
+    return hits.select("question", "hit_pos", F.col("h.id").alias("release_id"), artist.alias("artist"), F.col("h.title").alias("title"), tracks.alias("tracks"), detail.alias("detail"))

@@ -78,3 +78,19 @@ def progress(lines: DataFrame) -> DataFrame:
     """`PRGV:current,total,max` as a share of the whole."""
     part = lambda i: F.regexp_extract("line", r"^PRGV:(\d+),(\d+),(\d+)", i).try_cast("double")
     return lines.filter("line like 'PRGV:%'").withColumn("share", F.round(part(2) / F.nullif(part(3), F.lit(0.0)), 6))
+
+
+def saved_titles(lines: DataFrame) -> DataFrame:
+    """(disc_id, saved, failed): what the first summary of each disc's lines (disc_id, line_no, line) says: the first two numbers among
+    its values, which follow the message and its form."""
+    values = F.transform(F.regexp_extract_all("line", F.lit(r'("(?:[^"]|"")*"|[^,"]+)(?:,|$)'), F.lit(1)), lambda v: F.trim(v, F.lit('"')).try_cast("int"))
+    numbers = F.filter(F.slice(values, 6, 1000), lambda v: v.isNotNull())
+    told = lines.filter("line like 'MSG:5036,%'").withColumn("numbers", numbers).filter(F.size("numbers") >= 2)
+    return told.groupBy("disc_id").agg(F.min_by("numbers", "line_no").alias("n")).select("disc_id", F.col("n")[0].alias("saved"), F.col("n")[1].alias("failed"))
+
+
+def readable_titles(probes_: DataFrame, least_ms: int = 5000) -> DataFrame:
+    """(title, duration_ms) of probes (title, json) that last long enough and have a picture."""
+    p = probes_.select("title", F.from_json("json", _PROBE).alias("p"))
+    rows = p.select("title", seconds_to_ms(F.col("p.format.duration")).alias("duration_ms"), F.exists("p.streams", lambda s: s["codec_type"] == "video").alias("__video"))
+    return rows.filter(F.col("__video") & (F.col("duration_ms") >= least_ms)).drop("__video")
