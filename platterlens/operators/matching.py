@@ -152,24 +152,24 @@ def nearest(probes: DataFrame, events: DataFrame, by: list[str]) -> DataFrame:
     return both.filter("__probe = 1").select(*by, "at", pick["event_id"].alias("event_id"), F.abs(F.col("at") - pick["at"]).alias("distance"))
 
 
-def similar_frames(frames: DataFrame, bands: int = 16, tolerance: int = 8) -> DataFrame:
+def similar_frames(frames: DataFrame, tolerance: int = 8) -> DataFrame:
     """(a, b, hits, n): for each pair of titles of frames (title, frame_pos, hi, lo) that have any, how many of the n
     frames of a are within `tolerance` bits of a frame of b.
 
-    Two words of 128 bits that differ in up to `tolerance` bits agree wholly in one of tolerance + 1 or more bands, so
-    frames meet by an equi-join on (band, value); only those are compared bit by bit.
+    Two words of 128 bits that differ in up to `tolerance` bits agree wholly in two of tolerance + 2 bands. Patterns, each once
+    however many frames show it, meet by an equi-join on two bands together, some 25 bits; only those are compared.
     """
-    if bands <= tolerance:
-        raise ValueError("more bands than tolerance are needed for all pairs to meet")
-    width = 128 // bands
-    mask = F.lit((1 << width) - 1).cast("long")
-    half = bands // 2
-    cut = [F.shiftrightunsigned(F.col(side), width * i).bitwiseAND(mask) for side in ("hi", "lo") for i in range(half)]
-    banded = frames.select("*", F.posexplode(F.array(*cut)).alias("band", "value"))
-    a, b = banded.alias("a"), banded.alias("b")
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.title") != F.col("b.title")))
-    distance = F.bit_count(F.col("a.hi").bitwiseXOR(F.col("b.hi"))) + F.bit_count(F.col("a.lo").bitwiseXOR(F.col("b.lo")))
-    hit = met.filter(distance <= tolerance).select(F.col("a.title").alias("a"), F.col("a.frame_pos").alias("frame_pos"), F.col("b.title").alias("b")).distinct()
+    half = -(-(tolerance + 2) // 2)
+    cuts = [64 * i // half for i in range(half + 1)]
+    bands = [(F.shiftrightunsigned(F.col(side), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")), hi - lo) for side in ("hi", "lo") for lo, hi in zip(cuts, cuts[1:])]
+    pairs = [F.shiftleft(x, width).bitwiseOR(y) for i, (x, _) in enumerate(bands) for y, width in bands[i + 1 :]]
+    patterns = frames.select("hi", "lo").distinct()
+    keyed = patterns.select("hi", "lo", F.posexplode(F.array(*pairs)).alias("bands", "value"))
+    met = keyed.join(keyed.withColumnsRenamed({"hi": "hi_b", "lo": "lo_b"}), ["bands", "value"])
+    distance = F.bit_count(F.col("hi").bitwiseXOR(F.col("hi_b"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("lo_b")))
+    near = met.filter(distance <= tolerance).select("hi", "lo", "hi_b", "lo_b").distinct()
+    shown = frames.select(F.col("title").alias("b"), F.col("hi").alias("hi_b"), F.col("lo").alias("lo_b")).distinct()
+    hit = frames.select(F.col("title").alias("a"), "frame_pos", "hi", "lo").join(near, ["hi", "lo"]).join(shown, ["hi_b", "lo_b"]).filter("a <> b").select("a", "frame_pos", "b").distinct()
     n = frames.groupBy(F.col("title").alias("a")).agg(F.count("*").alias("n"))
     return hit.groupBy("a", "b").agg(F.count("*").alias("hits")).join(n, "a").select("a", "b", "hits", "n")
 

@@ -63,6 +63,16 @@ def bands_of(column: str) -> F.Column:
     return F.array(*(F.shiftrightunsigned(column, 16 * i).bitwiseAND(F.lit(65535).cast("long")) for i in range(4)))
 
 
+def frame_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as titles whose parts are frames: how many frames of one title another has, give or take eight bits."""
+    k = F.col("p_partkey")
+    half = lambda i: F.conv(F.substring(F.md5((k % 200).cast("string").cast("binary")), i, 15), 16, 10).cast("long")
+    one = F.lit(1).cast("long")
+    flip = lambda c, bit: c.bitwiseXOR(F.call_function("shiftleft", one, bit.cast("int")))
+    frames = table(spark, sf_dir, "part").select(F.col("p_brand").alias("title"), k.alias("frame_pos"), flip(flip(half(1), k % 59), k % 13).alias("hi"), flip(flip(half(16), k % 53), k % 7).alias("lo"))
+    return matching.similar_frames(frames, 7)
+
+
 def nearest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The click nearest in time to each error of a user's day."""
     rows = visits(spark, sf_dir)
@@ -131,6 +141,13 @@ QUERIES = {
         """WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN CAST(x AS DOUBLE) > list_avg(list_transform(embedding, lambda y: CAST(y AS DOUBLE))) THEN 1 ELSE 0 END) AS bits FROM embeddings)
         SELECT q.vec_id, count(*) AS n_near FROM b q JOIN b r ON list_sum(list_transform(list_zip(q.bits, r.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) <= 3 WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id""",
     ),
+    "frame_matches": (
+        frame_matches,
+        """WITH m AS (SELECT p_brand, p_partkey AS k, md5(CAST(p_partkey % 200 AS VARCHAR)) AS m FROM part), f AS (
+          SELECT p_brand, k, xor(xor(CAST('0x' || substring(m, 1, 15) AS BIGINT), 1::BIGINT << (k % 59)), 1::BIGINT << (k % 13)) AS hi, xor(xor(CAST('0x' || substring(m, 16, 15) AS BIGINT), 1::BIGINT << (k % 53)), 1::BIGINT << (k % 7)) AS lo FROM m), h AS (
+          SELECT DISTINCT a.p_brand AS a, b.p_brand AS b, a.k FROM f a JOIN f b ON a.p_brand <> b.p_brand AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 7), n AS (SELECT p_brand, count(*) AS n FROM f GROUP BY 1)
+        SELECT a, b, count(*) AS hits, any_value(n) AS n FROM h JOIN n ON p_brand = a GROUP BY a, b""",
+    ),
     "nearest_event": (
         nearest_event,
         f"""WITH {VISITS_SQL}, met AS (SELECT DISTINCT e.user_id, e.ms, c.event_id, c.ms AS cms FROM visits e LEFT JOIN visits c ON c.user_id = e.user_id AND c.day = e.day AND c.event_type = 'click' WHERE e.event_type = 'error')
