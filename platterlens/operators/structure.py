@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,30 +30,37 @@ def _peeled(chapters: list[int], parts: list[tuple[str, list[int]]], own: str) -
             return order, chapters[at:]
 
 
-def _of_disc(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = pdf.sort_values(["title_pos", "key"])
-    titles = [(k, int(d), [int(c) for c in ch]) for k, d, ch in zip(rows["key"], rows["duration_ms"], rows["chapters"])]
-    episodic = {k for k, d, _ in titles if SHORTEST <= d <= LONGEST}
-    parts = [(k, ch[:-1] if len(ch) > 1 and ch[-1] <= SLIVER else ch) for k, _, ch in titles if k in episodic and ch]
+def _of_disc(titles: list[dict]) -> list[tuple[str, str, int]]:
+    """(key, role, place in it) of one disc's titles, in their order."""
+    rows = [(t["key"], int(t["duration_ms"]), list(t["chapters"] or ())) for t in titles]
+    episodic = {k for k, d, _ in rows if SHORTEST <= d <= LONGEST}
+    parts = [(k, ch[:-1] if len(ch) > 1 and ch[-1] <= SLIVER else ch) for k, _, ch in rows if k in episodic and ch]
     play_alls, episodes = [], {}
-    for key, _, chapters in titles:
+    for key, _, chapters in rows:
         order, rest = _peeled(chapters, parts, key) if chapters else ([], [])
         if len(order) >= 2 and all(c <= SLIVER for c in rest):
             play_alls.append(key)
             episodes |= dict.fromkeys(order)
-    others = [k for k, _, _ in titles if k not in episodes and k not in play_alls]
+    others = [k for k, _, _ in rows if k not in episodes and k not in play_alls]
     said = [("play_all", play_alls), ("episode", episodes), ("loose", [k for k in others if k in episodic]), ("extra", [k for k in others if k not in episodic])]
-    found = [(pdf["disc_id"].iloc[0], k, role, i) for role, keys in said for i, k in enumerate(keys)]
-    return pd.DataFrame(found, columns=["disc_id", "key", "role", "out_pos"])
+    return [(k, role, i) for role, keys in said for i, k in enumerate(keys)]
+
+
+def _decomposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(disc, *x) for disc, titles in zip(batch.column("disc_id").to_pylist(), batch.column("titles").to_pylist()) for x in _of_disc(titles)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int32() if i == 3 else pa.string()) for i in range(4)], ["disc_id", "key", "role", "out_pos"])
 
 
 def decompose(titles: DataFrame) -> DataFrame:
     """(disc_id, key, role, out_pos) of titles (disc_id, key, title_pos, duration_ms, chapters).
 
     A title whose chapters are those of two or more episodes, one after the other, is a play-all, and gives the episodes
-    their order. Peeling is greedy and depends on the order of titles, so a disc, some tens of rows, is one group.
+    their order. Peeling is greedy and depends on the order of titles, so a disc, some tens of titles, is one value; batches
+    of discs are taken apart together.
     """
-    return titles.select("disc_id", "key", "title_pos", "duration_ms", "chapters").groupBy("disc_id").applyInPandas(_of_disc, ROLES)
+    each = F.struct("title_pos", "key", F.col("duration_ms").cast("long").alias("duration_ms"), F.col("chapters").cast("array<bigint>").alias("chapters"))
+    return titles.groupBy("disc_id").agg(F.array_sort(F.collect_list(each)).alias("titles")).mapInArrow(_decomposed, ROLES)
 
 
 def feature(titles: DataFrame) -> DataFrame:
