@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from platterlens.llm import bpe, exact_dedup, ngram_jaccard, quality_rules, source_mix
-from platterlens.llm.common import documents, written
+from platterlens.llm.common import documents, drop_written, written
 
 STAGES = [
     ("quality rules", quality_rules.stage),
@@ -22,9 +22,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over documents. Every stage but the last is a written table in the shared folder, so a lost
     executor never costs more than a part of one stage."""
-    docs = documents(spark, sf_dir)
+    docs, held = documents(spark, sf_dir), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs, "stage-" + name.replace(" ", "-"))
+            if held is not None:
+                drop_written(held)  # a stage reads its predecessor's table alone
+            held = docs
     return docs
