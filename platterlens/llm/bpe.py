@@ -210,9 +210,9 @@ def vocabulary(path: str) -> Vocabulary:
 IDS, TEXT = (T.BinaryType(), pa.binary()), (T.StringType(), pa.string())
 
 
-def _mapped(df: DataFrame, source: Column, added: dict[str, tuple], f) -> DataFrame:
-    """df with the columns that f makes, a list for each, of a list of source's values; no shuffle."""
-    kept = [c for c in df.columns if c not in added]
+def _mapped(df: DataFrame, source: Column, added: dict[str, tuple], f, keep: list[str] | None = None) -> DataFrame:
+    """df (or its columns in keep) with the columns that f makes, a list for each, of a list of source's values; no shuffle."""
+    kept = [c for c in (df.columns if keep is None else keep) if c not in added]
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, kind) for n, (kind, _) in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,14 +233,15 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     return _mapped(df, F.coalesce(F.col(ids), F.lit(b"")), {text: TEXT}, lambda packed: [[vocabulary(path).decode(x) for x in packed]])
 
 
-def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """df with its texts' packed ids and what those decode to, in one pass: one worker and one vocabulary for both."""
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """df (or its columns in keep) with its texts' packed ids and what those decode to, in one pass: one worker and one
+    vocabulary for both."""
 
     def both(texts: list[str]) -> list[list]:
         packed = vocabulary(path).encode_many(texts)
         return [packed, [vocabulary(path).decode(x) for x in packed]]
 
-    return _mapped(df, F.coalesce(F.col(text).cast("string"), F.lit("")), {ids: IDS, decoded: TEXT}, both)
+    return _mapped(df, F.coalesce(F.col(text).cast("string"), F.lit("")), {ids: IDS, decoded: TEXT}, both, keep)
 
 
 def unpacked(ids: Column) -> Column:
@@ -256,16 +257,17 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(coded: DataFrame, *more: str) -> DataFrame:
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *more)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path()
-    return digests(round_trip(documents(spark, sf_dir).select("doc_id", "text"), path))
+    return digests(round_trip(documents(spark, sf_dir).select("doc_id", "text"), path, keep=["doc_id"]))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: for each row its ids, their number and digest, and the digest of the decoded text."""
+    """Last pipeline stage: for each row of the mix its number of ids, their digest, the digest of the decoded text, and the
+    ids themselves, packed as little-endian unsigned 32-bit integers."""
     path = vocabulary_path()
-    return digests(round_trip(docs.select("doc_id", "text"), path))
+    return digests(round_trip(docs.select("doc_id", "text"), path, keep=["doc_id"]), "ids")

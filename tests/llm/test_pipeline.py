@@ -47,6 +47,7 @@ def test_pipeline_by_brute_force(spark, small):
     reference = Tokenizer.from_file(bpe.vocabulary_path())
     for r in found:
         ids = reference.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert bytes(r["ids"]) == struct.pack(f"<{len(ids)}I", *ids)
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
 
 
