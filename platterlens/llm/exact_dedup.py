@@ -2,14 +2,15 @@
 
 Every text is known by its SHA-256 and byte length, computed in the JVM, so texts themselves are never shuffled. Map
 tasks fold their own rows to one entry for each digest (a text copied into a third of all rows becomes at most one
-entry for each task), entries are dealt to shards by digest, and each shard streams its entries through a cuckoo
-filter: a miss inserts the fingerprint; a hit is verified against the full digests stored for that bucket; a verified
+entry for each task), entries are dealt to shards by digest, of SHARD_KEYS rows or so at most, and each shard streams its
+entries through a cuckoo filter: a miss inserts the fingerprint; a hit is verified against the full digests stored for that bucket; a verified
 hit whose newcomer has the larger id deletes the live entry and inserts the newcomer as the live one; a full table is
 rebuilt at twice the size from the stored keys. What stays live in the end is one row for each text, with its count.
 
 Defined cases: null text counts as empty; all empty texts form one group; the largest id of a group stays and a null id
 counts as smaller than any; rows repeating both id and text are all marked kept by `deduplicate`, and `stage` leaves one of
-them; an empty table gives an empty result.
+them; an empty table gives an empty result; input columns with the names of results (keep_id, group_size, kept, text_sha256)
+are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, shuffle_partitions
 
 SLOTS = 4
 MAX_KICKS = 200
+#: Rows for a shard of the index: its keys, about 300 bytes each, are what a worker holds.
+SHARD_KEYS = 500_000
 
 
 class CuckooIndex:
@@ -143,11 +146,13 @@ def _folded(frames: Iterator[pd.DataFrame], whole: bool) -> Iterator[pd.DataFram
 
 
 def groups(keyed: DataFrame) -> DataFrame:
-    """(content_key, keep_id, group_size) of keyed (content_key binary, doc_id long), through the sharded index."""
+    """(content_key, keep_id, group_size) of keyed (content_key binary, doc_id long), through the sharded index. The number of
+    rows, which is a count of Parquet footers or one light scan, sets the number of shards."""
+    shards = max(shuffle_partitions(keyed.sparkSession), -(-keyed.select("doc_id").count() // SHARD_KEYS))
     schema = "content_key binary, keep_id long, group_size long"
     entries = keyed.select("content_key", F.col("doc_id").cast("long").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     folded = entries.mapInPandas(lambda frames: _folded(frames, False), schema)
-    return folded.repartition("content_key").mapInPandas(lambda frames: _folded(frames, True), schema)
+    return folded.repartition(shards, "content_key").mapInPandas(lambda frames: _folded(frames, True), schema)
 
 
 def content_key(text: str = "text") -> F.Column:
@@ -162,16 +167,16 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     The groups go back to the rows by a join on the key. A key with a third of all rows is one row on the groups' side,
     so adaptive execution can split its partition of the documents' side.
     """
-    own = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256", "content_key", "__copy")]
-    rows = docs.select(*own, content_key(text).alias("content_key"))
-    found = groups(rows.select("content_key", "doc_id"))
-    joined = rows.join(found, "content_key", "left")
+    own = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
+    rows = docs.select(*own, content_key(text).alias("__dedup_key"))
+    found = groups(rows.select(F.col("__dedup_key").alias("content_key"), "doc_id")).withColumnsRenamed({"content_key": "__found_key", "keep_id": "__found_id", "group_size": "__found_size"})
+    joined = rows.join(found, F.col("__dedup_key") == F.col("__found_key"), "left")
     return joined.select(
         *own,
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.substring(F.hex("content_key"), 1, 64)).alias("text_sha256"),
+        F.col("__found_id").alias("keep_id"),
+        F.col("__found_size").alias("group_size"),
+        F.col("doc_id").eqNullSafe(F.col("__found_id")).alias("kept"),
+        F.lower(F.substring(F.hex("__dedup_key"), 1, 64)).alias("text_sha256"),
     )
 
 
@@ -183,10 +188,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of equal texts the row with the largest id stays. The ids that stay are known from the index, so
     texts move once, in the join that keeps them; rows that repeat one id and text are reduced to one beforehand."""
     lowest = F.lit(-(1 << 63))
-    rows = docs.withColumns({"__key": content_key(), "__id": F.coalesce("doc_id", lowest)})
+    rows = docs.withColumns({"__dedup_key": content_key(), "__dedup_id": F.coalesce("doc_id", lowest)})
     found = groups(docs.select("doc_id", content_key().alias("content_key")))
-    stays = found.select(F.col("content_key").alias("__key"), F.coalesce("keep_id", lowest).alias("__id"))
-    return rows.join(stays, ["__key", "__id"], "left_semi").dropDuplicates(["__key", "__id"]).select(*docs.columns)
+    stays = found.select(F.col("content_key").alias("__dedup_key"), F.coalesce("keep_id", lowest).alias("__dedup_id"))
+    return rows.join(stays, ["__dedup_key", "__dedup_id"], "left_semi").dropDuplicates(["__dedup_key", "__dedup_id"]).select(*docs.columns)
 
 
 ORACLE = """

@@ -48,5 +48,12 @@ def test_awkward_rows(spark):
     assert sorted((r["text"] or "") for r in stayed) == sorted(groups) and stayed[0].__fields__ == df.columns
 
 
+def test_columns_of_any_name_pass_through(spark):
+    names = ["content_key", "__copy", "found", "key", "keep", "n"]
+    df = spark.createDataFrame([(i, "x", *[7] * len(names)) for i in range(3)], "doc_id bigint, text string, " + ", ".join(f"{n} int" for n in names))
+    assert all(r[n] == 7 for r in exact_dedup.deduplicate(df).collect() for n in names)
+    assert [tuple(r) for r in exact_dedup.stage(spark, df, "").collect()] == [(2, "x", *[7] * len(names))]
+
+
 def test_query(spark, small, duck, same_rows):
     same_rows(exact_dedup.query(spark, small), duck, exact_dedup.ORACLE)
