@@ -46,6 +46,43 @@ def test_rows(spark):
     assert source_mix.stage(spark, df, "").columns == df.columns
 
 
+def test_columns_of_any_name_pass_through(spark):
+    names = ["source_no", "n_blocks", "passes", "block", "h", "row", "of", "dealt", "part", "drawn", "n", "shard", "pass", "whole_passes", "bounds", "unit"]
+    df = spark.createDataFrame([(i, f"w{i} x y", "a", *[77] * len(names)) for i in range(40)], "doc_id bigint, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    for r in source_mix.draw(df).collect():
+        assert all(r[n] == 77 for n in names)
+    for r in source_mix.mix(df).collect():
+        assert all(r[n] == 77 for n in names if n not in ("shard", "pass"))
+    assert source_mix.stage(spark, df, "").columns == df.columns
+
+
+def test_places_and_quotas_of_the_query(spark, larger):
+    """From the units alone: disjoint blocks a pass, each shard as many units of every source as the tree gave it, and what
+    a source lacks is less than its smallest document."""
+    docs = spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", "text", "source")
+    rows = source_mix.draw(docs).collect()
+    sizes = {}
+    for r in rows:
+        n = len((r["text"] or "").encode().split())
+        assert r["size"] == n
+        sizes.setdefault(r["source"], []).append(n)
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    asked = dict(zip(names, source_mix.targets([sum(sizes[n]) for n in names])))
+    for name in names:
+        mine = [r for r in rows if r["source"] == name]
+        assert {r["target"] for r in mine} == {asked[name]} and {r["source_size"] for r in mine} == {sum(sizes[name])}
+        passes = int(asked[name] // sum(sizes[name]))
+        assert all(sorted(u["pass"] for u in r["units"])[:passes] == list(range(passes)) for r in mine)
+        taken, part = sum(r["size"] * len(r["units"]) for r in mine), asked[name] - passes * sum(sizes[name])
+        reach = 1
+        for n in sizes[name]:
+            reach |= reach << n
+        best = min(abs(i - part) for i in range(max(0, int(part) - 2000), int(part) + 2000) if reach >> i & 1)
+        assert abs(taken - asked[name]) <= max(best, 1) + 1e-6
+    units = [(u["shard"], u["place"]) for r in rows for u in r["units"]]
+    assert len({s for s, _ in units}) > 1 and len(set(units)) == len(units)
+
+
 def test_query(spark, larger):
     found = source_mix.query(spark, larger).join(spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", "source", "text"), "doc_id")
     import re
