@@ -31,5 +31,16 @@ def test_hostile_texts_come_back(spark):
         assert read[c]["loss_text"] == "".join(t for r, t in want if r == "assistant")
 
 
+def test_log_in_any_order_needs_the_sort(spark, monkeypatch):
+    df = spark.createDataFrame([(c, i, ("user", "assistant")[i % 2], f"text {c} of turn {i} in full") for c in range(9) for i in range(6)], "conv_id bigint, turn bigint, role string, text string")
+    log = chat_format.as_log(df)
+    assert {r["kind"] for r in log.collect()} == {"open", "delta", "edit", "regenerate"}
+    want = sorted((r["conv_id"], r["turn"], r["text"]) for r in df.collect())
+    read = lambda: sorted((r["conv_id"], r["msg"]["turn"], r["text"]) for r in chat_format.messages(log).collect())
+    assert read() == want
+    monkeypatch.setattr(chat_format, "in_order", lambda events: events)
+    assert read() != want
+
+
 def test_query(spark, small, duck, same_rows):
     same_rows(chat_format.query(spark, small), duck, chat_format.ORACLE)
