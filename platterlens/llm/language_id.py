@@ -91,12 +91,12 @@ def temperature(z: np.ndarray, labels: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def drawn(rows: DataFrame) -> tuple[DataFrame, int]:
+def drawn(rows: DataFrame, most: int = TRAIN) -> tuple[DataFrame, int]:
     """Of rows (text, lang, __h), __h a hash of text and lang, the distinct texts of each language with about its share of
     smallest hashes, and that share; six deviations more are let in, which the caller cuts."""
     spark = rows.sparkSession
     sizes = rows.groupBy("lang", "__h").agg(F.lit(1).alias("one")).groupBy("lang").count().collect()
-    each = max((TRAIN + TRAIN // 5) // max(len(sizes), 1), LEAST_TEXTS)
+    each = max((most + most // 5) // max(len(sizes), 1), LEAST_TEXTS)
     share = [(r["lang"], min(1.0, (each + 6 * each**0.5 + 6) / r["count"])) for r in sizes]
     limits = spark.createDataFrame([(lang, min(-(1 << 63) + int(x * (1 << 64)), (1 << 63) - 1)) for lang, x in share], "lang string, __limit long")
     return rows.join(F.broadcast(limits), "lang").filter("__h <= __limit").select("text", "lang", "__h").distinct(), each
@@ -124,12 +124,12 @@ def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     return int(df[FEATURES]), df[:FEATURES]
 
 
-def fit(labelled: DataFrame, seed: int = 11) -> dict:
+def fit(labelled: DataFrame, seed: int = 11, most: int = TRAIN) -> dict:
     """The model of labelled (doc_id, text, lang): languages, idf, weights, temperature. Rows without a label count for
-    the idf alone."""
+    the idf alone; the weights are learned from about `most` texts, those of drawn()."""
     order = F.xxhash64(F.lit(seed), F.col("lang"), F.col("text"))
     rows = labelled.filter("text is not null and lang is not null").select("text", "lang", order.alias("__h"))
-    sample, each = drawn(rows)
+    sample, each = drawn(rows, most)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +164,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in sliced(batches):
             names, scores = [], []
             for t in batch.column("__text").to_pylist():
                 slots, n = counts(t or "") if m["languages"] else ((), ())

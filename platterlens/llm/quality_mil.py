@@ -1,12 +1,12 @@
 """Quality classifier: attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE words, all of them. Each passage is encoded: shares of character kinds and
-word shapes, and a hashed bag of its short words' shapes, pass a learned layer. Gated attention,
+A document is a bag of passages of PASSAGE words, all of them. Each passage is encoded: shares of character kinds, of
+repeated and distinct words, a hashed bag of its words and one of their outlines pass a learned layer. Gated attention,
 softmax(w . (tanh(V h) * sigmoid(U h))), weighs the passages; the weighted sum is the document's representation, and a
 logistic output scores it. Encoder, attention and output are learned together from document labels alone.
 
-The fit takes a bounded sample: at most TRAIN labelled documents, the ones with the smallest seeded hashes of their ids,
-with all their passages. Scoring covers every row and every passage, where each partition lies; the model that travels
+The fit takes a bounded sample: at most `most` labelled documents (TRAIN unless told), the ones with the smallest seeded
+hashes of their ids, with all their passages. Scoring covers every row and every passage, where each partition lies; the model that travels
 is a few thousand floats.
 
 Defined cases: null text counts as empty; a text without words is one passage of zeros and gets the score of that;
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, documents, held_out, smallest
+from .common import documents, held_out, mixed, sliced, smallest
 
 PASSAGE = 100
 TRAIN = 5000
-HASHED, HIDDEN, ATTENTION = 64, 16, 8
+HASHED, WORDS, HIDDEN, ATTENTION = 64, 128, 16, 8
 EPOCHS, RATE, DECAY = 12, 0.01, 1e-4
 
 #: Character kinds by byte: lower case, upper case, digit, white space, full stop and the like, pairs, symbols, beyond ASCII.
@@ -37,55 +37,59 @@ for _kind, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNO
     KINDS[list(_chars)] = _kind
 KINDS[0:9] = KINDS[14:32] = 6
 N_SHARES = 8 + 6
-WIDTH = N_SHARES + HASHED
+WIDTH = N_SHARES + HASHED + WORDS
+#: Characters of a word, and changes of kind in it, that its hashes look at.
+PREFIX, CHANGES = 24, 12
 
 
-def shape(word: bytes) -> bytes:
-    """A word's outline: its kinds of characters with repeats merged, and whether it is short."""
-    kinds = KINDS[np.frombuffer(word, np.uint8)]
-    keep = np.r_[True, kinds[1:] != kinds[:-1]]
-    return bytes(kinds[keep][:12].astype(np.uint8)) + (b"s" if len(word) < 4 else b"l")
-
-
-class Shapes(dict):
-    """word -> slot of its outline, remembered."""
-
-    def __init__(self):
-        super().__init__()
-        self.hashes = WordHashes()
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        slot = self[word] = self.hashes[shape(word)] % HASHED
-        return slot
-
-
-def passages(text: str, shapes: Shapes) -> np.ndarray:
-    """[passages, WIDTH] of a whole text."""
-    words = text.encode().split()
-    if not words:
-        return np.zeros((1, WIDTH), np.float32)
-    n = len(words)
-    bounds = np.arange(0, n, PASSAGE)
-    sizes = np.diff(np.r_[bounds, n])
-    lengths = np.fromiter(map(len, words), np.int64, n)
+def _of_words(words: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of distinct words: lengths, first and last character's kind, counts of kinds, slot of the outline (kinds of
+    characters with repeats merged, and whether the word is short) and slot of the word."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
     data = np.frombuffer(b"".join(words), np.uint8)
-    at = np.r_[0, np.cumsum(lengths)[:-1]]
-    of_char = np.repeat(np.arange(len(bounds)), np.add.reduceat(lengths, bounds))
-    kinds = np.bincount(of_char * 8 + KINDS[data], minlength=8 * len(bounds)).reshape(-1, 8).astype(np.float64)
-    total = kinds.sum(axis=1, keepdims=True)
-    first, last = KINDS[data[at]], KINDS[data[at + lengths - 1]]
-    repeated = np.r_[False, [a == b for a, b in zip(words, words[1:])]] if n > 1 else np.zeros(1, bool)
+    starts = np.cumsum(lengths) - lengths
+    kinds = KINDS[data]
+    of = np.repeat(np.arange(len(words)), lengths)
+    counts = np.bincount(of * 8 + kinds, minlength=8 * len(words)).reshape(-1, 8)
+    change = np.r_[True, kinds[1:] != kinds[:-1]]
+    change[starts] = True
+    nth = np.cumsum(change)
+    nth -= nth[starts][of]
+    outline = mixed((nth * 8 + kinds + 1).astype(np.uint64)) * (change & (nth < CHANGES))
+    place = np.arange(len(data)) - starts[of]
+    letters = mixed((place * 256 + data + 1).astype(np.uint64)) * (place < PREFIX)
+    shapes = mixed(np.add.reduceat(outline, starts) + (lengths < 4).astype(np.uint64)) % np.uint64(HASHED)
+    slots = mixed(np.add.reduceat(letters, starts) + lengths.astype(np.uint64)) % np.uint64(WORDS)
+    return lengths, kinds[starts], kinds[starts + lengths - 1], counts, shapes.astype(np.int64), slots.astype(np.int64)
+
+
+def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """([passages, WIDTH] of whole texts laid end to end, passages of each text). A text without words has one, of zeros."""
+    split = [t.encode().split() for t in texts]
+    n_words = np.fromiter(map(len, split), np.int64, len(split))
+    n_passages = np.maximum(1, -(-n_words // PASSAGE))
+    out = np.zeros((int(n_passages.sum()), WIDTH), np.float32)
+    words = [w for ws in split for w in ws]
+    if not words:
+        return out, n_passages
     known = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    ids = np.fromiter(map(known.__getitem__, words), np.int64, n)
-    of_word = np.repeat(np.arange(len(bounds)), sizes)
-    distinct = np.bincount(np.unique(of_word * n + ids) // n, minlength=len(bounds))
-    per = lambda x: np.add.reduceat(x.astype(np.float64), bounds) / sizes
-    shares = np.stack([per(lengths) / 10, per(first == 1), per(last == 4), per(last == 6), per(repeated), distinct / sizes], axis=1)
-    slots = np.fromiter(map(shapes.__getitem__, words), np.int64, n)
-    hashed = np.bincount(of_word * HASHED + slots, minlength=HASHED * len(bounds)).reshape(-1, HASHED) / sizes[:, None]
-    return np.concatenate([kinds / total, shares, np.sqrt(hashed)], axis=1).astype(np.float32)
+    ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    lengths, first, last, counts, shapes, slots = _of_words(list(known))
+    starts, first_passage = np.cumsum(n_words) - n_words, np.cumsum(n_passages) - n_passages
+    text_of = np.repeat(np.arange(len(split)), n_words)
+    within = np.arange(len(words)) - starts[text_of]
+    passage_of = first_passage[text_of] + within // PASSAGE
+    rows = np.flatnonzero(np.bincount(passage_of, minlength=len(out)))
+    bounds = np.searchsorted(passage_of, rows)
+    sizes = np.diff(np.r_[bounds, len(words)])[:, None]
+    per = lambda x: np.add.reduceat(x[ids].astype(np.float64), bounds, axis=0)
+    kinds = per(counts)
+    same = (ids == np.r_[-1, ids[:-1]]) & (within > 0)
+    distinct = np.bincount(np.unique(passage_of * len(known) + ids) // len(known), minlength=len(out))[rows]
+    shares = np.stack([per(lengths) / 10, per(first == 1), per(last == 4), per(last == 6), np.add.reduceat(same.astype(np.float64), bounds), distinct], axis=1) / sizes
+    hashed = [np.bincount(passage_of * n + x[ids], minlength=n * len(out)).reshape(-1, n)[rows] / sizes for n, x in ((HASHED, shapes), (WORDS, slots))]
+    out[rows] = np.concatenate([kinds / kinds.sum(axis=1, keepdims=True), shares, *map(np.sqrt, hashed)], axis=1)
+    return out, n_passages
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -145,16 +149,16 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int) -> dict:
     return p | {"mean": mean, "spread": spread}
 
 
-def fit(labelled: DataFrame, seed: int = 5) -> dict:
-    """The model of labelled (doc_id, text, quality)."""
+def fit(labelled: DataFrame, seed: int = 5, most: int = TRAIN) -> dict:
+    """The model of labelled (doc_id, text, quality), learned from `most` of its rows at most."""
     order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sample = smallest(labelled.filter("quality is not null").select(text.alias("text"), "quality", order.alias("__h")), "__h", TRAIN, "text", "quality")
+    sample = smallest(labelled.filter("quality is not null").select(text.alias("text"), "quality", order.alias("__h")), "__h", most, "text", "quality")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = Shapes()
-        for batch in batches:
-            bags = [passages(t, shapes).tobytes() for t in batch.column("text").to_pylist()]
+        for batch in sliced(batches, 256):
+            x, sizes = passages(batch.column("text").to_pylist())
+            bags = [b.tobytes() for b in np.split(x, np.cumsum(sizes)[:-1])]
             yield pa.RecordBatch.from_arrays([batch.column("quality").cast(pa.int64()), batch.column("__h"), pa.array(bags, pa.binary())], ["quality", "h", "bag"])
 
     pdf = sample.repartition(8, "__h").mapInArrow(featurise, "quality long, h long, bag binary").toPandas().sort_values(["h", "quality", "bag"])
@@ -172,20 +176,17 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     schema = docs.select(*own).schema.add("score", "double").add("attention", T.ArrayType(T.FloatType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, shapes = sent.value, Shapes()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                bags = [passages(t or "", shapes) for t in part.column("__text").to_pylist()]
-                sizes = [len(b) for b in bags]
-                ends = np.cumsum(sizes)
-                if "constant" in p:
-                    y, a = np.full(len(bags), p["constant"]), np.concatenate([np.full(n, 1 / n) for n in sizes])
-                else:
-                    f = forward(p, (np.concatenate(bags) - p["mean"]) / p["spread"], ends - sizes)
-                    y, a = f["y"], f["a"]
-                weights = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(a, pa.float32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(y, pa.float64()), weights], [*own, "score", "attention"])
+        p = sent.value
+        for part in sliced(batches, 256):
+            x, sizes = passages([t or "" for t in part.column("__text").to_pylist()])
+            ends = np.cumsum(sizes)
+            if "constant" in p:
+                y, a = np.full(len(sizes), p["constant"]), np.repeat(1 / sizes, sizes)
+            else:
+                f = forward(p, (x - p["mean"]) / p["spread"], ends - sizes)
+                y, a = f["y"], f["a"]
+            weights = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(a, pa.float32()))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(y, pa.float64()), weights], [*own, "score", "attention"])
 
     return docs.select(*own, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 

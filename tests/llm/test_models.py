@@ -18,6 +18,37 @@ def test_quality_on_held_out_rows(spark, larger):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in found)
 
 
+def test_scores_by_a_plain_loop_over_passages():
+    """passages() and forward() of many texts at once against one word, passage and text at a time."""
+    texts = [t or "" for _, t, *_ in awkward()] + ["A a a! ### 12 (x) naïve", "one " * 250]
+    x, sizes = quality_mil.passages(texts)
+    draw, at = np.random.default_rng(3), 0
+    p = {k: draw.normal(size=n) * 0.3 for k, n in {"E": (quality_mil.WIDTH, 4), "e": 4, "V": (4, 3), "U": (4, 3), "w": 3, "o": 4, "b": 1}.items()}
+    scores = quality_mil.forward(p, x.astype(float), np.cumsum(sizes) - sizes)["y"]
+    kind = lambda c: int(quality_mil.KINDS[c])
+    for text, n, score in zip(texts, sizes, scores):
+        words = text.encode().split()
+        parts = [words[i : i + 100] for i in range(0, len(words), 100)] or [[]]
+        assert n == len(parts)
+        top, bottom = np.zeros(4), 0.0
+        for k, part in enumerate(parts):
+            row = x[at + k]
+            if part:
+                chars = b"".join(part)
+                assert np.allclose(row[:8], [sum(kind(c) == j for c in chars) / len(chars) for j in range(8)], atol=1e-6)
+                before = [words[k * 100 - 1] if k else None, *part[:-1]]
+                want = [sum(map(len, part)) / 10, sum(kind(w[0]) == 1 for w in part), sum(kind(w[-1]) == 4 for w in part), sum(kind(w[-1]) == 6 for w in part), sum(a == b for a, b in zip(before, part)), len(set(part))]
+                assert np.allclose(row[8:14], np.array(want) / len(part), atol=1e-6)
+                assert np.isclose((row[14 : 14 + quality_mil.HASHED] ** 2).sum(), 1, atol=1e-5) and np.isclose((row[14 + quality_mil.HASHED :] ** 2).sum(), 1, atol=1e-5)
+            else:
+                assert not row.any()
+            h = np.tanh(row @ p["E"] + p["e"])
+            weight = np.exp(sum(w * np.tanh(h @ v) / (1 + np.exp(-(h @ u))) for w, v, u in zip(p["w"], p["V"].T, p["U"].T)))
+            top, bottom = top + weight * h, bottom + weight
+        at += n
+        assert np.isclose(score, 1 / (1 + np.exp(-(top / bottom @ p["o"] + p["b"][0]))), atol=1e-6)
+
+
 def test_gradients_are_those_of_the_loss():
     draw = np.random.default_rng(1)
     p = {"E": draw.normal(size=(quality_mil.WIDTH, 3)) * 0.2, "e": draw.normal(size=3), "V": draw.normal(size=(3, 2)), "U": draw.normal(size=(3, 2)), "w": draw.normal(size=2), "o": draw.normal(size=3), "b": draw.normal(size=1)}
@@ -90,24 +121,65 @@ def test_samples_are_the_smallest_hashes(spark):
     assert smallest(rows.limit(0), "h", 5).count() == 0
 
 
-def test_language_sample_keeps_rare_languages_and_folds_copies(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "TRAIN", 100)
+def test_language_sample_keeps_rare_languages_and_folds_copies(spark):
     rows = [(i, f"the cat {i} and the dog in house {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", "en") for i in range(2000)]
     rows += [(i, "one text that a third of all rows repeat", "en") for i in range(2000, 3000)] + [(3000, "кошка и собака", "ru"), (3001, "собака и дом", "ru")]
     docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
-    assert language_id.fit(docs)["languages"] == ["en", "ru"]
+    assert language_id.fit(docs, most=100)["languages"] == ["en", "ru"]
     hashed = docs.select("text", "lang", language_id.F.xxhash64("lang", "text").alias("__h"))
-    sample, each = language_id.drawn(hashed)
+    sample, each = language_id.drawn(hashed, 100)
     found = [(r["lang"], r["text"]) for r in sample.collect()]
     assert each == 60 and len(found) == len(set(found)) and each <= len(found) - 2 <= each + 12 * each**0.5 + 12
     assert sum(lang == "ru" for lang, _ in found) == 2
 
 
-def test_language_idf_covers_all_texts(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "TRAIN", 100)
+def test_language_idf_covers_all_texts(spark):
     texts = [f"word {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} of many" for i in range(600)] + ["123", None]
     docs = spark.createDataFrame([(i, t, "en" if i % 2 else None) for i, t in enumerate(texts)], "doc_id int, text string, lang string").repartition(5)
     df = np.zeros(language_id.FEATURES)
     for t in texts[:600]:
         df[language_id.counts(t)[0]] += 1
-    assert np.allclose(language_id.fit(docs)["idf"], np.log(601 / (1 + df)) + 1)
+    assert np.allclose(language_id.fit(docs, most=100)["idf"], np.log(601 / (1 + df)) + 1)
+
+
+def test_ftrl_by_dense_steps():
+    """The sparse learner against the same method over whole vectors, one coordinate at a time."""
+    from math import exp, sqrt
+
+    draw = np.random.default_rng(2)
+    rows = [(np.sort(draw.choice(12, 4, replace=False)), draw.random(4)) for _ in range(25)]
+    labels = draw.integers(0, 3, 25)
+    got = language_id.ftrl(rows, labels, 3, seed=9)[:12]
+    z, n = [[0.0] * 3 for _ in range(12)], [[0.0] * 3 for _ in range(12)]
+
+    def weight(i, c):
+        if abs(z[i][c]) <= language_id.L1:
+            return 0.0
+        return -(z[i][c] - (1 if z[i][c] > 0 else -1) * language_id.L1) / ((language_id.BETA + sqrt(n[i][c])) / language_id.ALPHA + language_id.L2)
+
+    order = np.random.default_rng(9)
+    for _ in range(language_id.EPOCHS):
+        for r in order.permutation(25):
+            x = dict(zip(rows[r][0].tolist(), rows[r][1].tolist()))
+            w = {i: [weight(i, c) for c in range(3)] for i in x}
+            scores = [sum(x[i] * w[i][c] for i in x) for c in range(3)]
+            total = sum(exp(s) for s in scores)
+            for i in x:
+                for c in range(3):
+                    g = x[i] * (exp(scores[c]) / total - (labels[r] == c))
+                    step = (sqrt(n[i][c] + g * g) - sqrt(n[i][c])) / language_id.ALPHA
+                    z[i][c] += g - step * w[i][c]
+                    n[i][c] += g * g
+    assert np.allclose(got, [[weight(i, c) for c in range(3)] for i in range(12)], atol=1e-9) and (got != 0).any()
+
+
+def test_predictions_by_dense_products(spark):
+    docs = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate([("the cat and the dog", "en"), ("der Hund und die Katze", "de"), ("le chat et le chien", "fr")] * 9)], "doc_id int, text string, lang string")
+    m = language_id.fit(docs)
+    for r in language_id.predict(docs.limit(5), m).collect():
+        dense = np.zeros(language_id.FEATURES)
+        for slot, n in zip(*language_id.counts(r["text"])):
+            dense[slot] = n * m["idf"][slot]
+        scores = dense / np.sqrt((dense**2).sum()) @ m["weights"] / m["temperature"]
+        p = np.exp(scores - scores.max()) / np.exp(scores - scores.max()).sum()
+        assert r["lang_pred"] == m["languages"][int(p.argmax())] and abs(r["score"] - p.max()) < 1e-5
