@@ -1,8 +1,9 @@
 """License scans with DataFrame functions only: TF-IDF cosine to templates, then inheritance from ancestor directories.
 
 1. Blocks. A file's text falls into blocks: each line, each paragraph (lines between blank ones) and, for a file named
-   like a licence file, the whole text. A block counts if it has a marker word and at least LEAST_KNOWN of its words are
-   words of a template; all of a text is looked at.
+   like a licence file, the whole text; all of a text is looked at. Blocks without a heavy word are passed over: the heavy
+   words of a template carry more than 1 - LEAST ** 2 of its vector's square, so a block that has none of them has a cosine
+   below LEAST. Nothing that could be found is lost by that.
 2. Licence files. The whole text of a file named like one is compared with the full texts in license_texts, one file for
    each licence (AGPL-3.0, EPL-2.0 and the CC-BY family have notices alone); the best at LEAST or more is the file's.
    Else an SPDX-License-Identifier, of an expression the first, without -only, -or-later or +, is the file's, score 1.
@@ -33,7 +34,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, written
 
 #: Licence name -> notices that stand for it, as files carry them.
 TEMPLATES = {
@@ -95,11 +96,11 @@ OTHERS = {
 }
 #: Full texts of fewer characters stand in headers too.
 SHORT = 2000
-#: Words of which a notice has one.
+#: Words of which a paragraph of a short full text has one if it stands alone as a notice.
 MARKERS = r"licen[cs]e|copyright|permission|redistribut|public domain|free software"
 #: Fixed value: names of licence files.
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)([._-][^/]*)?$"
-LEAST, LEAST_KNOWN = 0.7, 0.3
+LEAST = 0.7
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RESULTS = ("license", "score", "origin", "license_path")
@@ -161,24 +162,61 @@ def frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str,
     return files.count(), {r["w"]: r["count"] for r in rows}
 
 
-def blocks(files: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(__file, block, words): the blocks of files (__file, path, text) that count."""
+def weighed(templates: dict[str, tuple[str, ...]], n: int, df: dict[str, int]) -> tuple[dict[str, float], list[tuple[str, str, int, float, float]]]:
+    """idf of the templates' words, and rows (word, licence, notice, weight in a unit vector, that times idf)."""
+    from math import log, sqrt
+
+    notices = template_words(templates)
+    idf = {w: log((1 + n) / (1 + df.get(w, 0))) + 1 for w in sorted(set().union(*notices.values()))}
+    rows = []
+    for (name, i), own in notices.items():
+        norm = sqrt(sum((k * idf[w]) ** 2 for w, k in own.items()))
+        rows += [(w, name, i, k * idf[w] / norm, k * idf[w] ** 2 / norm) for w, k in own.items()]
+    return idf, rows
+
+
+def heavy_words(templates: dict[str, tuple[str, ...]], n: int, df: dict[str, int]) -> list[str]:
+    """Words of which a block has one if it reaches LEAST with a template: of each template the rarest words that carry so
+    much of its square that the others can't reach LEAST without them."""
+    idf, rows = weighed(templates, n, df)
+    by_notice: dict[tuple[str, int], list[tuple[float, float, str]]] = {}
+    for w, name, i, weight, _ in rows:
+        by_notice.setdefault((name, i), []).append((-idf[w], -weight, w))
+    found = set()
+    for own in by_notice.values():
+        left = 1.0
+        for _, weight, w in sorted(own):
+            if left < LEAST**2 - 1e-6:
+                break
+            found.add(w)
+            left -= weight**2
+    return sorted(found)
+
+
+def has_word(text: Column, known: list[str]) -> Column:
+    """Whether a text has one of the words; they are told apart by their first letter before the rest is looked at."""
+    by_first: dict[str, list[str]] = {}
+    for w in known:
+        by_first.setdefault(w[0], []).append(w[1:])
+    choices = "|".join(f"{first}(?:{'|'.join(rests)})" for first, rests in sorted(by_first.items()))
+    return text.rlike(f"(?<![a-z0-9])(?:{choices})(?![a-z0-9])")
+
+
+def blocks(files: DataFrame, heavy: list[str]) -> DataFrame:
+    """(__file, block, words): the blocks of files (__file, path, text) that have a heavy word."""
     text = lowered(F.coalesce("text", F.lit("")))
-    # a text without a marker has no block that counts; that is known before it is split
-    rows = files.filter(text.rlike(MARKERS)).select("__file", "path", text.alias("text"))
+    # a text without a heavy word has no block that counts; that is known before it is split
+    rows = files.filter(has_word(text, heavy)).select("__file", "path", text.alias("text"))
     whole = F.when(F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)), F.array("text")).otherwise(F.array().cast("array<string>"))
     parts = F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", r"\n[ \t\r]*\n"), whole))
-    marked = rows.select("__file", F.posexplode(F.filter(parts, lambda p: p.rlike(MARKERS))).alias("block", "body"))
-    worded = marked.select("__file", "block", words(F.col("body")).alias("words"))
-    known = F.array(*map(F.lit, vocabulary))
-    n_known = F.size(F.filter("words", lambda w: F.array_contains(known, w)))
-    return worded.filter(n_known >= LEAST_KNOWN * F.size("words"))
+    marked = rows.select("__file", F.posexplode(F.filter(parts, lambda p: has_word(p, heavy))).alias("block", "body"))
+    return marked.select("__file", "block", words(F.col("body")).alias("words"))
 
 
-def whole_files(files: DataFrame) -> DataFrame:
-    """(__file, block, words): the whole text of each licence file."""
+def whole_files(files: DataFrame, heavy: list[str]) -> DataFrame:
+    """(__file, block, words): the whole text of each licence file with a heavy word."""
     text = lowered(F.coalesce("text", F.lit("")))
-    named = files.filter(F.col("path").rlike(LICENSE_FILE) & text.rlike(MARKERS))
+    named = files.filter(F.col("path").rlike(LICENSE_FILE) & has_word(text, heavy))
     return named.select("__file", F.lit(-1).alias("block"), words(text).alias("words"))
 
 
@@ -192,19 +230,13 @@ def tagged(files: DataFrame, names: list[str]) -> DataFrame:
 
 def nearest(counts: DataFrame, templates: dict[str, tuple[str, ...]], n: int, df: dict[str, int]) -> DataFrame:
     """(__file, license, score): the best template of each of blocks (__file, block, words) that reaches LEAST."""
-    from math import log, sqrt
+    from math import log
 
     spark = counts.sparkSession
-    notices = template_words(templates)
-    vocabulary = sorted(set().union(*notices.values()))
-    idf = {w: log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
+    idf, rows = weighed(templates, n, df)
     top = log(1 + n) + 1
-    rows = []
-    for (name, i), own in notices.items():
-        norm = sqrt(sum((k * idf[w]) ** 2 for w, k in own.items()))
-        rows += [(w, name, i, k * idf[w] ** 2 / norm) for w, k in own.items()]
-    weights = spark.createDataFrame(rows, "w string, license string, notice int, weight double")
-    idfs = spark.createDataFrame([(w, idf[w]) for w in vocabulary], "w string, idf double")
+    weights = spark.createDataFrame([(w, name, i, dot) for w, name, i, _, dot in rows], "w string, license string, notice int, weight double")
+    idfs = spark.createDataFrame(sorted(idf.items()), "w string, idf double")
     counted = counts.select("__file", "block", F.explode("words").alias("w")).groupBy("__file", "block", "w").agg(F.count("*").alias("tf"))
     counted = counted.join(F.broadcast(idfs), "w", "left").withColumn("square", F.pow(F.col("tf") * F.coalesce("idf", F.lit(top)), F.lit(2)))
     norms = counted.groupBy("__file", "block").agg(F.sqrt(F.sum("square")).alias("norm"))
@@ -220,9 +252,9 @@ def own_licenses(files: DataFrame, notices: dict[str, tuple[str, ...]], texts: d
     known = sorted(set().union(*template_words(notices).values()))
     n, df = frequencies(files, sorted(set(known).union(*template_words(texts).values())))
     ranked = [
-        nearest(whole_files(files), texts, n, df),
+        nearest(whole_files(files, heavy_words(texts, n, df)), texts, n, df),
         tagged(files, sorted({*notices, *texts})).withColumn("score", F.lit(1.0)),
-        nearest(blocks(files, known), notices, n, df),
+        nearest(blocks(files, heavy_words(notices, n, df)), notices, n, df),
     ]
     found = None
     for rank, part in enumerate(ranked):
@@ -253,7 +285,8 @@ def scan(files: DataFrame, notices: dict[str, tuple[str, ...]] | None = None, te
     own = [c for c in files.columns if c not in _RESULTS]
     keyed = files.select(*own, F.struct("file_id", "path", F.xxhash64("text").alias("h")).alias("__file"))
     # rows that repeat id, path and text are one file here, and all of them get its result
-    found = own_licenses(keyed.select("__file", "path", "text"), notices or all_notices(), texts or full_texts())
+    # and that result, a small row for each file with a licence, is written once, since three joins read it
+    found = written(own_licenses(keyed.select("__file", "path", "text"), notices or all_notices(), texts or full_texts()), "licenses")
     rows = keyed.join(found, "__file", "left")
     named = rows.filter(F.col("license").isNotNull() & F.col("path").rlike(LICENSE_FILE))
     first = named.groupBy(directory(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "license")).alias("f"))
@@ -311,10 +344,10 @@ leveled AS (
 ), marked AS (
   SELECT DISTINCT doc_id, unnest(string_split(body, chr(10)) || regexp_split_to_array(body, '\n[ \t\r]*\n') || CASE WHEN path LIKE '%/LICENSE' THEN [body] ELSE [] END) AS b FROM files
 ), worded AS (
-  SELECT doc_id, b, regexp_extract_all(b, '[a-z0-9]+') AS ws FROM marked WHERE regexp_matches(b, '{MARKERS}')
+  SELECT doc_id, b, regexp_extract_all(b, '[a-z0-9]+') AS ws FROM marked
 ), counted AS (SELECT doc_id, b, w, count(*) AS tf FROM (SELECT doc_id, b, unnest(ws) AS w FROM worded) GROUP BY ALL
 ), squared AS (SELECT doc_id, b, w, tf, (tf * coalesce(idf, ln(1 + (SELECT count(*) FROM files)) + 1)) ** 2 AS square, idf IS NOT NULL AS known FROM counted LEFT JOIN idf USING (w)
-), norms AS (SELECT doc_id, b, sqrt(sum(square)) AS norm FROM squared GROUP BY doc_id, b HAVING coalesce(sum(tf) FILTER (WHERE known), 0) >= {LEAST_KNOWN} * sum(tf)
+), norms AS (SELECT doc_id, b, sqrt(sum(square)) AS norm FROM squared GROUP BY doc_id, b
 ), scored AS (
   SELECT doc_id, b, license, notice, round(sum(tf * weight) / any_value(norm), 6) AS score FROM counted JOIN norms USING (doc_id, b) JOIN weights USING (w) GROUP BY ALL
 ), own AS (

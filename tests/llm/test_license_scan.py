@@ -52,3 +52,21 @@ def test_full_texts_tags_and_other_wordings(spark):
     df = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(rows + filler)], "file_id int, path string, text string")
     found = {r["path"]: r["license"] for r in license_scan.scan(df).collect()}
     assert found == {p: name for p, _, name in rows + filler}
+
+
+def test_heavy_words_lose_nothing(spark, monkeypatch):
+    """With and without the words that a block must have; among others notices cut short, mixed and stretched."""
+    import random
+
+    draw = random.Random(3)
+    notices = [n for own in license_scan.all_notices().values() for n in own]
+    texts = []
+    for i in range(120):
+        words = draw.choice(notices).split()[:60]
+        keep = [w for w in words if draw.random() < draw.choice([0.5, 0.8, 1.0])]
+        texts.append(" ".join(keep + [f"filler{draw.randrange(99)}" for _ in range(draw.randrange(6))]))
+    files = spark.createDataFrame([(i, f"d{i}/" + ("LICENSE" if i % 4 == 0 else "a.txt"), t) for i, t in enumerate(texts)], "file_id int, path string, text string")
+    run = lambda: sorted((r["file_id"], r["license"] or "", r["score"] or 0, r["license_path"] or "") for r in license_scan.scan(files).collect())
+    found = run()
+    monkeypatch.setattr(license_scan, "has_word", lambda text, known: text.isNotNull())
+    assert run() == found and sum(bool(x[1]) for x in found) > 20
