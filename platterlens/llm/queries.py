@@ -16,6 +16,7 @@ MODULES = {
     "op8_language_id": "language_id",
     "op9_quality_rules": "quality_rules",
     "op10_source_mix": "source_mix",
+    "op11_merkle_manifest": "merkle_manifest",
 }
 
 
