@@ -17,6 +17,7 @@ MODULES = {
     "op9_quality_rules": "quality_rules",
     "op10_source_mix": "source_mix",
     "op11_merkle_manifest": "merkle_manifest",
+    "op12_filter_audit": "filter_audit",
 }
 
 
