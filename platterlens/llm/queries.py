@@ -18,6 +18,7 @@ MODULES = {
     "op10_source_mix": "source_mix",
     "op11_merkle_manifest": "merkle_manifest",
     "op12_filter_audit": "filter_audit",
+    "op13_pii": "pii",
 }
 
 
