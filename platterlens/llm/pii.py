@@ -4,7 +4,8 @@ expectation-maximisation, and a span classifier trained on what follows from the
 Candidates of four kinds (email, ip, card, phone) are the base patterns' matches, those of their matches that break the
 kind's rule (a part over 255, a wrong number of digits or checksum; of cards, those with 12 to 19 digits), and wider forms
 that the base patterns do not know: addresses spelt with (at) and (dot), bracketed or colon-separated network addresses, card
-numbers parted by dots, slashes or underscores, national phone numbers without a plus sign. Four labelers vote for, against
+numbers parted by dots, slashes or underscores, national phone numbers without a plus sign, and
+the first groups of digits of what is too long for a phone number. Four labelers vote for, against
 or not at all on each: the pattern and its rule; a gazetteer (endings of hosts, reserved address blocks, card issuers, calling
 codes); cue words among the five words before; and what stands right beside the span.
 
@@ -59,6 +60,7 @@ _SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[({]\x20
 _BRACKETED = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3}(?![0-9])|(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])")
 _PARTED = re.compile(r"(?<![0-9./_])[0-9]{4}(?:[./_ ][0-9]{4}){3}(?![0-9])")
 _NATIONAL = re.compile(r"(?<![0-9A-Za-z+.,/-])\(?0?[0-9]{2,4}\)?(?:[\x20./-]{1,2}[0-9]{2,4}){2,4}(?![0-9A-Za-z/-])")
+_GROUP = re.compile("[0-9]+")
 _ANY = re.compile(r"[0-9@]|[\[({]\x20?(?:at|AT)\x20?[\])}]")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*|#")
 
@@ -128,6 +130,17 @@ def wider(text: str) -> Iterator[tuple[int, int, int, int]]:
             yield PHONE, *m.span(), ABSTAIN
 
 
+def _phone_within(text: str, start: int, end: int) -> int:
+    """Where the longest part of a match with too many digits ends that is whole groups of digits, 9 to 15 of them, or 0."""
+    best = n = 0
+    for m in _GROUP.finditer(text, start, end):
+        n += len(m[0])
+        if n > 15:
+            break
+        best = m.end() if n >= 9 else best
+    return best
+
+
 def _gazetteer(kind: int, span: str) -> int:
     if kind == EMAIL:
         ending = re.split(r"[^A-Za-z0-9-]+", span.rstrip())[-1].lower()
@@ -196,15 +209,18 @@ def candidates_in(text: str) -> list[tuple[int, int, int, bool, int, list[int]]]
     """(kind, start, end, base, votes, features) of every candidate of a text, base spans first."""
     if not _ANY.search(text):
         return []
-    sound, broken = [], []
+    sound, broken, cuts = [], [], []
     for kind, start, end, holds in base(text):
         if holds:
             sound.append((kind, start, end))
+        elif kind == PHONE and (cut := _phone_within(text, start, end)):
+            cuts.append((PHONE, start, cut))
         elif kind != CARD or 12 <= len(_digits(text[start:end])) <= 19:
             broken.append((kind, start, end))
     told = _apart((s, e) for _, s, e in sound)
-    every = _apart((s, e) for _, s, e in sound + broken)
+    every = _apart((s, e) for _, s, e in sound + broken + cuts)
     forms = [(s, FOR, True) for s in sound] + [(s, AGAINST, False) for s in broken]
+    forms += [(s, ABSTAIN, False) for s in cuts]
     forms += [((k, s, e), vote, False) for k, s, e, vote in wider(text) if _free(every if k == PHONE else told, s, e)]
     return [(*s, kept, *described(text, *s, vote)) for s, vote, kept in forms]
 
