@@ -85,7 +85,7 @@ def _planted(n: int) -> list[tuple]:
         kinds = [
             (f"please contact jo.{i}@{host} today", None), (f"server address {draw.randrange(1, 220)}.{draw.randrange(1, 256)}.7.9 was up", None), (f"she paid by visa card {card} then", None), (f"call +1 ({phone[:3]}) 555-{phone[-4:]} now", None),
             (f"write to ann.{i} (at) {host.replace('.', ' (dot) ')} please", "email"), (f"telephone {phone} after six", "phone"), (f"visa card {card[:4]}.{card[4:8]}.{card[8:12]}.{card[12:]} it was", "card"),
-            (f"call me at +1 ({phone[:3]}) 555-{phone[-4:]} 77771234567 then", "phone"), (f"invoice serial order {wrong} shipped", ""), (f"version build 300.{i}.400.1 is out", ""), (f"order ref {phone} of part", ""),
+            (f"call me at +1 ({phone[:3]}) 555-{phone[-4:]}.77771234567 then", "phone"), (f"invoice serial order {wrong} shipped", ""), (f"version build 300.{i}.400.1 is out", ""), (f"order ref {phone} of part", ""),
         ]
         text, more = kinds[i % len(kinds)]
         rows.append((i, f"{words(draw, 6)} {text} {words(draw, 6)}", more))
