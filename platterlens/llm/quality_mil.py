@@ -6,12 +6,13 @@ softmax(w . (tanh(V h) * sigmoid(U h))), weighs the passages; the weighted sum i
 logistic output scores it. Encoder, attention and output are learned together from document labels alone.
 
 The fit takes a bounded sample: at most `most` labelled documents (TRAIN unless told), the ones with the smallest seeded
-hashes of their ids, with all their passages. Scoring covers every row and every passage, where each partition lies; the model that travels
+hashes of their ids, and of each at most BAG passages, drawn by that hash; so the driver holds `most` x BAG encoded passages
+(130 MB) at most, however long the texts are. Scoring covers every row and every passage, where each partition lies; the model that travels
 is a few thousand floats.
 
 Defined cases: null text counts as empty; a text without words is one passage of zeros and gets the score of that;
 labels of one kind only give a constant score; repeated label rows count one by one; a null label is none; rows with
-equal texts get equal scores; other columns are ignored, and labels, lang, source and ids are never inputs of a score.
+equal texts get equal scores; input columns named score and attention are replaced, others pass through, and labels, lang, source and ids are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, held_out, mixed, sliced, smallest
+from .common import documents, held_out, sliced, smallest
 
 PASSAGE = 100
 TRAIN = 5000
@@ -32,35 +34,29 @@ HASHED, WORDS, HIDDEN, ATTENTION = 64, 128, 16, 8
 EPOCHS, RATE, DECAY = 12, 0.01, 1e-4
 
 #: Character kinds by byte: lower case, upper case, digit, white space, full stop and the like, pairs, symbols, beyond ASCII.
-KINDS = np.full(256, 7, np.int64)
+KINDS = np.full(256, 7, np.uint8)
 for _kind, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\r\x0b\x0c", b".,;:?'\"-", b"()[]{}/\\@_=+~^`!", b"#*$%&|<>")):
     KINDS[list(_chars)] = _kind
 KINDS[0:9] = KINDS[14:32] = 6
 N_SHARES = 8 + 6
 WIDTH = N_SHARES + HASHED + WORDS
-#: Characters of a word, and changes of kind in it, that its hashes look at.
-PREFIX, CHANGES = 24, 12
+#: Passages of one document that the fit takes, drawn with a seed from its own, so that a book counts as much as a page.
+BAG = 32
 
 
 def _of_words(words: list[bytes]) -> tuple[np.ndarray, ...]:
     """Of distinct words: lengths, first and last character's kind, counts of kinds, slot of the outline (kinds of
-    characters with repeats merged, and whether the word is short) and slot of the word."""
+    characters with repeats merged, and whether the word is short) and slot of the word, both of all their bytes."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    data = np.frombuffer(b"".join(words), np.uint8)
     starts = np.cumsum(lengths) - lengths
-    kinds = KINDS[data]
-    of = np.repeat(np.arange(len(words)), lengths)
-    counts = np.bincount(of * 8 + kinds, minlength=8 * len(words)).reshape(-1, 8)
+    kinds = KINDS[np.frombuffer(b"".join(words), np.uint8)]
+    counts = np.stack([np.add.reduceat(kinds == k, starts, dtype=np.int64) for k in range(8)], axis=1)
     change = np.r_[True, kinds[1:] != kinds[:-1]]
     change[starts] = True
-    nth = np.cumsum(change)
-    nth -= nth[starts][of]
-    outline = mixed((nth * 8 + kinds + 1).astype(np.uint64)) * (change & (nth < CHANGES))
-    place = np.arange(len(data)) - starts[of]
-    letters = mixed((place * 256 + data + 1).astype(np.uint64)) * (place < PREFIX)
-    shapes = mixed(np.add.reduceat(outline, starts) + (lengths < 4).astype(np.uint64)) % np.uint64(HASHED)
-    slots = mixed(np.add.reduceat(letters, starts) + lengths.astype(np.uint64)) % np.uint64(WORDS)
-    return lengths, kinds[starts], kinds[starts + lengths - 1], counts, shapes.astype(np.int64), slots.astype(np.int64)
+    outlines, ends = kinds[change].tobytes(), np.cumsum(np.add.reduceat(change, starts, dtype=np.int64)).tolist()
+    shapes = (xxhash.xxh3_64_intdigest(outlines[a:b], n < 4) % HASHED for a, b, n in zip([0, *ends], ends, lengths.tolist()))
+    slots = (xxhash.xxh3_64_intdigest(w) % WORDS for w in words)
+    return lengths, kinds[starts], kinds[starts + lengths - 1], counts, np.fromiter(shapes, np.int64, len(words)), np.fromiter(slots, np.int64, len(words))
 
 
 def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -129,11 +125,13 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int) -> dict:
     """Adam over small batches of bags."""
     draw = np.random.default_rng(seed)
     everything = np.concatenate(bags)
-    mean, spread = everything.mean(axis=0), everything.std(axis=0) + 1e-3
+    mean, spread = everything.mean(axis=0, dtype=np.float64), everything.std(axis=0, dtype=np.float64) + 1e-3
+    del everything
     init = lambda *shape: draw.normal(0, 1 / np.sqrt(shape[0]), shape)
     p = {"E": init(WIDTH, HIDDEN), "e": np.zeros(HIDDEN), "V": init(HIDDEN, ATTENTION), "U": init(HIDDEN, ATTENTION), "w": init(ATTENTION), "o": init(HIDDEN), "b": np.zeros(1)}
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    bags = [(b - mean) / spread for b in bags]
+    mean32, spread32 = mean.astype(np.float32), spread.astype(np.float32)
+    bags = [(b - mean32) / spread32 for b in bags]
     for _ in range(EPOCHS):
         order = draw.permutation(len(bags))
         for at in range(0, len(order), 32):
@@ -149,6 +147,13 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int) -> dict:
     return p | {"mean": mean, "spread": spread}
 
 
+def taken(bag: np.ndarray, h: int) -> np.ndarray:
+    """At most BAG of a document's passages, in order, drawn by its hash."""
+    if len(bag) <= BAG:
+        return bag
+    return bag[np.sort(np.random.default_rng(h & (1 << 64) - 1).choice(len(bag), BAG, replace=False))]
+
+
 def fit(labelled: DataFrame, seed: int = 5, most: int = TRAIN) -> dict:
     """The model of labelled (doc_id, text, quality), learned from `most` of its rows at most."""
     order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
@@ -158,11 +163,11 @@ def fit(labelled: DataFrame, seed: int = 5, most: int = TRAIN) -> dict:
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 256):
             x, sizes = passages(batch.column("text").to_pylist())
-            bags = [b.tobytes() for b in np.split(x, np.cumsum(sizes)[:-1])]
+            bags = [taken(b, h).tobytes() for b, h in zip(np.split(x, np.cumsum(sizes)[:-1]), batch.column("__h").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("quality").cast(pa.int64()), batch.column("__h"), pa.array(bags, pa.binary())], ["quality", "h", "bag"])
 
     pdf = sample.repartition(8, "__h").mapInArrow(featurise, "quality long, h long, bag binary").toPandas().sort_values(["h", "quality", "bag"])
-    bags = [np.frombuffer(b, np.float32).reshape(-1, WIDTH).astype(np.float64) for b in pdf["bag"]]
+    bags = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in pdf["bag"]]
     labels = pdf["quality"].to_numpy(np.float64)
     if len(set(labels)) < 2:
         return {"constant": float(labels[0]) if len(labels) else 0.5}
@@ -184,7 +189,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                 y, a = np.full(len(sizes), p["constant"]), np.repeat(1 / sizes, sizes)
             else:
                 f = forward(p, (x - p["mean"]) / p["spread"], ends - sizes)
-                y, a = f["y"], f["a"]
+                y, a = np.round(f["y"], 12), f["a"]  # sums differ in their last bit by where a text lies in its batch
             weights = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(a, pa.float32()))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(y, pa.float64()), weights], [*own, "score", "attention"])
 
