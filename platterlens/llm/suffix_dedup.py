@@ -44,8 +44,8 @@ WIDTH, K = 50, 24
 SPAN = WIDTH - K + 1
 #: Bytes of text worked on at once, entries in a run, bytes of text for a bucket, and texts that make a mark common.
 PIECE, RUN, BUCKET_BYTES, HOT = 400_000, 60_000, 6_000_000, 2000
-#: Marks in a run of marks, and bytes of text for a bucket of marks.
-SEND, MARK_BYTES = 500_000, 12_000_000
+#: Marks and texts in a run of marks, and bytes of text for a bucket of marks.
+SEND, NAMES, MARK_BYTES = 500_000, 1_000_000, 12_000_000
 #: Rows of a batch that are worked on at once, which bounds a worker's memory and changes no result.
 ROWS = 1500
 LOWEST = -(1 << 63)
@@ -155,7 +155,7 @@ def mark_runs(texts: DataFrame, buckets: int) -> DataFrame:
         names: list[int] = []
 
         def told() -> pa.RecordBatch:
-            both = np.unique(np.concatenate([m.astype(np.uint64) << np.uint64(24) | (own + base).astype(np.uint64) for m, own, base in held]))  # a run has fewer than 2 ** 24 texts
+            both = np.unique(np.concatenate([m.astype(np.uint64) << np.uint64(24) | (own + base).astype(np.uint64) for m, own, base in held]))  # NAMES and a slice's rows are fewer than 2 ** 24
             hashes = np.array(names, np.int64).tobytes()
             held.clear()
             names.clear()
@@ -182,7 +182,9 @@ def mark_runs(texts: DataFrame, buckets: int) -> DataFrame:
                     held.append((marks, number[own], len(names)))
                     size += len(marks)
             names += [h for h, _ in rows]
-            if size >= SEND:
+            if not held:
+                names.clear()  # none of these texts has a mark
+            elif size >= SEND or len(names) >= NAMES:
                 yield told()
                 size = 0
             if len(seen) > 500_000:
@@ -395,16 +397,16 @@ def write_runs(rows: DataFrame, buckets: int) -> DataFrame:
                             for s in range(f, z + 1):
                                 window = body[s : s + WIDTH]
                                 found.append((xxhash.xxh3_64_intdigest(window) % buckets, window + b"\xff" + bytes((WIDTH,)), len(docs) - 1, s + o, 1))
-                if len(found) >= RUN:
-                    yield packed(found, docs)
-                    found, docs = [], []
+                        if len(found) >= RUN:  # within a text too, whose rest begins another run
+                            yield packed(found, docs)
+                            found, docs = [], [(doc_id, h)]
         if found:
             yield packed(found, docs)
 
     def packed(found: list, docs: list) -> pa.RecordBatch:
         press = zstandard.ZstdCompressor(level=3)
         found.sort()
-        name = xxhash.xxh3_64_intdigest(repr((docs[0], docs[-1], len(docs), len(found), found[0][1])).encode()) >> 1
+        name = xxhash.xxh3_64_intdigest(repr((docs[0], docs[-1], len(docs), len(found), found[0], found[-1])).encode()) >> 1
         out, at = [], 0
         while at < len(found):
             end, bucket = at, found[at][0]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 from edge import awkward, documents
 
 from platterlens.llm import language_id, quality_mil
+from platterlens.llm.common import mixed
 
 
 def test_quality_on_held_out_rows(spark, larger):
@@ -183,3 +186,50 @@ def test_predictions_by_dense_products(spark):
         scores = dense / np.sqrt((dense**2).sum()) @ m["weights"] / m["temperature"]
         p = np.exp(scores - scores.max()) / np.exp(scores - scores.max()).sum()
         assert r["lang_pred"] == m["languages"][int(p.argmax())] and abs(r["score"] - p.max()) < 1e-5
+
+
+def test_words_are_read_whole():
+    url = "https://example.com/a/long/path/to/"
+    pairs = [(url + "one", url + "two"), ("漢字仮名交じりの長い文章の始まり" + "山", "漢字仮名交じりの長い文章の始まり" + "川"), ("ab1" * 20 + "x", "ab1" * 20 + "!")]
+    for a, b in pairs:
+        assert not np.array_equal(quality_mil.passages([a + " x"])[0], quality_mil.passages([b + " x"])[0])
+
+
+def test_the_fit_takes_so_many_passages_of_a_text():
+    bag = np.arange(1000.0).reshape(500, 2)
+    some = quality_mil.taken(bag, -7)
+    assert some.shape == (quality_mil.BAG, 2) and (np.diff(some[:, 0]) > 0).all() and np.array_equal(some, quality_mil.taken(bag, -7))
+    assert not np.array_equal(some, quality_mil.taken(bag, 8)) and quality_mil.taken(bag[:5], 1) is not None and len(quality_mil.taken(bag[:5], 1)) == 5
+
+
+def test_combining_marks_count(spark):
+    assert not np.array_equal(language_id.counts("कि")[0], language_id.counts("का")[0])
+    told = {
+        "hi": "हिन्दी भाषा में लिखा हुआ एक छोटा सा वाक्य यहाँ है", "mr": "मराठी भाषेत लिहिलेले एक छोटेसे वाक्य येथे आहे", "th": "ภาษาไทยเป็นภาษาที่มีวรรณยุกต์และสระหลายรูป",
+        "ta": "தமிழ் மொழியில் எழுதப்பட்ட ஒரு சிறிய வாக்கியம் இது", "ar": "هَذِهِ جُمْلَةٌ قَصِيرَةٌ مَكْتُوبَةٌ بِاللُّغَةِ الْعَرَبِيَّةِ",
+    }
+    rows = [(i, " ".join(text.split()[k:] + text.split()[:k]), lang) for i, (lang, text, k) in enumerate((x, t, k) for x, t in told.items() for k in range(4))]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id int, text string, lang string"))
+    new = [("hi", "यह हिन्दी में है"), ("mr", "हे मराठीत आहे"), ("th", "ไทย ภาษา"), ("ta", "இது தமிழ்"), ("ar", "جُمْلَةٌ بِالْعَرَبِيَّةِ")]
+    got = language_id.predict(spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(new)], "doc_id int, text string, lang string"), model).collect()
+    assert [r["lang_pred"] for r in got] == [r["lang"] for r in got]
+
+
+def test_profiles_of_many_texts_are_those_of_each(monkeypatch):
+    texts = [t or "" for _, t, *_ in awkward()] + ["", "1 2", "हिन्दी भाषा", "--a--b--", "İx", "\u0301", "\u0301 x"]
+    monkeypatch.setattr(language_id, "BLOCK", 11)
+    bounds, slots, n = language_id.profiles(texts)
+    monkeypatch.undo()
+    for i, t in enumerate(texts):
+        own = {}
+        if any(unicodedata.category(c)[0] == "L" for c in t):
+            clean = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in t.lower())
+            padded = " " + " ".join(clean.split()) + " "
+            for size in (1, 2, 3):
+                for k in range(size == 1, len(padded) - size + 1 - (size == 1)):
+                    code = 0
+                    for c in padded[k : k + size]:
+                        code = (code << 21) + ord(c)
+                    slot = int(mixed(np.array([code & (1 << 64) - 1], np.uint64) * np.uint64(3) + np.uint64(size - 1))[0]) & language_id.FEATURES - 1
+                    own[slot] = own.get(slot, 0) + 1
+        assert dict(zip(slots[bounds[i] : bounds[i + 1]].tolist(), n[bounds[i] : bounds[i + 1]].tolist())) == own

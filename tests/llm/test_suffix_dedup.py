@@ -5,6 +5,8 @@ import random
 
 from edge import awkward, documents
 
+from pyspark.sql import functions as F
+
 from platterlens.llm import suffix_dedup
 
 
@@ -60,6 +62,26 @@ def test_common_marks_and_runs(spark, monkeypatch):
     same(spark, awkward() + rows)
 
 
+def test_a_long_text_of_common_marks_makes_many_runs(spark, monkeypatch):
+    draw = random.Random(3)
+    phrase = "the one passage that stands in nearly every document of them all, word for word"
+    long = "".join(f"{phrase} {draw.randrange(50)} " for _ in range(200))
+    rows = [(5, long, "en", "a"), *((i, f"{draw.random()} {phrase} {i}", "en", "a") for i in range(10, 20)), (2, f"{phrase} 7 {phrase}", "en", "a")]
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    monkeypatch.setattr(suffix_dedup, "RUN", 500)
+    same(spark, rows)
+    texts = documents(spark, rows).select("doc_id", "text").withColumn("h", F.xxhash64("text"))
+    asked = suffix_dedup.mark_runs(texts, 16)
+    marks = suffix_dedup.flagged_marks(asked, suffix_dedup.mark_answers(asked))
+    runs = suffix_dedup.write_runs(texts.join(marks, "h").filter("doc_id = 5").select("doc_id", "h", "text", "marks"), 16)
+    assert runs.select("run_id").distinct().count() > 10
+
+
+def test_texts_without_marks_are_no_burden(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "NAMES", 5)
+    same(spark, [(i, "short" * (i % 4), "en", "a") for i in range(40)] + awkward())
+
+
 def test_front_coding_and_merge():
     draw = random.Random(7)
     runs = []
