@@ -129,3 +129,21 @@ def scan_health(printed: DataFrame, by: list[str]) -> DataFrame:
     file = F.regexp_extract("line", r"Error cracking CSS key for\s+(\S+)", 1)
     unread = F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").rlike("cannot read from device|error reading nav packet|read error")
     return printed.groupBy(*by).agg(F.collect_set(F.when(file != "", file)).alias("failed"), F.count_if(unread).alias("read_errors"))
+
+
+def dump_checks(matched: DataFrame, sectors: DataFrame) -> DataFrame:
+    """What became of each dump: matched (dump_id, game, ...) is matching.match_digests' answer; sectors (dump_id, sector_pos, raw)
+    are looked at for dumps that no datfile has, and for no others: a semi-join stands before anything is read of a sector.
+
+    verdict: verified; sound (every sector agrees with its own error detection, so no datfile covers the disc); misread (some do not);
+    unknown (its first sector is not one of data, so nothing can be told). With sectors, bad (corrupt or misplaced) and unchecked.
+    """
+    open_ = matched.filter("game is null").select("dump_id").distinct()
+    own = sectors.join(open_, "dump_id", "left_semi")
+    data = F.substring("raw", 1, 12) == F.lit(SYNC)
+    first = own.groupBy("dump_id").agg(F.min_by(data, "sector_pos").alias("data")).filter("data").select("dump_id")
+    looked = own.join(first, "dump_id", "left_semi").withColumn("address", sector_address(F.col("raw")))
+    counts = track_verdicts(check_sectors(looked.withColumnRenamed("dump_id", "track"))).select(F.col("track").alias("dump_id"), "sectors", (F.col("corrupt") + F.col("misplaced")).alias("bad"), "unchecked")
+    rows = matched.join(counts, "dump_id", "left")
+    verdict = F.when(F.col("game").isNotNull(), "verified").when(F.col("sectors").isNull(), "unknown").when(F.col("bad") == 0, "sound").otherwise("misread")
+    return rows.withColumn("verdict", verdict)

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sentences import rescue_summary
+from .voting import joined_by
+
+#: Cells that a group's axis is divided into at most, a power of two, and rows for one.
+CELLS, CELL_ROWS = 4096, 256
 
 
 def union(ranges: DataFrame, by: list[str]) -> DataFrame:
@@ -17,22 +26,101 @@ def union(ranges: DataFrame, by: list[str]) -> DataFrame:
     return islands.groupBy(*by, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
 
 
+def divided(rows: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """rows with __lo, where their group's axis begins, and __width, that of its cells: as many equal stretches as the group
+    has CELL_ROWS rows, CELLS at most. A group with a third of all rows is that many keys; a small one is a single cell."""
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("__n"), F.min(start).alias("__lo"), F.max(end).alias("__hi"))
+    cells = F.least(F.greatest(F.ceil(F.col("__n") / CELL_ROWS), F.lit(1)), F.lit(CELLS))
+    width = F.greatest(F.ceil((F.col("__hi") - F.col("__lo") + 1) / cells), F.lit(1)).cast("long")
+    return joined_by(rows, sizes.select(*by, F.col("__lo").cast("long").alias("__lo"), width.alias("__width")), by)
+
+
+def cell_of(at: Column) -> Column:
+    return F.floor((at - F.col("__lo")) / F.col("__width")).cast("int")
+
+
+def swept(pieces: list[dict]) -> list[tuple[int, int, str]]:
+    """(start, end, state) of pieces (start, end, seq, state): the latest at each place, neighbours of one state as one run. A
+    heap holds the pieces that are open, the latest first; those that have ended leave it when they come to its top."""
+    rows = sorted((p["start"], p["end"], p["seq"], p["state"]) for p in pieces)
+    cuts = sorted({c for r in rows for c in r[:2]})
+    heap: list[tuple] = []
+    out: list[tuple[int, int, str]] = []
+    at = 0
+    ranks = {x: -i for i, x in enumerate(sorted({r[2:] for r in rows}))}
+    for here, to in zip(cuts, cuts[1:]):
+        while at < len(rows) and rows[at][0] == here:
+            heappush(heap, (ranks[rows[at][2:]], rows[at][1], rows[at][3]))
+            at += 1
+        while heap and heap[0][1] <= here:
+            heappop(heap)
+        if heap:
+            state = heap[0][2]
+            if out and out[-1][1:] == (here, state):
+                out[-1] = out[-1][0], to, state
+            else:
+                out.append((here, to, state))
+    return out
+
+
 def overwrite(writes: DataFrame, by: list[str]) -> DataFrame:
-    """(by, start, end, state) after all writes (by, seq, start, end, state), the later over the earlier; neighbours of
-    one state are one run.
+    """(by, start, end, state) after all writes (by, seq, start, end, state), the later over the earlier (of equal seq, the larger
+    state); neighbours of one state are one run.
 
-    The axis of each map is cut at all ends; each elementary segment takes the latest write that covers it. Maps are
-    as many keys; segments of one map meet its own writes alone.
+    The axis of each map is divided into cells. A write belongs to the two cells that it begins and ends in; what it covers
+    between them is told to at most two nodes a level of a binary tree over the cells, where only the latest counts, so
+    each cell learns the latest write that covers it whole. A sweep over the cell's own writes and that one gives its runs,
+    and runs that touch a cell's edge are joined with their neighbours. Work grows with the writes, however they overlap.
     """
-    kept = writes.filter("start < end")
-    cuts = kept.select(*by, F.explode(F.array("start", "end")).alias("at")).distinct()
-    segments = cuts.withColumn("to", F.lead("at").over(Window.partitionBy(*by).orderBy("at"))).filter("to is not null")
-    covered = segments.join(kept, by).filter((F.col("start") <= F.col("at")) & (F.col("end") >= F.col("to")))
-    latest = covered.groupBy(*by, "at", "to").agg(F.max_by("state", "seq").alias("state"))
-    order = Window.partitionBy(*by).orderBy("at")
-    same = (F.lag("state").over(order) == F.col("state")) & (F.lag("to").over(order) == F.col("at"))
-    runs = latest.withColumn("__new", F.when(same, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*by, "__run").agg(F.min("at").alias("start"), F.max("to").alias("end"), F.first("state").alias("state")).drop("__run")
+    kept = writes.filter("start < end").select(*by, F.col("seq").cast("long").alias("seq"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "state")
+    placed = divided(kept, by, "start", "end").withColumns({"__first": cell_of(F.col("start")), "__last": cell_of(F.col("end") - 1)})
+    low, high = F.col("__lo") + F.col("cell") * F.col("__width"), F.col("__lo") + (F.col("cell") + 1) * F.col("__width")
+    own = placed.withColumn("cell", F.explode(F.array_distinct(F.array("__first", "__last"))))
+    own = own.select(*by, "cell", "__lo", "__width", F.greatest("start", low).alias("start"), F.least("end", high).alias("end"), "seq", "state")
+    left, right = F.col("__first") + 1 + CELLS, F.col("__last") + CELLS
+    nodes = []
+    for k in range(CELLS.bit_length()):
+        a, b = F.shiftright(left + ((1 << k) - 1), k), F.shiftright(right, k)
+        nodes += [F.when((a < b) & (a % 2 == 1), a), F.when((a < b) & (b % 2 == 1), b - 1)]
+    told = placed.filter("__last > __first + 1").select(*by, "__lo", "__width", F.struct("seq", "state").alias("w"), F.explode(F.filter(F.array(*nodes), lambda x: x.isNotNull())).alias("node"))
+    best = told.groupBy(*by, "__lo", "__width", "node").agg(F.max("w").alias("w"))
+    level = F.floor(F.log2(F.col("node").cast("double")) + 1e-9).cast("int")
+    span = F.pow(F.lit(2.0), CELLS.bit_length() - 1 - level).cast("int")
+    cells = best.withColumn("cell", F.explode(F.sequence(F.col("node") * span - CELLS, (F.col("node") + 1) * span - CELLS - 1)))
+    whole = cells.groupBy(*by, "__lo", "__width", "cell").agg(F.max("w").alias("w")).select(*by, "cell", "__lo", "__width", low.alias("start"), high.alias("end"), "w.seq", "w.state")
+    gathered = own.unionByName(whole).groupBy(*by, "cell", "__lo", "__width").agg(F.collect_list(F.struct("start", "end", "seq", "state")).alias("pieces"))
+    held = [c for c in gathered.columns if c != "pieces"]
+    run_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("state", pa.string())]))
+    schema = gathered.select(*held).schema.add("runs", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("state", T.StringType())])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [[dict(zip(("start", "end", "state"), r)) for r in swept(p)] for p in batch.column("pieces").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), pa.array(runs, run_type)], [*held, "runs"])
+
+    runs = gathered.mapInArrow(run, schema).select(*by, low.alias("__from"), high.alias("__to"), F.explode("runs").alias("r")).select(*by, "__from", "__to", "r.*")
+    edge = (F.col("start") == F.col("__from")) | (F.col("end") == F.col("__to"))
+    order = Window.partitionBy(*by).orderBy("start")
+    same = (F.lag("state").over(order) == F.col("state")) & (F.lag("end").over(order) == F.col("start"))
+    at_edges = runs.filter(edge).withColumn("__run", F.sum(F.when(same, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))  # two a cell at most
+    joined = at_edges.groupBy(*by, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("state").alias("state")).drop("__run")
+    return runs.filter(~edge).select(*by, "start", "end", "state").unionByName(joined)
+
+
+def covered(points: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
+    """points (by, at, ...) with covered, whether any of ranges (by, start, end) holds them. One sweep of both together with the
+    largest end so far, cell by cell, each cell being told the largest end of the cells before: no pairs are made, and
+    ranges may overlap and nest."""
+    row = F.struct(*points.columns)
+    asked = points.select(*by, F.col("at").cast("long").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__end"), row.alias("__row"))
+    spans = ranges.filter("start < end").select(*by, F.col("start").cast("long").alias("__at"), F.lit(0).alias("__kind"), F.col("end").cast("long").alias("__end"), F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"))
+    placed = divided(asked.unionByName(spans), by, "__at", "__at").withColumn("__cell", cell_of(F.col("__at")))
+    ends = placed.groupBy(*by, "__cell").agg(F.max("__end").alias("__end"))
+    carried = ends.select(*by, "__cell", F.max("__end").over(Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    order = Window.partitionBy(*by, "__cell").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.greatest(F.max("__end").over(order), F.col("__carried"))
+    met = joined_by(placed, carried, [*by, "__cell"]).withColumn("__reach", reach)
+    return met.filter("__kind = 1").select("__row.*", F.coalesce(F.col("__reach") > F.col("__at"), F.lit(False)).alias("covered"))
 
 
 def summary(runs: DataFrame, by: list[str], states: list[str]) -> DataFrame:
