@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import counting_queries, job_queries, library_queries, matching_queries, report_queries, text_queries
+from . import counting_queries, job_queries, library_queries, matching_queries, reading_queries, report_queries, source_queries, text_queries
 
-_ALL = matching_queries.QUERIES | counting_queries.QUERIES | text_queries.QUERIES | report_queries.QUERIES | library_queries.QUERIES | job_queries.QUERIES
+_ALL = matching_queries.QUERIES | counting_queries.QUERIES | text_queries.QUERIES | report_queries.QUERIES | library_queries.QUERIES | job_queries.QUERIES | source_queries.QUERIES | reading_queries.QUERIES
 
 
 def queries() -> dict:

@@ -2,30 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import unescape_xml
 
-_ROM = "array<struct<_name:string,_size:bigint,_crc:string,_sha1:string>>"
 
+def _system(text: Column) -> Column:
+    return unescape_xml(F.regexp_extract(text, r"(?s)<header>.*?<name>(.*?)</name>", 1))
 
-def roms_of(files: DataFrame) -> DataFrame:
-    """(system, dat_pos, game_pos, game, rom_pos, name, size, crc32, sha1) of files (path, xml).
-
-    Games are cut out of the text one by one, so a last game that is cut off still counts for the roms it has. Roms
-    without name or size are dropped. dat_pos follows the paths.
-    """
-    order = Window.orderBy("path")
-    numbered = files.select("path").distinct().withColumn("dat_pos", F.row_number().over(order) - 1)  # as many rows as files
-    system = unescape_xml(F.regexp_extract("xml", r"(?s)<header>.*?<name>(.*?)</name>", 1))
-    games = F.slice(F.split("xml", r"<game\b"), 2, 1 << 30)
-    rows = files.join(numbered, "path").select(system.alias("system"), "dat_pos", F.posexplode(games).alias("game_pos", "body"))
+
+def _roms(games: DataFrame) -> DataFrame:
+    """The roms of games (system, dat_pos, game_pos, body), body being what follows `<game`. A game that is cut off counts for the
+    roms it has; roms without name or size go."""
     game = unescape_xml(F.regexp_extract("body", r'^[^>]*?\sname="([^"]*)"', 1))
     tags = F.regexp_extract_all("body", F.lit(r"(<rom\s[^>]*>)"), F.lit(1))
-    each = rows.select("system", "dat_pos", "game_pos", game.alias("game"), F.posexplode(tags).alias("rom_pos", "tag"))
+    each = games.select("system", "dat_pos", "game_pos", game.alias("game"), F.posexplode(tags).alias("rom_pos", "tag"))
 
-    def attribute(key: str):
+    def attribute(key: str) -> Column:
         return F.nullif(F.regexp_extract("tag", rf'\s{key}="([^"]*)"', 1), F.lit(""))
 
     return each.select(
@@ -34,9 +28,28 @@ def roms_of(files: DataFrame) -> DataFrame:
     ).filter("name is not null and size is not null")
 
 
-def read_datfiles(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml"))
-    return roms_of(files.filter(F.lower("path").rlike(r"\.(dat|xml)$")))
+def roms_of(files: DataFrame) -> DataFrame:
+    """(system, dat_pos, game_pos, game, rom_pos, name, size, crc32, sha1) of files (path, xml), whole texts. dat_pos follows the
+    paths, of which there are as many rows as files."""
+    numbered = files.select("path").distinct().withColumn("dat_pos", F.row_number().over(Window.orderBy("path")) - 1)
+    games = F.slice(F.split("xml", r"<game\b"), 2, 1 << 30)
+    return _roms(files.join(numbered, "path").select(_system(F.col("xml")).alias("system"), "dat_pos", F.posexplode(games).alias("game_pos", "body")))
+
+
+def read_datfiles(spark: SparkSession, path: str, names: str = r"\.(dat|xml)$") -> DataFrame:
+    """The same of the files below path whose names match, of any size: a record ends where the next game begins, so a file
+    is read by as many tasks as it has splits, and the text source puts together what lies across their borders. A game's
+    place is its place in its split and what the splits before it hold."""
+    rows = spark.read.option("lineSep", "<game").option("recursiveFileLookup", "true").text(path)
+    told = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("body"))
+    told = told.filter(F.lower("path").rlike(names))
+    splits = told.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = splits.select("path", "block", (before - F.col("first")).alias("shift"))
+    placed = told.join(shifts, ["path", "block"]).withColumn("nth", F.col("at") + F.col("shift"))
+    # what stands before the first game is the file's header
+    heads = placed.filter("nth = 0").select("path", _system(F.col("body")).alias("system")).withColumn("dat_pos", F.row_number().over(Window.orderBy("path")) - 1)
+    return _roms(placed.filter("nth > 0").join(heads, "path").select("system", "dat_pos", (F.col("nth") - 1).alias("game_pos"), "body"))
 
 
 def tracks_of(roms: DataFrame) -> DataFrame:
