@@ -61,16 +61,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
 
 
 def drop_written(df: DataFrame) -> None:
-    """Deletes the folders of written() tables that df reads directly; call it only when nothing uses them any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes the table of what written() returned; call it only when nothing uses it any more. Anything else is refused: a
+    table that a caller handed in, or one that lies outside the shared folder."""
+    spark, path = df.sparkSession, getattr(df, "scratch_path", None)
+    if not path or not path.startswith(shared_dir(spark) + "/"):
+        raise ValueError("only a table that written() made in the shared folder can be dropped")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
