@@ -274,16 +274,30 @@ def _passing(pdf: pd.DataFrame, num: int, den: int) -> Iterator[tuple]:
 
 
 def _signed(tiles: DataFrame, held: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of tiles that hold more than one component, with their bitmaps, sorted by cell. A tile of more than CELL classes
-    is dealt into chunks, and every two chunks meet in a cell."""
+    """Rows of tiles that hold more than one component, with their bitmaps, sorted by cell.
+
+    A tile of more than CELL classes is dealt into chunks, and every two chunks meet in a cell. A component that has CELL
+    classes or more of a tile gets chunks of its own there, and those meet the other chunks but never each other: what a group
+    of any size costs grows with its own size, not with its square.
+    """
     known = roots.select(F.col("node").alias("cid"), "root")
     rows = tiles.select("token", "cid").join(known, "cid", "left").select("token", "cid", F.coalesce("root", "cid").alias("root"))
-    spread = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"))
-    chunks = spread.filter("low < high").select("token", F.ceil(F.col("m") / CELL).cast("int").alias("chunks"))
-    dealt = rows.join(chunks, "token").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
-    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cell = F.when(F.col("chunks") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("chunk", "with"), F.greatest("chunk", "with")))
-    signed = met.select(cell.alias("cell"), "cid", "root", "chunk").join(held.select("cid", "n", "sig"), "cid")
+    sums = rows.groupBy("token", "root").agg(F.count("*").alias("m"))
+    large = sums.filter(F.col("m") >= CELL).select("token", F.col("root").alias("own"), F.ceil(F.col("m") / CELL).cast("int").alias("parts"))
+    mixed_ = F.sum(F.when(F.col("m") < CELL, F.col("m")).otherwise(0))
+    spread = sums.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(mixed_ / CELL).cast("int").alias("mixed")).filter("low < high").select("token", "mixed")
+    both = large.groupBy("token").agg(F.flatten(F.collect_list(F.transform(F.sequence(F.lit(1), "parts"), lambda i: F.struct(F.col("own").alias("of"), i.alias("no"))))).alias("own_chunks"))
+    # a chunk is (component, number); those of several components have none
+    shared = F.when(F.col("mixed") > 0, F.transform(F.sequence(F.lit(1), F.col("mixed")), lambda i: F.struct(F.lit(None).cast("long").alias("of"), i.alias("no")))).otherwise(F.array().cast("array<struct<of: bigint, no: int>>"))
+    chunks = spread.join(both, "token", "left").select("token", "mixed", F.concat(shared, F.coalesce("own_chunks", F.array().cast("array<struct<of: bigint, no: int>>"))).alias("chunks"))
+    dealt = rows.join(chunks, "token").join(large.withColumnRenamed("token", "__token"), (F.col("token") == F.col("__token")) & (F.col("root") == F.col("own")), "left")
+    number = F.pmod(F.xxhash64("cid"), F.coalesce("parts", "mixed")).cast("int") + 1
+    mine = dealt.withColumn("mine", F.struct(F.col("own").alias("of"), number.alias("no")))
+    met = mine.withColumn("with", F.explode(F.filter("chunks", lambda c: F.col("mine.of").isNull() | c.of.isNull() | (c.of != F.col("mine.of")))))
+    one = F.size("chunks") == 1
+    cell = F.when(one, F.col("token")).otherwise(F.xxhash64("token", F.least("mine", "with"), F.greatest("mine", "with")))
+    chunk = F.xxhash64("mine.of", "mine.no").alias("chunk")
+    signed = met.select(cell.alias("cell"), "cid", "root", chunk).join(held.select("cid", "n", "sig"), "cid")
     return signed.repartition("cell").sortWithinPartitions("cell", "n", "cid")
 
 

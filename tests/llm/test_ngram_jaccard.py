@@ -132,3 +132,18 @@ def test_stage_keeps_one_of_each_group(spark):
 
 def test_query(spark, small, duck, same_rows):
     same_rows(ngram_jaccard.query(spark, small), duck, ngram_jaccard.ORACLE)
+
+
+def test_chunks_of_one_component_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "CELL", 4)
+    n = 200
+    tiles = spark.createDataFrame([(7, c, n) for c in range(n)] + [(7, 1000 + c, n) for c in range(3)], "token bigint, cid bigint, m bigint")
+    roots = spark.createDataFrame([(c, 0) for c in range(n)], "node bigint, root bigint")
+    held = spark.createDataFrame([(c, 5, bytearray(8)) for c in [*range(n), 1000, 1001, 1002]], "cid bigint, n bigint, sig binary")
+    rows = ngram_jaccard._signed(tiles, held, roots).collect()
+    # each of the many stands once, with the few; the few stand once for each chunk of the many, and once among themselves
+    assert len([r for r in rows if r["cid"] < n]) == n and len([r for r in rows if r["cid"] >= n]) == 3 * (n // 4 + 1)
+    cells: dict = {}
+    for r in rows:
+        cells.setdefault(r["cell"], set()).add(r["cid"])
+    assert {frozenset((a, 1000)) for a in [*range(n), 1001, 1002]} <= {frozenset((a, b)) for x in cells.values() for a in x for b in x if b == 1000 and a != b}
