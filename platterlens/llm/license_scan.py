@@ -6,7 +6,8 @@
    below LEAST. Nothing that could be found is lost by that.
 2. Licence files. The whole text of a file named like one is compared with the full texts in license_texts, one file for
    each licence (AGPL-3.0, EPL-2.0 and the CC-BY family have notices alone); the best at LEAST or more is the file's.
-   Else an SPDX-License-Identifier, of an expression the first, without -only, -or-later or +, is the file's, score 1.
+   Else an SPDX-License-Identifier, of an expression the first, without -only, -or-later or +, is the file's, score 1, if it
+   names a licence that has a notice or a full text here; other names count for nothing.
    Else its blocks are compared with notices.
 3. Cosine. A block's vector holds the counts of its words times idf = ln((1 + N) / (1 + df)) + 1, with df and N over all
    files; a word of no template weighs as if df were 0. It is sparse: only words that a template has meet it, in a join
@@ -154,12 +155,10 @@ def template_words(templates: dict[str, tuple[str, ...]]) -> dict[tuple[str, int
 
 
 def frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
-    """The number of files, and how many of them have each word of the vocabulary."""
-    known = files.sparkSession.createDataFrame([(w,) for w in vocabulary], "w string")
-    held = files.select(F.explode(F.array_distinct(words(lowered(F.coalesce("text", F.lit("")))))).alias("w"))
-    # the vocabulary is as long as the fixed templates are
-    rows = held.join(F.broadcast(known), "w").groupBy("w").count().collect()
-    return files.count(), {r["w"]: r["count"] for r in rows}
+    """The number of files, and how many of them have each word of the vocabulary, which is as long as the fixed templates."""
+    own = F.array_distinct(words(lowered(F.coalesce("text", F.lit("")))))
+    held = files.select(F.explode(F.filter(own, lambda w: w.isin(vocabulary))).alias("w"))
+    return files.count(), {r["w"]: r["count"] for r in held.groupBy("w").count().collect()}
 
 
 def weighed(templates: dict[str, tuple[str, ...]], n: int, df: dict[str, int]) -> tuple[dict[str, float], list[tuple[str, str, int, float, float]]]:
@@ -202,30 +201,37 @@ def has_word(text: Column, known: list[str]) -> Column:
     return text.rlike(f"(?<![a-z0-9])(?:{choices})(?![a-z0-9])")
 
 
+def marked(files: DataFrame, notices: list[str], texts: list[str]) -> DataFrame:
+    """files (__file, path, text) with the text left out where nothing can be found in it: it has no heavy word of a notice, no
+    tag, and is no licence file with a heavy word of a full text."""
+    low = lowered(F.coalesce("text", F.lit("")))
+    named = F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False))
+    wanted = has_word(low, notices) | low.contains("spdx-license-identifier:") | (named & has_word(low, texts))
+    return files.select("__file", "path", F.when(wanted, F.col("text")).alias("text"))
+
+
 def blocks(files: DataFrame, heavy: list[str]) -> DataFrame:
     """(__file, block, words): the blocks of files (__file, path, text) that have a heavy word."""
-    text = lowered(F.coalesce("text", F.lit("")))
-    # a text without a heavy word has no block that counts; that is known before it is split
-    rows = files.filter(has_word(text, heavy)).select("__file", "path", text.alias("text"))
+    rows = files.select("__file", "path", lowered(F.col("text")).alias("text"))
     whole = F.when(F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)), F.array("text")).otherwise(F.array().cast("array<string>"))
     parts = F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", r"\n[ \t\r]*\n"), whole))
-    marked = rows.select("__file", F.posexplode(F.filter(parts, lambda p: has_word(p, heavy))).alias("block", "body"))
-    return marked.select("__file", "block", words(F.col("body")).alias("words"))
+    told = rows.select("__file", F.posexplode(F.filter(parts, lambda p: has_word(p, heavy))).alias("block", "body"))
+    return told.select("__file", "block", words(F.col("body")).alias("words"))
 
 
 def whole_files(files: DataFrame, heavy: list[str]) -> DataFrame:
     """(__file, block, words): the whole text of each licence file with a heavy word."""
-    text = lowered(F.coalesce("text", F.lit("")))
+    text = lowered(F.col("text"))
     named = files.filter(F.col("path").rlike(LICENSE_FILE) & has_word(text, heavy))
     return named.select("__file", F.lit(-1).alias("block"), words(text).alias("words"))
 
 
 def tagged(files: DataFrame, names: list[str]) -> DataFrame:
-    """(__file, license): the first SPDX identifier of each of files that has one, spelled as in names if it is there."""
-    tag = F.regexp_extract(F.coalesce("text", F.lit("")), r"(?i)spdx-license-identifier:[ \t(]*([a-z0-9][a-z0-9.+-]*)", 1)
-    bare = F.regexp_replace(tag, r"(?i)(-only|-or-later|\+)$", "")
-    spelled = F.coalesce(*(F.when(F.lower(bare) == n.lower(), F.lit(n)) for n in names), bare)
-    return files.select("__file", spelled.alias("license")).filter("license <> ''")
+    """(__file, license): the first SPDX identifier of each of files that has one, if it is one of names."""
+    tag = F.regexp_extract("text", r"(?i)spdx-license-identifier:[ \t(]*([a-z0-9][a-z0-9.+-]*)", 1)
+    bare = F.lower(F.regexp_replace(tag, r"(?i)(-only|-or-later|\+)$", ""))
+    spelled = F.coalesce(*(F.when(bare == n.lower(), F.lit(n)) for n in names))
+    return files.select("__file", spelled.alias("license")).filter("license is not null")
 
 
 def nearest(counts: DataFrame, templates: dict[str, tuple[str, ...]], n: int, df: dict[str, int]) -> DataFrame:
@@ -247,21 +253,26 @@ def nearest(counts: DataFrame, templates: dict[str, tuple[str, ...]], n: int, df
     return best.select("__file", F.col("best.license").alias("license"), (-F.col("best.s")).alias("score"))
 
 
-def own_licenses(files: DataFrame, notices: dict[str, tuple[str, ...]], texts: dict[str, tuple[str, ...]]) -> DataFrame:
-    """(__file, license, score) of files (__file, path, text): by the full text, else by the SPDX tag, else by notices."""
+def own_licenses(files: DataFrame, notices: dict[str, tuple[str, ...]], texts: dict[str, tuple[str, ...]]) -> tuple[DataFrame, DataFrame]:
+    """Of files (__file, path, text), as written tables: (__file, path, text), see marked(), and (__file, license, score) by the
+    full text, else by the SPDX tag, else by notices. Whole texts are read for the frequencies and to be marked; all else
+    reads what was marked."""
     known = sorted(set().union(*template_words(notices).values()))
     n, df = frequencies(files, sorted(set(known).union(*template_words(texts).values())))
+    of_notices, of_texts = heavy_words(notices, n, df), heavy_words(texts, n, df)
+    held = written(marked(files, of_notices, of_texts), "marked")
+    rows = held.filter("text is not null")
     ranked = [
-        nearest(whole_files(files, heavy_words(texts, n, df)), texts, n, df),
-        tagged(files, sorted({*notices, *texts})).withColumn("score", F.lit(1.0)),
-        nearest(blocks(files, heavy_words(notices, n, df)), notices, n, df),
+        nearest(whole_files(rows, of_texts), texts, n, df),
+        tagged(rows, sorted({*notices, *texts})).withColumn("score", F.lit(1.0)),
+        nearest(blocks(rows, of_notices), notices, n, df),
     ]
     found = None
     for rank, part in enumerate(ranked):
         part = part.withColumn("rank", F.lit(rank))
         found = part if found is None else found.unionByName(part)
     first = found.groupBy("__file").agg(F.min(F.struct("rank", "license", "score")).alias("f"))
-    return first.select("__file", "f.license", "f.score")
+    return held, written(first.select("__file", "f.license", "f.score"), "licenses")
 
 
 def directory(path: Column) -> Column:
@@ -285,13 +296,13 @@ def scan(files: DataFrame, notices: dict[str, tuple[str, ...]] | None = None, te
     own = [c for c in files.columns if c not in _RESULTS]
     keyed = files.select(*own, F.struct("file_id", "path", F.xxhash64("text").alias("h")).alias("__file"))
     # rows that repeat id, path and text are one file here, and all of them get its result
-    # and that result, a small row for each file with a licence, is written once, since three joins read it
-    found = written(own_licenses(keyed.select("__file", "path", "text"), notices or all_notices(), texts or full_texts()), "licenses")
+    held, found = own_licenses(keyed.select("__file", "path", "text"), notices or all_notices(), texts or full_texts())
     rows = keyed.join(found, "__file", "left")
-    named = rows.filter(F.col("license").isNotNull() & F.col("path").rlike(LICENSE_FILE))
+    narrow = held.select("__file", "path").join(found, "__file", "left")
+    named = narrow.filter(F.col("license").isNotNull() & F.col("path").rlike(LICENSE_FILE))
     first = named.groupBy(directory(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "license")).alias("f"))
     licensed = first.select("dir", F.col("f.license").alias("license"), F.col("f.path").alias("license_path"))
-    bare = rows.filter("license is null AND path is not null").select(directory(F.col("path")).alias("dir"))
+    bare = narrow.filter("license is null AND path is not null").select(directory(F.col("path")).alias("dir"))
     given = inherited(bare, licensed).select(F.col("dir").alias("__dir"), F.col("license").alias("__license"), F.col("license_path").alias("__path"))
     joined = rows.withColumn("__at", F.when(F.col("license").isNull(), directory(F.col("path")))).join(given, F.col("__at") == F.col("__dir"), "left")
     return joined.select(

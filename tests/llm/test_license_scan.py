@@ -43,6 +43,7 @@ def test_full_texts_tags_and_other_wordings(spark):
         ("a/one.c", "/*\n * " + permission.replace("\n", "\n * ") + "\n */\n\nint main;", "MIT"),
         ("a/two.py", "# SPDX-License-Identifier: MIT\nimport os", "MIT"),
         ("a/three.py", "# SPDX-License-Identifier: (GPL-2.0-or-later OR MIT)\nimport os", "GPL-2.0"),
+        ("a/other.py", "# SPDX-License-Identifier: Nobody-Knows-1.0\nimport os", None),
         ("a/four.md", "Distributed under the MIT License.", "MIT"),
         ("a/five.md", "This project is released under the terms of the Apache License 2.0.", "Apache-2.0"),
         ("a/six.md", "Available under the Eclipse Public License v2.0", "EPL-2.0"),
@@ -70,3 +71,10 @@ def test_heavy_words_lose_nothing(spark, monkeypatch):
     found = run()
     monkeypatch.setattr(license_scan, "has_word", lambda text, known: text.isNotNull())
     assert run() == found and sum(bool(x[1]) for x in found) > 20
+
+
+def test_texts_are_left_out_where_nothing_can_be_found(spark):
+    rows = [("a/x.py", "print('hello')"), ("a/y.py", "Licensed under the MIT license."), ("a/z.py", "# spdx-license-identifier: mit"), ("a/LICENSE", "hello"), (None, None)]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "__file int, path string, text string")
+    held = {r["__file"]: r["text"] for r in license_scan.marked(df, ["mit"], ["covenant"]).collect()}
+    assert held == {0: None, 1: rows[1][1], 2: rows[2][1], 3: None, 4: None}
