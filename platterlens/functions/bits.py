@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def digit_sum(n: Column) -> Column:
-    return F.aggregate(F.split(n.cast("string"), ""), F.lit(0).cast("long"), lambda a, d: a + F.coalesce(d.try_cast("long"), F.lit(0).cast("long")))
+    """The sum of the decimal digits of a whole number of up to 18 digits."""
+    whole = F.abs(n).cast("long")
+    digit = lambda k: F.call_function("div", whole, F.lit(10**k).cast("long")) % 10
+    return reduce(lambda a, b: a + b, (digit(k) for k in range(18)))
 
 
 def from_bcd(byte: Column) -> Column:

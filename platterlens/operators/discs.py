@@ -26,10 +26,13 @@ def freedb_id(toc: Column, leadout: Column) -> Column:
 
 def musicbrainz_id(toc: Column, leadout: Column) -> Column:
     """SHA-1 over a hundred slots, the lead-out first and a track in the slot of its number, in a base64 safe for URLs."""
-    of = F.map_from_entries(F.transform(toc, lambda t: F.struct(t.number.cast("int").alias("k"), (t.start + PREGAP).cast("long").alias("v"))))
-    slots = F.transform(F.sequence(F.lit(1), F.lit(99)), lambda i: F.format_string("%08X", F.coalesce(F.try_element_at(of, i), F.lit(0).cast("long"))))
+    word = lambda n: F.lpad(F.hex(n), 8, "0")
+    slots = F.filter(toc, lambda t: t.number.between(1, 99))
+    # each track after as many empty slots as its number leaves to the track before
+    gap = lambda i: F.get(slots, i).number - F.coalesce(F.when(i > 0, F.get(slots, i - 1).number), F.lit(0)) - 1
+    filled = F.array_join(F.transform(slots, lambda t, i: F.concat(F.repeat(F.lit("00000000"), gap(i).cast("int")), word((t.start + PREGAP).cast("long")))), "")
     ends = F.format_string("%02X%02X%08X", toc[0].number, F.element_at(toc, -1).number, leadout + PREGAP)
-    digest = F.unhex(F.sha1(F.concat(ends, F.array_join(slots, "")).cast("binary")))
+    digest = F.unhex(F.sha1(F.rpad(F.concat(ends, filled), 12 + 8 * 99, "0").cast("binary")))
     return F.translate(F.base64(digest), "+/=", "._-")
 
 

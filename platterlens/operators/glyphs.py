@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import kept
 from . import voting
 
 #: Letters as tall as an x, and capitals, whose heights tell one from the other.
@@ -49,6 +50,37 @@ def taught(seen: DataFrame, answers: DataFrame) -> DataFrame:
     return seen.groupBy("batch").agg(F.count("*").alias("lines")).join(given, "batch", "left").select("batch", "lines", n.alias("answers"), (F.col("lines") == n).alias("accepted"))
 
 
+def learned(shapes: DataFrame, answers: DataFrame, enough: int = 24, most: int = 1500, batch: int = 48) -> tuple[DataFrame, DataFrame]:
+    """What reading a disc's own cues teaches: (stream, key, label, n) votes, and (stream, cue, batch_no) of the cues that were read.
+
+    Of shapes (stream, cue, pos, key) a reader is asked for a cue while one of its shapes is thin, with fewer than `enough` votes,
+    and fewer than `most` cues of the stream were read; answers (stream, cue, pos, label) are what it would say. Cues are read in
+    batches of `batch`, and votes count from the next batch on, so a round takes of each stream the next cues that hold a shape
+    still thin: all streams in one pass, and rounds only until every shape is well attested. A cue with more or fewer answers
+    than shapes teaches nothing, but was read.
+    """
+    spark = shapes.sparkSession
+    of = shapes.schema["stream"].dataType.simpleString()
+    sizes = shapes.groupBy("stream", "cue").agg(F.count("*").alias("__n"))
+    given = answers.groupBy("stream", "cue").agg(F.count("*").alias("__m"))
+    sound = sizes.join(given, ["stream", "cue"]).filter("__n = __m").select("stream", "cue")
+    votes = spark.createDataFrame([], f"stream {of}, key {shapes.schema['key'].dataType.simpleString()}, label string, n long")
+    read = spark.createDataFrame([], f"stream {of}, cue {shapes.schema['cue'].dataType.simpleString()}, batch_no int")
+    for no in range(-(-most // batch)):
+        attested = votes.groupBy("stream", "key").agg(F.sum("n").alias("__votes")).filter(F.col("__votes") >= enough)
+        thin = shapes.join(attested, ["stream", "key"], "left_anti").select("stream", "cue").distinct()
+        last = read.groupBy("stream").agg(F.max("cue").alias("__last"))
+        ahead = thin.join(last, "stream", "left").filter(F.col("__last").isNull() | (F.col("cue") > F.col("__last"))).drop("__last")
+        place = F.row_number().over(Window.partitionBy("stream").orderBy("cue"))
+        now = kept(ahead.withColumn("__at", place).filter(F.col("__at") <= min(batch, most - no * batch)).select("stream", "cue", F.lit(no).alias("batch_no")), "asked")
+        if now.isEmpty():
+            break
+        told = shapes.join(now, ["stream", "cue"]).join(sound, ["stream", "cue"], "left_semi").join(answers, ["stream", "cue", "pos"]).groupBy("stream", "key", "label").agg(F.count("*").alias("n"))
+        votes = kept(votes.unionByName(told).groupBy("stream", "key", "label").agg(F.sum("n").alias("n")), "votes")
+        read = read.unionByName(now)
+    return votes, read
+
+
 def word_list(lists: DataFrame, english: bool) -> DataFrame:
     """(word) of lists (line): what stands before a slash, lower case, if it is two letters or more and nothing else."""
     word = F.lower(F.trim(F.substring_index("line", "/", 1)))

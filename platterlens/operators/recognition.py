@@ -114,3 +114,15 @@ def verify(produced: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 __all__ = ["closest_table", "coverage", "cue_texts", "gaps", "learned_gaps", "read_lines", "space_gap", "verify", "votes_from"]
+
+
+def extents(glyphs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(stream_id, event_id, line_no, left, top, right, bottom, height, labelled, unlabelled): what each line of glyphs, with y, spans,
+    its last column and row included, and how many of its shapes labels (key, text) know."""
+    known = labels.select("key", F.col("text").isNotNull().alias("__known"))
+    rows = glyphs.join(known, "key", "left").withColumn("__known", F.coalesce("__known", F.lit(False)))
+    found = rows.groupBy(*LINE).agg(
+        F.min("x").alias("left"), F.min("y").alias("top"), (F.max(F.col("x") + F.col("w")) - 1).alias("right"), (F.max(F.col("y") + F.col("h")) - 1).alias("bottom"),
+        F.count_if("__known").alias("labelled"), F.count_if(~F.col("__known")).alias("unlabelled"),
+    )
+    return found.withColumn("height", F.col("bottom") - F.col("top") + 1)

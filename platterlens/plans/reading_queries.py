@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import arrays, bits, naming, predicates, strings, times
-from ..operators import catalogues, discs, identify, intervals, matching, music, recognition, sequences, structure
+from ..functions import arrays, bits, carriers, naming, predicates, strings, times
+from ..operators import catalogues, discs, glyphs, identify, intervals, matching, music, recognition, sequences, structure, voting
 from .tables import DISCS_SQL, LINES_SQL, VISITS_SQL, lines, table, visits
 from .tables import discs as disc_tracks
 
@@ -202,7 +202,76 @@ def part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def part_carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What carriers, files and drives say of themselves, said of parts."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    head = F.concat(F.unhex(F.lit("00" * 15)), F.unhex(F.lpad(F.hex(k % 4), 2, "0")))
+    mode, carrier = carriers.data_mode(head), carriers.medium(k % 80)
+    volume = F.concat(F.when(k % 2 == 0, F.unhex(F.lit("014344303031"))).otherwise(F.unhex(F.lit("024344303031"))), F.rpad(F.col("p_name").cast("binary"), 66, F.lit(b" ")))
+    ebml = F.when(k % 3 == 0, F.unhex(F.lit("1A45DFA301"))).otherwise(F.col("p_name").cast("binary"))
+    kind = F.when(k % 5 == 0, "Audio").when(k % 5 == 1, "Empty").when(k % 5 == 2, "Dvd")
+    label = F.when(k % 2 == 0, F.upper("p_name"))
+    expected = carriers.expected_file(F.when(k % 7 > 0, size * 1000))
+    word = F.element_at(F.array(*map(F.lit, (" Video", "AUDIO", "Subtitles", "subtitle", "data"))), (k % 5 + 1).cast("int"))
+    log = F.concat(F.lit("frame=  1 fps\rframe= "), k.cast("string"), F.lit(" q=1"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", carriers.cue_name(mode).alias("mode"), carrier.alias("medium"), carriers.raw_sector(carrier).cast("long").alias("sector"), carriers.is_volume_descriptor(volume).alias("volume"), carriers.is_matroska(ebml).alias("matroska"),
+        carriers.size_problem(k, expected, F.lit(25_000).cast("long")).alias("problem"), carriers.stream_kind(word).alias("stream"), carriers.has_disc(kind, label).alias("loaded"), carriers.disc_told(kind, F.lit("a disc"), label).alias("told"),
+        carriers.is_output(F.when(k % 4 == 0, "PlayAll").otherwise("Extra")).alias("output"), F.round(carriers.decoded_rate(F.when(k % 2 == 0, log).otherwise("none"), log), 4).alias("rate"), carriers.release_url(F.concat("p_name", F.lit(" & ~*")), 5).alias("url"),
+        carriers.images_url(F.array(F.col("p_brand"), F.col("p_name"))).alias("pictures"),
+    )
+
+
+def line_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lines of shapes span, and how many of their shapes a table knows."""
+    shapes = _shapes(spark, sf_dir).withColumn("y", (F.col("key") % 4).cast("long"))
+    return recognition.extents(shapes, _labels(spark)).select("event_id", F.col("line_no").cast("long").alias("line_no"), *(F.col(c).cast("long").alias(c) for c in ("left", "top", "right", "bottom", "height")), "labelled", "unlabelled")
+
+
+def learned_lettering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as the shapes of orders' cues, a stream for each priority: read in three batches of six while shapes are thin."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("stream"))
+    shapes = lines(spark, sf_dir).join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("stream", F.col("l_orderkey").alias("cue"), "pos", (F.col("l_partkey") % 9).alias("key"))
+    label = F.char(F.when((F.col("cue") + F.col("pos")) % 7 == 0, 120).otherwise(F.col("key") + 97))
+    answers = shapes.filter("cue % 5 > 0 or pos > 1").select("stream", "cue", "pos", label.alias("label"))
+    votes, read = glyphs.learned(shapes, answers, 8, 18, 6)
+    settled = voting.settle(votes.select(F.concat_ws("/", "stream", F.col("key").cast("string")).alias("key"), "label", "n"), agreement=0.6)
+    return settled.select("key", "text", F.col("total").cast("long").alias("votes")).unionByName(read.select(F.concat_ws("#", "stream", F.col("cue").cast("string")).alias("key"), F.lit("read").alias("text"), F.col("batch_no").cast("long").alias("votes")))
+
+
+def _learned_sql() -> str:
+    """The three rounds one after the other, each from the votes of those before."""
+    rounds = "v0 AS (SELECT stream, key, label, 1 AS n FROM told WHERE false), r0 AS (SELECT stream, cue, 0 AS no FROM shapes WHERE false)"
+    for k in range(3):
+        rounds += f""", a{k} AS (SELECT DISTINCT stream, cue FROM shapes s WHERE NOT EXISTS (SELECT 1 FROM (SELECT stream, key FROM v{k} GROUP BY ALL HAVING sum(n) >= 8) v WHERE v.stream = s.stream AND v.key = s.key)
+            AND NOT EXISTS (SELECT 1 FROM r{k} r WHERE r.stream = s.stream AND r.cue >= s.cue)), p{k} AS (SELECT stream, cue FROM a{k} QUALIFY row_number() OVER (PARTITION BY stream ORDER BY cue) <= 6),
+          v{k + 1} AS (SELECT * FROM v{k} UNION ALL SELECT stream, key, label, 1 FROM told SEMI JOIN p{k} USING (stream, cue)), r{k + 1} AS (SELECT * FROM r{k} UNION ALL SELECT stream, cue, {k} FROM p{k})"""
+    return f"""WITH {LINES_SQL}, shapes AS (SELECT o_orderpriority AS stream, l_orderkey AS cue, pos, l_partkey % 9 AS key FROM lines JOIN orders ON o_orderkey = l_orderkey),
+      told AS (SELECT *, CASE WHEN (cue + pos) % 7 = 0 THEN 'x' ELSE chr(CAST(97 + key AS INT)) END AS label FROM shapes WHERE cue % 5 > 0), {rounds},
+      sums AS (SELECT stream, key, label, count(*) AS n FROM v3 GROUP BY ALL), ranked AS (SELECT *, sum(n) OVER w AS total, row_number() OVER (w ORDER BY n DESC, label) AS nth FROM sums WINDOW w AS (PARTITION BY stream, key)),
+      best AS (SELECT stream, key, any_value(total) AS total, max(label) FILTER (WHERE nth = 1) AS a, max(n) FILTER (WHERE nth = 1) AS na, max(label) FILTER (WHERE nth = 2) AS b, max(n) FILTER (WHERE nth = 2) AS nb FROM ranked GROUP BY ALL)
+    SELECT stream || '/' || key AS key, CASE WHEN na / total >= 0.6 THEN a WHEN (na + nb) / total >= 0.7 AND nb >= 8 AND nb / total >= 0.05 THEN a || '|' || b END AS text, CAST(total AS BIGINT) AS votes FROM best
+    UNION ALL SELECT stream || '#' || cue, 'read', no FROM r3"""
+
+
 QUERIES = {
+    "part_carriers": (
+        part_carriers,
+        """WITH p AS (SELECT *, p_partkey AS k, p_size * 1000 + 44 AS want, CASE WHEN p_partkey % 80 BETWEEN 8 AND 10 THEN 'Cd' WHEN p_partkey % 80 BETWEEN 16 AND 27 THEN 'Dvd' WHEN p_partkey % 80 BETWEEN 64 AND 67 THEN 'BluRay' END AS m FROM part)
+        SELECT p_partkey, ['AUDIO', 'MODE1/2352', 'MODE2/2352', 'AUDIO'][k % 4 + 1] AS mode, m AS medium, CASE WHEN m = 'Cd' THEN 2352 WHEN m IS NOT NULL THEN 2048 END AS sector, k % 2 = 0 AS volume, k % 3 = 0 AS matroska,
+          CASE WHEN k % 7 > 0 AND want > 25000 THEN 'track ' || k || ' came back ' || (want - 25000) || ' bytes short of ' || want || '; the disc did not read completely' END AS problem,
+          ['video', 'audio', 'subtitle', 'subtitle', 'other'][k % 5 + 1] AS stream, CASE k % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true ELSE k % 2 = 0 END AS loaded,
+          CASE WHEN k % 5 = 0 THEN 'a disc' WHEN k % 2 = 0 THEN upper(p_name) WHEN k % 5 = 2 THEN 'a disc' ELSE '(empty)' END AS told, k % 4 > 0 AS output, round(k / 20, 4) AS rate,
+          'https://musicbrainz.org/ws/2/release/?query=' || replace(p_name, ' ', '%20') || '%20%26%20~%2A&fmt=json&limit=5&dismax=true' AS url,
+          'https://en.wikipedia.org/w/api.php?action=query&prop=pageimages&piprop=thumbnail&pithumbsize=342&pilicense=any&titles=' || replace(p_brand, '#', '%23') || '%7C' || replace(p_name, ' ', '%20') || '&format=json&redirects=1' AS pictures FROM p""",
+    ),
+    "line_extents": (
+        line_extents,
+        f"""WITH {_SHAPES_SQL}, x AS (SELECT e, n, key, sum(left_gap + 8) OVER (PARTITION BY e, n ORDER BY g) - 8 AS x, key % 4 AS y FROM shapes)
+        SELECT e AS event_id, n AS line_no, CAST(min(x) AS BIGINT) AS left, min(y) AS top, CAST(max(x) + 7 AS BIGINT) AS right, max(y) + 19 AS bottom, max(y) + 20 - min(y) AS height, count(*) FILTER (WHERE key <> 7) AS labelled, count(*) FILTER (WHERE key = 7) AS unlabelled
+        FROM x GROUP BY e, n""",
+    ),
+    "learned_lettering": (learned_lettering, _learned_sql()),
     "read_cues": (read_cues, f"WITH {_SHAPES_SQL} SELECT e AS event_id, text, CAST(n_unknown AS BIGINT) AS n_unknown, n_unknown < 5 AS usable FROM cues"),
     "taught_votes": (
         taught_votes,

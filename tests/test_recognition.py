@@ -107,3 +107,33 @@ def test_names_tags_and_predicates(spark):
     assert ask(predicates.shortfall(lit(0), lit(0), lit(0), lit(9))) is None and ask(predicates.shortfall(lit(0), lit(2), lit(0), lit(9))) == "2 of 9 sectors are the drive's best guess"
     assert ask(predicates.disc_kind(lit(False), lit(True), lit(True), lit(True))) == "Dvd"
     assert ask(predicates.is_bitmap_subtitle(lit("subtitle"), lit("dvd_subtitle"))) and ask(predicates.is_commentary(lit("Director's"))) and ask(predicates.is_usable(lit(10), lit(4)))
+
+
+def test_lettering_is_learned_in_batches_while_it_is_thin(spark):
+    import random
+
+    from platterlens.operators import glyphs
+
+    draw = random.Random(6)
+    cues = {(s, c): [draw.choice("aaaabbbccd" + ("e" if s == "x" else "")) for _ in range(draw.randrange(1, 6))] for s in "xy" for c in range(60)}
+    said = {k: [g.upper() if draw.random() < 0.9 else "?" for g in v] + (["!"] if k[1] % 7 == 0 else []) for k, v in cues.items()}
+    votes, read = {}, []
+    for s in "xy":
+        batch, n, no = [], 0, 0
+        for c in range(60):
+            if n >= 40:
+                break
+            if any(sum(m for (t, key, _), m in votes.items() if (t, key) == (s, g)) < 9 for g in cues[s, c]):
+                batch.append(c)
+                n += 1
+            if len(batch) == 8 or n >= 40 or c == 59:
+                read += [(s, b, no) for b in batch]
+                for b in batch:
+                    if len(said[s, b]) == len(cues[s, b]):
+                        for g, a in zip(cues[s, b], said[s, b]):
+                            votes[s, g, a] = votes.get((s, g, a), 0) + 1
+                batch, no = [], no + 1
+    table = lambda of, name: spark.createDataFrame([(s, c, i, g) for (s, c), v in of.items() for i, g in enumerate(v)], f"stream string, cue int, pos int, {name} string")
+    got, asked = glyphs.learned(table(cues, "key"), table(said, "label"), 9, 40, 8)
+    assert sorted(map(tuple, asked.collect())) == sorted(read)
+    assert {(r["stream"], r["key"], r["label"]): r["n"] for r in got.collect()} == votes
