@@ -15,10 +15,10 @@ def test_labels(spark):
     def read(label):
         return tuple(one(spark, strings.parse_label(F.col("s")), s=label))
 
-    assert read("PARKS_AND_RECREATION_S7D1") == ("Parks And Recreation", 7, 1, None)
+    assert read("HARBOUR_AND_LANTERN_S4D3") == ("Harbour And Lantern", 4, 3, None)
     assert read("SOME_SHOW_SEASON_3_DISC_2") == ("Some Show", 3, 2, None)
-    assert read("BLADE_RUNNER_2049") == ("Blade Runner 2049", None, None, 2049)
-    assert read("KUNG_FU_PANDA") == ("Kung FU Panda", None, None, None)
+    assert read("QUIET_TURBINE_2031") == ("Quiet Turbine 2031", None, None, 2031)
+    assert read("WOOL_OX_MARKET") == ("Wool OX Market", None, None, None)
     assert read("DISC_SEASON") == ("", None, None, None)
     assert read("SEASON_SEASON_4") == ("", 4, None, None)
     assert read("S1_S2D3_X") == ("X", 1, 3, None)
@@ -30,7 +30,7 @@ def test_names(spark):
     def clean(s):
         return one(spark, strings.sanitize(F.col("s")), s=s)
 
-    assert clean("Alien: Resurrection") == "Alien - Resurrection"
+    assert clean("Harbour: The Return") == "Harbour - The Return"
     assert clean("a/b\\c?") == "a-b-c-"
     assert clean("con.txt") == "_con.txt"
     assert clean("???") == "untitled"
@@ -40,8 +40,8 @@ def test_names(spark):
     assert one(spark, strings.percent_encode(F.col("s")), s="a b*c~d+é") == "a%20b%2Ac~d%2B%C3%A9"
     assert one(spark, strings.serial(F.col("s")), s="BOOT = cdrom:\\SLUS_012.34;1\r\n") == "SLUS-01234"
     assert one(spark, F.array_join(F.transform(strings.episode_numbers(F.col("s")), lambda x: x.cast("string")), ","), s="720E5 S07E01-E02.mkv") == "5,1"
-    assert one(spark, strings.describe_show(F.lit("ITV1"), F.lit("Reality"), F.lit("2015-01-01"), F.lit("2016-05-05"), F.lit("Ended")), s="") == "ITV1 · Reality · 2015-2016"
-    assert one(spark, strings.describe_show(F.lit("Netflix"), F.lit("Documentary"), F.lit("2019-01-01"), F.lit(None).cast("string"), F.lit("Running")), s="") == "Netflix · Documentary · ongoing"
+    assert one(spark, strings.describe_show(F.lit("Coast 9"), F.lit("Quiz"), F.lit("2004-02-03"), F.lit("2011-08-09"), F.lit("Ended")), s="") == "Coast 9 · Quiz · 2004-2011"
+    assert one(spark, strings.describe_show(F.lit("Lagoon"), F.lit("Nature"), F.lit("2020-06-07"), F.lit(None).cast("string"), F.lit("Running")), s="") == "Lagoon · Nature · ongoing"
     assert one(spark, strings.same_letter(F.lit("Ä"), F.lit("Å")), s="") and not one(spark, strings.same_letter(F.lit("a"), F.lit("a")), s="")
 
 
@@ -52,20 +52,20 @@ def test_times(spark):
     assert one(spark, times.timestamp_text(F.col("x")), x=3661123) == "01:01:01,123"
     assert one(spark, times.parse_timestamp(F.col("s")), s="no time") is None
     assert one(spark, times.msf(F.col("x")), x=4501) == "01:00:01"
-    assert one(spark, times.seconds_to_ms(F.col("s")), s="1274.933") == 1274933
+    assert one(spark, times.seconds_to_ms(F.col("s")), s="86.207") == 86207
     assert one(spark, times.duration_ms(F.col("s")), s="1:02:03") == 3723000
     assert one(spark, times.year_of(F.col("s")), s="1998-02-03") == 1998
     assert one(spark, times.dcsq_ms(F.col("x")), x=90) == 1024
 
 
 def test_bits_and_arrays(spark):
-    assert one(spark, bits.digit_sum(F.col("x")), x=1907) == 17
+    assert one(spark, bits.digit_sum(F.col("x")), x=40_096) == 19
     assert one(spark, bits.from_bcd(F.col("x").cast("int")), x=0x59) == 59
     assert one(spark, bits.snap_ratio(F.lit(853.0), F.lit(720.0)), x=0) == "32/27"
     assert one(spark, bits.snap_ratio(F.lit(3.0), F.lit(2.0)), x=0) == "3/2"
     assert one(spark, bits.frame_rate(F.lit(23.98)), x=0) == "24000/1001"
-    assert one(spark, bits.looks_telecined(F.lit(30964), F.lit(24772)), x=0)
-    assert one(spark, F.size(arrays.without_sliver(F.col("a"))), a=[300000, 1130]) == 1
-    assert one(spark, F.size(arrays.without_sliver(F.col("a"))), a=[1130]) == 1
-    assert one(spark, arrays.chapters_match(F.col("a"), F.col("b")), a=[300050, 974960], b=[300000, 975000])
-    assert not one(spark, arrays.chapters_match(F.col("a"), F.col("b")), a=[300000], b=[300000, 1])
+    assert one(spark, bits.looks_telecined(F.lit(50_000), F.lit(40_100)), x=0)
+    assert one(spark, F.size(arrays.without_sliver(F.col("a"))), a=[410000, 1250]) == 1
+    assert one(spark, F.size(arrays.without_sliver(F.col("a"))), a=[1250]) == 1
+    assert one(spark, arrays.chapters_match(F.col("a"), F.col("b")), a=[410070, 620940], b=[410000, 621000])
+    assert not one(spark, arrays.chapters_match(F.col("a"), F.col("b")), a=[410000], b=[410000, 1])

@@ -121,8 +121,8 @@ def test_structure(spark):
 
 
 def test_candidates(spark):
-    found = spark.createDataFrame([("tv", "PARKS_AND_RECREATION_S7D1", [1275000] * 4), ("film", "KUNG_FU_PANDA", [5400000, 300000, 200000])], "disc_id string, label string, durations array<bigint>")
-    hits = spark.createDataFrame([("Parks and Recreation", 0, "series", 2009, 1.0, "w1"), ("Kung Fu Panda", 0, "series", 2011, 0.95, "w2"), ("Kung Fu Panda", 1, "movie", 2008, 0.9, "w3")], "title string, hit_pos int, media string, year int, score double, work_id string")
+    found = spark.createDataFrame([("tv", "HARBOUR_AND_LANTERN_S7D1", [1275000] * 4), ("film", "WOOL_OX_MARKET", [5400000, 300000, 200000])], "disc_id string, label string, durations array<bigint>")
+    hits = spark.createDataFrame([("Harbour and Lantern", 0, "series", 2009, 1.0, "w1"), ("Wool Ox Market", 0, "series", 2011, 0.95, "w2"), ("Wool Ox Market", 1, "movie", 2008, 0.9, "w3")], "title string, hit_pos int, media string, year int, score double, work_id string")
     episodes = spark.createDataFrame([("w1", 7, n, 1320000) for n in range(1, 14)], "work_id string, season int, number int, runtime_ms bigint")
     ranked = identify.candidates(found, hits, episodes)
     assert rows(ranked, "disc_id", "rank", "work_id", "confidence") == [("film", 1, "w3", 0.84), ("film", 2, "w2", 0.37), ("tv", 1, "w1", 1.0)]
