@@ -65,3 +65,20 @@ def shortfall(corrupt: Column, damaged: Column, unreadable: Column, sectors: Col
         .when((unreadable == 0) & (damaged > 0), F.concat(of(damaged), F.lit("are the drive's best guess")))
         .when(unreadable > 0, F.concat(of(unreadable), F.lit("could not be read ("), F.floor(unreadable * 2352 / 1024).cast("string"), F.lit(" KB)")))
     )
+
+
+def is_compilation(artists: Column, albumartist: Column) -> Column:
+    """Whether any of an album's tracks (an array of artists) is by another than the album."""
+    return F.exists(artists, lambda a: ~a.eqNullSafe(albumartist))
+
+
+def is_multi_disc(discs: Column) -> Column:
+    return F.coalesce(discs > 1, F.lit(False))
+
+
+def nothing_failed(failed: Column) -> Column:
+    return failed == 0
+
+
+def holds(ids: Column, wanted: Column) -> Column:
+    return F.coalesce(F.array_contains(ids, wanted), F.lit(False))

@@ -147,3 +147,8 @@ def dump_checks(matched: DataFrame, sectors: DataFrame) -> DataFrame:
     rows = matched.join(counts, "dump_id", "left")
     verdict = F.when(F.col("game").isNotNull(), "verified").when(F.col("sectors").isNull(), "unknown").when(F.col("bad") == 0, "sound").otherwise("misread")
     return rows.withColumn("verdict", verdict)
+
+
+def dump_totals(tracks: DataFrame, by: list[str]) -> DataFrame:
+    """(by, bytes, corrupt, sound, bad_tracks) of the tracks (by, bytes, corrupt) of dumps."""
+    return tracks.groupBy(*by).agg(F.sum("bytes").alias("bytes"), F.sum("corrupt").alias("corrupt"), F.bool_and(F.col("corrupt") == 0).alias("sound"), F.count_if(F.col("corrupt") > 0).alias("bad_tracks"))

@@ -58,3 +58,14 @@ def kind(tracks: DataFrame, by: list[str]) -> DataFrame:
     """Audio, data or enhanced (both) by what tracks a disc has, and whether it opens with data."""
     found = tracks.groupBy(*by).agg(F.bool_or(~F.col("is_data")).alias("audio"), F.bool_or("is_data").alias("data"), F.min_by("is_data", "number").alias("opens_with_data"))
     return found.select(*by, F.when(F.col("audio") & F.col("data"), "enhanced").when(F.col("audio"), "audio").otherwise("data").alias("kind"), "opens_with_data")
+
+
+def outlines(tracks: DataFrame, by: list[str]) -> DataFrame:
+    """(by, kind, n_audio, has_data, leadout, span) of tracks (by, number, start, is_data, leadout): whether a disc opens with data,
+    how much sound it has, and its first to its last frame as readers of sound are told them."""
+    found = tracks.groupBy(*by).agg(
+        F.count_if(~F.col("is_data")).alias("n_audio"), F.bool_or("is_data").alias("has_data"), F.min_by("is_data", "number").alias("__opens"), F.max("leadout").alias("leadout"),
+        F.min("number").alias("__first"), F.max("number").alias("__last"), F.max("start").alias("__start"),
+    )
+    span = F.concat(F.col("__first").cast("string"), F.lit("[.0]-"), F.col("__last").cast("string"), F.lit("[."), (F.col("leadout") - 1 - F.col("__start")).cast("string"), F.lit("]"))
+    return found.select(*by, F.when(F.col("__opens"), "Data").otherwise("Audio").alias("kind"), "n_audio", "has_data", "leadout", span.alias("span"))

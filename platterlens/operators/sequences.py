@@ -65,3 +65,14 @@ def without_repeats(rows: DataFrame, by: list[str], order: list[str], value: str
     """Rows that say something else than the row before them."""
     w = Window.partitionBy(*by).orderBy(*order)
     return rows.withColumn("__before", F.lag(F.struct(value)).over(w)).filter(F.col("__before").isNull() | ~F.col(f"__before.{value}").eqNullSafe(F.col(value))).drop("__before")
+
+
+def ordinals(rows: DataFrame, by: list[str], kind: str, order: list[str]) -> DataFrame:
+    """rows with ordinal, each one's place among those of its kind, from 0."""
+    return rows.withColumn("ordinal", (F.row_number().over(Window.partitionBy(*by, kind).orderBy(*order)) - 1).cast("long"))
+
+
+def never_falling(rows: DataFrame, by: list[str], order: list[str], said) -> DataFrame:
+    """rows with done, the most that any row up to this one said, 0 at least, and step, how many there were."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("__said", said).withColumns({"done": F.greatest(F.max("__said").over(w), F.lit(0)).cast("long"), "step": F.count("*").over(w)}).drop("__said")

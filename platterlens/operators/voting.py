@@ -115,3 +115,10 @@ def top_each(rows: DataFrame, by: list[str], score: Column, ties: list[str], k:
     """The k best rows of each group, ties in input order, with their rank."""
     order = Window.partitionBy(*by).orderBy(score.desc(), *ties)
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def listed_tags(tags: DataFrame, by: list[str]) -> DataFrame:
+    """(by, tags): the distinct tags of tags (by, kind, pos, tag), those of the first kind as they come, then what only later
+    kinds have."""
+    best = tags.groupBy(*by, "tag").agg(F.min(F.struct("kind", "pos")).alias("at"))
+    return best.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "tag"))), lambda t: t.tag).alias("tags"))

@@ -137,9 +137,13 @@ def answered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dump_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small questions about albums and dumps, one column each."""
     rows = lines(spark, sf_dir).groupBy("l_orderkey").agg(
-        F.bool_or(F.col("l_returnflag") == "R").alias("compilation"), (F.max("l_linenumber") > 3).alias("multi_disc"), F.collect_set("l_linestatus").alias("ids"), F.count_if(F.col("l_quantity") < 5).alias("failed"), F.sum("l_quantity").cast("long").alias("n")
+        F.collect_set("l_returnflag").alias("artists"), F.max("l_linenumber").alias("last"), F.collect_set("l_linestatus").alias("ids"), F.count_if(F.col("l_quantity") < 5).alias("failed"), F.sum("l_quantity").cast("long").alias("n")
     )
-    return rows.select("l_orderkey", "compilation", "multi_disc", F.array_contains("ids", "O").alias("holds_disc"), (F.col("failed") == 0).alias("complete"), predicates.is_short(F.col("n") * 1000, F.col("n") * 985).alias("short"))
+    own = F.transform("artists", lambda a: F.when(a == "R", a).otherwise("own"))
+    return rows.select(
+        "l_orderkey", predicates.is_compilation(own, F.lit("own")).alias("compilation"), predicates.is_multi_disc(F.col("last") - 2).alias("multi_disc"), predicates.holds(F.col("ids"), F.lit("O")).alias("holds_disc"),
+        predicates.nothing_failed(F.col("failed")).alias("complete"), predicates.is_short(F.col("n") * 1000, F.col("n") * 985).alias("short"),
+    )
 
 
 _TRACK = "l_orderkey, pos, CASE WHEN l_returnflag = 'R' THEN 'subtitle' ELSE 'audio' END AS kind, ['eng', 'sv', 'de', 'fra'][l_partkey % 4 + 1] AS tag, l_quantity > 40 AS comment, l_linestatus = 'O' AS pictured"

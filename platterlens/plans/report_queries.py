@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import media, naming, sentences, strings
-from ..operators import catalogues, checksums, glyphs, intervals, matching
+from ..operators import catalogues, checksums, discs, glyphs, intervals, matching, sequences, voting
 from .counting_queries import _MINUTES_SQL, _writes
 from .tables import DISCS_SQL, LINES_SQL, VISITS_SQL, lines, table, visits
 from .tables import discs as toc_tracks
@@ -45,14 +45,9 @@ SELECT event_id, kind, CASE kind {" ".join(f"WHEN {_quoted(k)} THEN {_sentence_s
 def disc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line for each disc: what it is, how much sound it has, which library it goes to, how many bytes it is raw, and the
     span from its first to its last frame as readers of sound are told it."""
-    tracks = toc_tracks(spark, sf_dir)
-    found = tracks.groupBy("l_orderkey").agg(
-        F.count_if(~F.col("is_data")).alias("n_audio"), F.bool_or("is_data").alias("has_data"), F.min_by("is_data", "number").alias("opens_with_data"), F.max("leadout").alias("leadout"),
-        F.min("number").alias("first_number"), F.max("number").alias("last_number"), F.max("start").alias("last_start"),
-    )
-    kind = F.when(F.col("opens_with_data"), "Data").otherwise("Audio")
-    span = F.concat(F.col("first_number").cast("string"), F.lit("[.0]-"), F.col("last_number").cast("string"), F.lit("[."), (F.col("leadout") - 1 - F.col("last_start")).cast("string"), F.lit("]"))
-    return found.select("l_orderkey", sentences.describe_disc(kind, F.col("n_audio"), F.col("leadout"), F.col("has_data")).alias("line"), F.when(kind == "Audio", "Music").otherwise("Games").alias("library"), "n_audio", (F.col("leadout") * media.RAW_SECTOR).alias("bytes"), span.alias("span"))
+    found = discs.outlines(toc_tracks(spark, sf_dir), ["l_orderkey"])
+    line = sentences.describe_disc(F.col("kind"), F.col("n_audio"), F.col("leadout"), F.col("has_data"))
+    return found.select("l_orderkey", line.alias("line"), F.when(F.col("kind") == "Audio", "Music").otherwise("Games").alias("library"), "n_audio", (F.col("leadout") * media.RAW_SECTOR).alias("bytes"), "span")
 
 
 def quality_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,24 +210,20 @@ def languages_offered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each conversation the roles of its even turns as they come, then those of odd turns only: as a disc's languages,
     sound first and then what is in subtitles alone."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("tag"), (F.col("turn") % 2).alias("kind"))
-    best = rows.groupBy("conv_id", "tag").agg(F.min(F.struct("kind", "turn")).alias("at"))
-    listed = best.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "tag"))).alias("tags"))
-    return listed.select("conv_id", F.array_join(F.transform("tags", lambda t: t.tag), ",").alias("tags"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), F.coalesce("role", F.lit("")).alias("tag"), (F.col("turn") % 2).alias("kind"))
+    return voting.listed_tags(rows, ["conv_id"]).select("conv_id", F.array_join("tags", ",").alias("tags"))
 
 
 def track_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every track's place among those of its kind."""
     rows = lines(spark, sf_dir).withColumn("kind", F.when(F.col("l_returnflag") == "R", "video").when(F.col("l_linestatus") == "O", "audio").otherwise("subtitle"))
-    place = F.row_number().over(Window.partitionBy("l_orderkey", "kind").orderBy("pos")) - 1
-    return rows.select("l_orderkey", "pos", "kind", place.cast("long").alias("ordinal"))
+    return sequences.ordinals(rows, ["l_orderkey"], "kind", ["pos"]).select("l_orderkey", "pos", "kind", "ordinal")
 
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far a user's day has come at each event, in thousandths that never fall, whatever late events say."""
-    order = Window.partitionBy("user_id", "day").orderBy("ms", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     said = F.floor(F.col("ms") % 86_400_000 / 86_400) - F.col("event_id") % 400
-    return visits(spark, sf_dir).select("event_id", F.greatest(F.max(said).over(order), F.lit(0)).cast("long").alias("done"), F.count("*").over(order).alias("step"))
+    return sequences.never_falling(visits(spark, sf_dir), ["user_id", "day"], ["ms", "event_id"], said).select("event_id", "done", "step")
 
 
 def read_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,7 +243,7 @@ def read_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dump_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of a dump, of what is corrupt in it, and whether all of it is sound."""
     rows = lines(spark, sf_dir).select("l_orderkey", (F.col("l_quantity") * media.RAW_SECTOR).cast("long").alias("bytes"), F.when(F.col("l_returnflag") == "R", F.col("pos")).otherwise(0).alias("corrupt"))
-    return rows.groupBy("l_orderkey").agg(F.sum("bytes").alias("bytes"), F.sum("corrupt").alias("corrupt"), F.bool_and(F.col("corrupt") == 0).alias("sound"), F.count_if(F.col("corrupt") > 0).alias("bad_tracks"))
+    return checksums.dump_totals(rows, ["l_orderkey"])
 
 
 def resolved_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
