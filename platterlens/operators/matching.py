@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import cell_of, divided
+from .voting import joined_by
+
 
 def match_digests(dumps: DataFrame, roms: DataFrame) -> DataFrame:
     """dumps (dump_id, bytes, crc32, sha1) with the rom each is, or nulls.
@@ -126,14 +129,19 @@ def missing(wanted: DataFrame, present: DataFrame, key) -> DataFrame:
 
 
 def as_of(probes: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
-    """probes (by, at, ...) with number: of spans (by, start, number) the last that starts at or before `at`, else the
-    first. One sort of both together by (by, at); no range join, so a key with many spans costs no pairs."""
-    events = probes.select(*by, F.col("at").alias("__at"), F.lit(1).alias("__probe"), F.lit(None).cast("long").alias("number"), F.struct(*probes.columns).alias("__row"))
-    marks = spans.select(*by, F.col("start").alias("__at"), F.lit(0).alias("__probe"), F.col("number").cast("long").alias("number"), F.lit(None).cast(events.schema["__row"].dataType).alias("__row"))
-    order = Window.partitionBy(*by).orderBy("__at", "__probe", "number").rowsBetween(Window.unboundedPreceding, 0)
-    later = Window.partitionBy(*by).orderBy("__at", "__probe", "number").rowsBetween(0, Window.unboundedFollowing)
-    both = events.unionByName(marks).withColumns({"__last": F.last("number", True).over(order), "__next": F.first("number", True).over(later)})
-    return both.filter("__probe = 1").select("__row.*", F.coalesce("__last", "__next").alias("number"))
+    """probes (by, at, ...), at a whole number, with number: of spans (by, start, number) the last that starts at or before `at`
+    (of equals the largest number), else the first. One sweep of both together, cell by cell of each group's axis; a cell is told
+    the last span of the cells before it, so neither a group with many rows nor one with many spans is a single task's."""
+    asked = probes.select(*by, F.col("at").cast("long").alias("__at"), F.lit(1).alias("__probe"), F.lit(None).cast("long").alias("__number"), F.struct(*probes.columns).alias("__row"))
+    marks = spans.select(*by, F.col("start").cast("long").alias("__at"), F.lit(0).alias("__probe"), F.col("number").cast("long").alias("__number"), F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"))
+    mark = F.when(F.col("__probe") == 0, F.struct(F.col("__at").alias("at"), F.col("__number").alias("number")))
+    placed = divided(asked.unionByName(marks), by, "__at", "__at").withColumns({"__cell": cell_of(F.col("__at")), "__mark": mark})
+    cells = placed.groupBy(*by, "__cell").agg(F.max("__mark").alias("__last"), F.min("__mark").alias("__first"))
+    order = Window.partitionBy(*by).orderBy("__cell")
+    told = cells.select(*by, "__cell", F.max("__last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.min("__first").over(Window.partitionBy(*by)).alias("__least"))
+    within = Window.partitionBy(*by, "__cell").orderBy("__at", "__probe").rowsBetween(Window.unboundedPreceding, 0)
+    met = joined_by(placed, told, [*by, "__cell"]).withColumn("__now", F.max("__mark").over(within))
+    return met.filter("__probe = 1").select("__row.*", F.coalesce(F.col("__now.number"), F.col("__before.number"), F.col("__least.number")).alias("number"))
 
 
 def nearest(probes: DataFrame, events: DataFrame, by: list[str]) -> DataFrame:

@@ -155,3 +155,18 @@ def test_scratch_and_mounts(spark):
     asked = ["file:///media/My%20Disc/", "/media/My Disc/x", "/media/My Disc2", "/dev/sr7", "/", "relative"]
     got = {r["argument"]: (r["device"], r["within"]) for r in jobs.devices(spark.createDataFrame([(1, a) for a in asked], "h int, argument string"), mounts, ["h"]).collect()}
     assert got == {asked[0]: ("/dev/sr0", "/dev/sr0"), asked[1]: (None, "/dev/sr0"), asked[2]: (None, "/dev/sda"), asked[3]: ("/dev/sr7", "/dev/sr7"), asked[4]: (None, None), asked[5]: (None, None)}
+
+
+@pytest.mark.parametrize("rows", [256, 3])
+def test_as_of_in_cells(spark, monkeypatch, rows):
+    from platterlens.operators import matching
+
+    monkeypatch.setattr(intervals, "CELL_ROWS", rows)
+    draw = random.Random(4)
+    spans = [(g, draw.randrange(-50, 50), n) for g in (None, 1, 2) for n in range(draw.choice([1, 30]))]
+    probes = [(g, x, i) for i, (g, x) in enumerate((g, draw.randrange(-70, 70)) for g in (None, 1, 2, 3) for _ in range(60))]
+    found = {r["id"]: r["number"] for r in matching.as_of(spark.createDataFrame(probes, "g int, at bigint, id int"), spark.createDataFrame(spans, "g int, start bigint, number bigint"), ["g"]).collect()}
+    for g, x, i in probes:
+        own = sorted((s, n) for k, s, n in spans if k == g)
+        before = [n for s, n in own if s <= x]
+        assert found[i] == (before[-1] if before else own[0][1] if own else None)
