@@ -90,11 +90,11 @@ def closest_table(shapes: DataFrame, tables: DataFrame, languages: list[str] | N
     known = tables.filter(F.col("text").isNotNull() | (F.col("votes") >= TRIED)).select("table_pos", "key").distinct()
     wanted = shapes if languages is None else shapes.filter(F.col("language").isin(*languages))
     totals = wanted.groupBy("language").agg(F.sum("n").alias("total")).filter("total > 0")
-    n_languages = totals.count()
+    totals = totals.withColumn("__languages", F.count("*").over(Window.partitionBy(F.lit(0))))  # a row for each language
     covered = wanted.join(known, "key").groupBy("table_pos", "language").agg(F.sum("n").alias("covered")).join(totals, "language")
-    shares = covered.groupBy("table_pos").agg(F.count("*").alias("__n"), F.min(F.col("covered") / F.col("total")).alias("__least"))
+    shares = covered.groupBy("table_pos").agg((F.count("*") == F.max("__languages")).alias("__all"), F.min(F.col("covered") / F.col("total")).alias("__least"))
     # a table that knows nothing of some language covers none of it
-    least = F.when(F.col("__n") == n_languages, F.col("__least")).otherwise(F.lit(0.0))
+    least = F.when(F.col("__all"), F.col("__least")).otherwise(F.lit(0.0))
     worst = tables.select("table_pos").distinct().join(shares, "table_pos", "left").select("table_pos", least.alias("worst"))
     return worst.withColumn("fits", F.col("worst") >= FIT).orderBy(F.col("worst").desc(), "table_pos").limit(1)
 

@@ -101,7 +101,7 @@ def scan_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the lines that a reader prints say about a user's day."""
     k = F.col("event_id")
     text = F.when(k % 5 == 0, F.concat(F.lit("libdvdread: Error cracking CSS key for VTS_0"), (k % 3).cast("string"), F.lit("_1.VOB (0x1)"))).when(k % 5 == 1, "Cannot READ from device").when(k % 5 == 2, "Invalid data found").otherwise(F.col("event_type"))
-    printed = visits(spark, sf_dir).filter("event_type = 'error' or event_id % 4 = 0").select("user_id", "day", k.alias("seq"), text.alias("line"))
+    printed = visits(spark, sf_dir).select("user_id", "day", k.alias("seq"), text.alias("line"))
     found = checksums.scan_health(printed, ["user_id", "day"])
     return found.select("user_id", "day", F.size("failed").cast("long").alias("n_failed"), "read_errors", sentences.complaint(F.array_sort("failed"), F.col("read_errors")).alias("complaint"))
 
@@ -304,7 +304,7 @@ QUERIES = {
     ),
     "scan_health": (
         scan_health,
-        f"""WITH {VISITS_SQL}, p AS (SELECT user_id, day, event_id % 5 AS k, 'VTS_0' || event_id % 3 || '_1.VOB' AS file FROM visits WHERE event_type = 'error' OR event_id % 4 = 0), h AS (
+        f"""WITH {VISITS_SQL}, p AS (SELECT user_id, day, event_id % 5 AS k, 'VTS_0' || event_id % 3 || '_1.VOB' AS file FROM visits), h AS (
           SELECT user_id, day, coalesce(list_sort(list(DISTINCT file) FILTER (WHERE k = 0)), []) AS failed, count(*) FILTER (WHERE k = 1) AS read_errors FROM p GROUP BY 1, 2)
         SELECT user_id, day, len(failed) AS n_failed, read_errors, concat_ws('; ', CASE WHEN len(failed) > 0 THEN 'libdvdcss could not decrypt ' || CASE WHEN len(failed) = 1 THEN 'a part' ELSE 'parts' END || ' of the disc (' || array_to_string(failed, ', ') ||
           ') - titles in those parts are missing from this scan' END, CASE WHEN read_errors > 0 THEN read_errors || ' unreadable sectors' END) AS complaint FROM h""",
