@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, bits, carriers, naming, predicates, strings, times
 from ..operators import catalogues, discs, glyphs, identify, intervals, matching, music, recognition, sequences, structure, voting
+from ..sources import texts
 from .tables import DISCS_SQL, LINES_SQL, VISITS_SQL, lines, table, visits
 from .tables import discs as disc_tracks
 
@@ -19,6 +20,10 @@ _SHAPES_SQL = f"""{LINES_SQL}, shapes AS (
 ), cues AS (SELECT e, string_agg(text, chr(10) ORDER BY n) AS text, sum(n_unknown) AS n_unknown FROM said GROUP BY e)"""
 
 
+#: A time as subtitle files write it.
+_STAMP = "printf('%02d:%02d:%02d,%03d', {x} // 3600000, {x} // 60000 % 60, {x} // 1000 % 60, {x} % 1000)"
+
+
 def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir).select(F.lit(1).alias("stream_id"), F.col("l_orderkey").alias("event_id"), F.when(F.col("l_linestatus") == "O", 1).otherwise(0).alias("line_no"), F.col("pos").alias("glyph_pos"), (F.col("l_partkey") % 26).alias("key"), F.when(F.col("l_quantity") > 30, 7).otherwise(2).alias("left"))
     order = Window.partitionBy(*recognition.LINE).orderBy("glyph_pos")
@@ -41,6 +46,16 @@ def read_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "text", "n_unknown", predicates.is_usable(F.lit(10), F.col("n_unknown")).alias("usable"))
 
 
+def recognised_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes to files: each customer's orders as the cues of a stream, read, timed and written as a subtitle file, and read back."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").cast("string").alias("stream_id"))
+    cues = _read(spark, sf_dir).drop("stream_id").join(o, "event_id")
+    timed = cues.select("stream_id", F.col("event_id").alias("seq"), (F.col("event_id") * 2000).alias("start_ms"), (F.col("event_id") * 2000 + 1500).alias("end_ms"), "text")
+    files = texts.subtitle_text(timed)
+    back = texts.cues(files).groupBy("stream_id").agg(F.count("*").alias("cues"), F.max("end_ms").alias("last_ms"))
+    return files.join(back, "stream_id").select("stream_id", F.sha1(F.col("content").cast("binary")).alias("sha1"), F.length("content").cast("long").alias("chars"), "cues", "last_ms")
+
+
 def taught_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What shapes are voted to be by texts, of which every fifth has a letter too many and teaches nothing; and the gaps that
     letters keep, where they keep any."""
@@ -273,6 +288,13 @@ QUERIES = {
     ),
     "learned_lettering": (learned_lettering, _learned_sql()),
     "read_cues": (read_cues, f"WITH {_SHAPES_SQL} SELECT e AS event_id, text, CAST(n_unknown AS BIGINT) AS n_unknown, n_unknown < 5 AS usable FROM cues"),
+    "recognised_files": (
+        recognised_files,
+        f"""WITH {_SHAPES_SQL}, c AS (SELECT CAST(o_custkey AS VARCHAR) AS stream_id, e, text, row_number() OVER (PARTITION BY o_custkey ORDER BY e) AS n FROM cues JOIN orders ON o_orderkey = e), t AS (
+          SELECT *, e * 2000 AS a, e * 2000 + 1500 AS b FROM c), f AS (
+          SELECT stream_id, string_agg(n || chr(10) || {_STAMP.format(x="a")} || ' --> ' || {_STAMP.format(x="b")} || chr(10) || text || chr(10) || chr(10), '' ORDER BY n) AS content, count(*) AS cues, max(b) AS last_ms FROM t GROUP BY 1)
+        SELECT stream_id, sha1(content) AS sha1, length(content) AS chars, cues, last_ms FROM f""",
+    ),
     "taught_votes": (
         taught_votes,
         f"""WITH {_SHAPES_SQL}, good AS (SELECT e FROM cues WHERE n_unknown = 0 AND e % 5 > 0 AND e IN (SELECT e FROM said WHERE n = 0)), v AS (SELECT s.* FROM labelled s JOIN good USING (e)), g AS (SELECT before AS key, gap, space = ' ' AS spaced FROM v WHERE before IS NOT NULL),
