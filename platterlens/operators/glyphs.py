@@ -200,7 +200,8 @@ def resolve_lines(words_in: DataFrame, lists: DataFrame, english: bool = True) -
     """(line, text) of words_in (line, pos, slots, gaps), with lists (line) of words. A line is one value: its words are put
     in order, and each tells the next whether a sentence opens there."""
     words = word_list(lists, english)
-    resolved = resolve_words(split_near_misses(words_in, words), words, english)
+    parts = kept(split_near_misses(words_in, words), "word-parts")  # four branches read them
+    resolved = resolve_words(parts, words, english)
     sorted_parts = resolved.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("pos", "part", "opening", "within"))).alias("parts"))
     ends = lambda text: F.rtrim(text, F.lit("\"')")).rlike(r"[.!?]$")
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(True).alias("opens"))

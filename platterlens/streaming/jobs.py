@@ -49,5 +49,9 @@ def fanned_out(stream: DataFrame, folder: str, sinks: dict[str, Callable[[DataFr
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint or f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    schemas = {name: of(spark.createDataFrame([], stream.schema)).schema for name, of in sinks.items()}
-    return {name: spark.read.schema(s).parquet(f"{folder}/{name}/batch=*") for name, s in schemas.items()}
+    found = {}
+    for name, of in sinks.items():
+        nothing = of(spark.createDataFrame([], stream.schema))
+        nothing.write.mode("overwrite").parquet(f"{folder}/{name}/batch=none")  # so that a stream without batches has tables too
+        found[name] = spark.read.schema(nothing.schema).parquet(f"{folder}/{name}/batch=*")
+    return found

@@ -69,7 +69,7 @@ def test_a_broken_fan_out_is_taken_up_without_loss_or_repeats(spark):
     fails = [True]
 
     def second(batch):
-        if fails[0] and batch.sparkSession is not None and batch.count() and batch.agg(F.max("pos")).first()[0] >= 10:
+        if fails[0] and not batch.isStreaming and batch.count() and batch.agg(F.max("pos")).first()[0] >= 10:
             raise RuntimeError("the second sink is full")
         return batch.filter("kind = 'progress'").select("pos")
 
@@ -83,6 +83,9 @@ def test_a_broken_fan_out_is_taken_up_without_loss_or_repeats(spark):
     assert sorted(r["pos"] for r in found["progress"].collect()) == [p for p in range(30) if p % 10 % 3]
     again = streams.fanned_out(stream, folder, sinks)
     assert again["log"].count() == 12
+    empty = scratch(spark, "events")
+    spark.createDataFrame([], "job int, pos bigint, fraction double, kind string").write.parquet(empty)
+    assert streams.fanned_out(spark.readStream.schema("job int, pos bigint, fraction double, kind string").parquet(empty), scratch(spark, "sinks"), sinks)["log"].count() == 0
 
 
 def test_a_killed_write_leaves_the_version_before(spark):
