@@ -243,7 +243,9 @@ def nearest(counts: DataFrame, templates: dict[str, tuple[str, ...]], n: int, df
     top = log(1 + n) + 1
     weights = spark.createDataFrame([(w, name, i, dot) for w, name, i, _, dot in rows], "w string, license string, notice int, weight double")
     idfs = spark.createDataFrame(sorted(idf.items()), "w string, idf double")
-    counted = counts.select("__file", "block", F.explode("words").alias("w")).groupBy("__file", "block", "w").agg(F.count("*").alias("tf"))
+    # blocks are dealt out whole, so that their words, norms and products are summed where they lie
+    dealt = counts.select("__file", "block", "words").repartition("__file", "block")
+    counted = dealt.select("__file", "block", F.explode("words").alias("w")).groupBy("__file", "block", "w").agg(F.count("*").alias("tf"))
     counted = counted.join(F.broadcast(idfs), "w", "left").withColumn("square", F.pow(F.col("tf") * F.coalesce("idf", F.lit(top)), F.lit(2)))
     norms = counted.groupBy("__file", "block").agg(F.sqrt(F.sum("square")).alias("norm"))
     # the templates' words are as many as the fixed table above has: a bound that no corpus moves
