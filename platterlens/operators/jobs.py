@@ -67,16 +67,25 @@ def filed(attempts: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, dict]
     return back.filter("ok"), back.filter("not ok"), dict(seen.get)
 
 
+def in_mib(size: Column) -> Column:
+    """Bytes (a whole number, not negative) as MiB with one decimal, as C prints them: an exact half of a
+    tenth goes to the even digit, which format_string would round up."""
+    rest = size % MIB * 10
+    tenths, over = F.shiftright(rest, 20), rest % MIB
+    up = (over > MIB // 2) | ((over == MIB // 2) & (tenths % 2 == 1))
+    sum_ = F.shiftright(size, 20) * 10 + tenths + F.when(up, 1).otherwise(0)
+    return F.concat(F.floor(sum_ / 10).cast("string"), F.lit("."), (sum_ % 10).cast("string"), F.lit(" MiB"))
+
+
 def reports(attempts: DataFrame, by: list[str], name: str, destination: str, pos: str) -> DataFrame:
     """(by, produced, skipped, bytes, complete, lines) of attempts (by, name, destination, ok, value, error), value being bytes:
     what a run did, in the words that it is told in."""
-    size = F.format_string("%.1f MiB", F.col("value") / MIB)
-    line = F.when(F.col("ok"), F.concat(F.lit("  "), destination, F.lit("  "), size)).otherwise(F.concat(F.lit("  FAILED "), name, F.lit(": "), "error"))
+    line = F.when(F.col("ok"), F.concat(F.lit("  "), destination, F.lit("  "), in_mib(F.col("value")))).otherwise(F.concat(F.lit("  FAILED "), name, F.lit(": "), "error"))
     each = attempts.groupBy(*by).agg(
         F.count_if("ok").alias("produced"), F.count_if(~F.col("ok")).alias("skipped"), F.coalesce(F.sum("value"), F.lit(0)).cast("long").alias("bytes"),
         F.array_sort(F.collect_list(F.struct((~F.col("ok")).alias("failed"), pos, line.alias("line")))).alias("__lines"),
     )
-    head = F.concat(F.col("produced").cast("string"), F.lit(" files, "), F.format_string("%.1f MiB", F.col("bytes") / MIB))
+    head = F.concat(F.col("produced").cast("string"), F.lit(" files, "), in_mib(F.col("bytes")))
     return each.select(*by, "produced", "skipped", "bytes", (F.col("skipped") == 0).alias("complete"), F.concat(F.array(head), F.transform("__lines", lambda x: x.line)).alias("lines"))
 
 

@@ -46,6 +46,14 @@ def test_report_lines(spark):
     assert found[1]["lines"] == ["1 files, 2.0 MiB", "  f2  2.0 MiB", "  FAILED t1: unreadable"] and not found[1]["complete"] and found[2]["complete"]
 
 
+def test_sizes_round_exact_halves_to_even(spark):
+    sizes = [0, 1, 1 << 18, 3 << 18, 5 << 18, 1031 << 20 | 1 << 18, 1 << 20, (1 << 20) - 1, 104857, 52429, 52428, (7 << 50) + (3 << 18)]
+    df = spark.createDataFrame([(n,) for n in sizes], "n bigint").select("n", jobs.in_mib(F.col("n")).alias("told"))
+    assert {r["n"]: r["told"] for r in df.collect()} == {n: f"{n / (1 << 20):.1f} MiB" for n in sizes}
+    one = spark.createDataFrame([(1, 1, True, 1 << 18, None)], "job int, n int, ok boolean, value bigint, error string")
+    assert jobs.reports(one, ["job"], F.lit("t"), F.lit("f"), "n").first()["lines"] == ["1 files, 0.2 MiB", "  f  0.2 MiB"]
+
+
 def _events(spark, folder, rows):
     spark.createDataFrame(rows, "job int, pos bigint, fraction double, kind string").coalesce(1).write.mode("append").parquet(folder)
     return spark.readStream.schema("job int, pos bigint, fraction double, kind string").option("maxFilesPerTrigger", 1).parquet(folder)
