@@ -163,3 +163,18 @@ def test_frames(spark):
 def test_consensus(spark):
     readings = spark.createDataFrame([("x", 1, "a", 0), ("x", 2, "b", 0), ("y", 1, "a", 3), ("y", 2, "b", 1), ("y", 3, "b", 1), ("z", 1, "a", 1), ("z", 2, "b", 1), ("z", 3, "c", 1)], "span string, attempt int, digest string, flagged int")
     assert rows(sequences.consensus(readings, ["span"]), "span", "digest", "agreed") == [("x", "a", True), ("y", "b", True), ("z", "c", False)]
+
+
+def test_quantiles_hold_where_cuts_are_never_twice_the_same(spark, monkeypatch):
+    # summaries of tasks meet in any order, so what percentile_approx says may differ from one reading of the plan to the next
+    @F.udf("array<double>")
+    def cuts(most):
+        return sorted(random.uniform(0, most) for _ in range(63))
+
+    monkeypatch.setattr(voting.F, "percentile_approx", lambda value, *_: cuts.asNondeterministic()(F.max(value)))
+    df = spark.range(8000).select((F.col("id") % 20).alias("g"), (F.col("id") * 7919 % 8000).cast("double").alias("v"))
+    found = {r["g"]: (r["v"], r["n"]) for r in voting.index_quantile(df, ["g"], "v", 3, 4).collect()}
+    told = {}
+    for i in range(8000):
+        told.setdefault(i % 20, []).append(float(i * 7919 % 8000))
+    assert found == {g: (sorted(v)[300], 400) for g, v in told.items()}
