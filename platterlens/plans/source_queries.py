@@ -120,10 +120,8 @@ def album_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     albums = _albums(spark, sf_dir)
     tracks = lines(spark, sf_dir).select(F.col("l_orderkey").cast("string").alias("disc_id"), F.col("pos").cast("int").alias("number"), (F.col("l_returnflag") == "R").alias("is_data"))
-    entries = music.to_rip(tracks, albums)
-    totals = music.totals(entries).withColumnRenamed("length_ms", "album_ms")
-    told = albums.select("disc_id", "label", "catalogue_number")
-    return entries.join(totals, ["disc_id", "album"]).join(told, "disc_id").select("disc_id", F.col("number").cast("long").alias("number"), "album", "albumartist", F.col("year").cast("long").alias("year"), F.col("disc").cast("long").alias("disc"), F.col("discs").cast("long").alias("discs"), "title", "artist", "length_ms", "album_ms", "is_compilation", "label", "catalogue_number")
+    entries = music.with_totals(music.to_rip(tracks, albums, also=("label", "catalogue_number")))
+    return entries.select("disc_id", F.col("number").cast("long").alias("number"), "album", "albumartist", F.col("year").cast("long").alias("year"), F.col("disc").cast("long").alias("disc"), F.col("discs").cast("long").alias("discs"), "title", "artist", "length_ms", "album_ms", "is_compilation", "label", "catalogue_number")
 
 
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,14 @@ def test_music(spark):
     assert music.to_rip(tracks, listing, only=[3]).count() == 1 and music.to_rip(tracks, listing, only=[]).count() == 0
 
 
+def test_entries_are_merged_not_broadcast(spark):
+    tracks = spark.createDataFrame([("d", 2, False), ("d", 3, False), ("e", 1, True)], "disc_id string, number int, is_data boolean")
+    listing = spark.createDataFrame([("d", p, "Al", "Band", 2001, 1, 1, [(2, "Song", 10000, None), (3, "Duet", 20000, "Guest")], f"L{p}") for p in (0, 1)], "disc_id string, pos int, title string, artist string, year int, disc int, discs int, tracks array<struct<number:int,title:string,length_ms:bigint,artist:string>>, label string")
+    found = music.with_totals(music.to_rip(tracks, listing, also=("label",)))
+    assert sorted(map(tuple, found.select("number", "label", "album_ms", "is_compilation").collect())) == [(2, "L0", 30000, True), (3, "L0", 30000, True)]
+    assert "Broadcast" not in music.to_rip(tracks, listing)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_names_tags_and_predicates(spark):
     schema = "media string, show string, year int, role string, season int, number int, title string, date string"
     items = spark.createDataFrame([("series", "A: B", 2001, "Episode", 2, 7, "Pilot", "2001-02-03"), ("series", "A", None, "ExtendedCut", 2, 7, "Pilot", None), ("movie", "Film", 1999, "Feature", None, None, "x", None), ("movie", "Film", None, "Extra", None, None, "Making of", None), ("series", "A", None, "PlayAll", None, None, "all", None)], schema)
