@@ -1,11 +1,16 @@
 """Joins by meaning: digests against a reference set, ordered parts, aliases by preference, as-of and nearest lookups.
 
 Each returns a DataFrame and leaves the physical join to Catalyst and adaptive execution; nothing is broadcast here unless
-Spark has measured it. Ties are always settled by a position column.
+Spark has measured it, but for the few crowded buckets of frames. Ties are always settled by a position column.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,26 +165,118 @@ def nearest(probes: DataFrame, events: DataFrame, by: list[str]) -> DataFrame:
     return both.filter("__probe = 1").select(*by, "at", pick["event_id"].alias("event_id"), F.abs(F.col("at") - pick["at"]).alias("distance"))
 
 
+#: Rows of a bucket that are compared as pairs at once, rows that a task holds of one bucket, and cells of a table of distances.
+SMALL, TILE, CELLS = 48, 1 << 15, 1 << 20
+
+
+def _shown_nearby(tolerance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows sorted by bucket (bands, value, i, j): which titles (bits of a word) have a pattern within `tolerance` of each
+    asked one. In small buckets all pairs are compared; in large ones a pattern looks for a title only until it has found it."""
+
+    def near(hi, lo, x, y):
+        return np.bitwise_count(hi[x] ^ hi[y]) + np.bitwise_count(lo[x] ^ lo[y]) <= tolerance
+
+    def small(c, starts, sizes):
+        rows = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        size, first = np.repeat(sizes, sizes), np.repeat(starts, sizes)
+        per = max(1, CELLS // SMALL)
+        for at in range(0, len(rows), per):
+            x, n, head = rows[at : at + per], size[at : at + per], first[at : at + per]
+            ends = np.cumsum(n)
+            y = np.arange(ends[-1]) + np.repeat(head - ends + n, n)
+            ok = near(c["hi"], c["lo"], np.repeat(x, n), y) & (c["role"][y] != 1)
+            for word in np.unique(c["word"][y]):
+                yield x, word, np.bitwise_or.reduceat(np.where(ok & (c["word"][y] == word), c["bits"][y], 0), ends - n)
+
+    def large(c, start, size):
+        rows = np.arange(start, start + size)
+        asked, told = rows[c["role"][rows] != 2], rows[c["role"][rows] != 1]
+        for word in np.unique(c["word"][told]):
+            of = told[c["word"][told] == word]
+            found = np.zeros(size, np.int64)
+            for bit in range(64):
+                one = np.uint64(1) << np.uint64(bit)
+                has = lambda r: (c["bits"][r].view(np.uint64) & one) != 0  # noqa: B023, E731
+                y = of[has(of)]
+                left = asked[~((c["word"][asked] == word) & has(asked))] if len(y) else asked[:0]
+                at, step = 0, 1
+                while at < len(y) and len(left):
+                    step = max(1, min(step * 2, CELLS // len(left)))
+                    ok = near(c["hi"], c["lo"], left[:, None], y[None, at : at + step]).any(axis=1)
+                    found[left[ok] - start] |= one.view(np.int64)
+                    left, at = left[~ok], at + step
+            yield rows, word, found
+
+    def settle(c):
+        new = np.flatnonzero(np.concatenate([[True], np.any([c[k][1:] != c[k][:-1] for k in ("bands", "value", "i", "j")], axis=0)]))
+        sizes = np.diff(np.append(new, len(c["hi"])))
+        # a bucket of one title holds nothing that is not known
+        every = np.bitwise_or.reduceat(c["bits"], new).view(np.uint64)
+        alone = (np.bitwise_count(every) == 1) & (np.minimum.reduceat(c["word"], new) == np.maximum.reduceat(c["word"], new))
+        few = (sizes <= SMALL) & ~alone
+        if few.any():
+            yield from small(c, new[few], sizes[few])
+        for k in np.flatnonzero((sizes > SMALL) & ~alone):
+            yield from large(c, new[k], sizes[k])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
+                continue
+            now = None if batch is None else {k: batch.column(k).to_numpy(zero_copy_only=False) for k in batch.schema.names}
+            c = now if held is None else held if now is None else {k: np.concatenate([held[k], now[k]]) for k in now}
+            if c is None:
+                return
+            n = len(c["hi"])
+            if now is not None:  # the last bucket may go on
+                last = np.any([c[k] != c[k][-1] for k in ("bands", "value", "i", "j")], axis=0)
+                n = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+                held = {k: v[n:].copy() for k, v in c.items()}
+            if n:
+                for x, word, bits in settle({k: v[:n] for k, v in c.items()}):
+                    x, bits = x[bits != 0], bits[bits != 0]
+                    yield pa.record_batch({"hi": c["hi"][x], "lo": c["lo"][x], "word": np.full(len(x), word, np.int32), "bits": bits})
+
+    return work
+
+
 def similar_frames(frames: DataFrame, tolerance: int = 8) -> DataFrame:
     """(a, b, hits, n): for each pair of titles of frames (title, frame_pos, hi, lo) that have any, how many of the n
     frames of a are within `tolerance` bits of a frame of b.
 
     Two words of 128 bits that differ in up to `tolerance` bits agree wholly in two of tolerance + 2 bands. Patterns, each once
-    however many frames show it, meet by an equi-join on two bands together, some 25 bits; only those are compared.
+    however many frames show it, meet in the buckets of two bands together, some 25 bits. No pairs are kept: a pattern needs to
+    know the titles that are near, bits of a word, and looks no further for a title that it has found. A bucket with about more
+    than TILE patterns, as a hash of the patterns estimates it, is cut into tiles that meet each other, so no task holds it whole.
     """
     half = -(-(tolerance + 2) // 2)
     cuts = [64 * i // half for i in range(half + 1)]
     bands = [(F.shiftrightunsigned(F.col(side), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")), hi - lo) for side in ("hi", "lo") for lo, hi in zip(cuts, cuts[1:])]
     pairs = [F.shiftleft(x, width).bitwiseOR(y) for i, (x, _) in enumerate(bands) for y, width in bands[i + 1 :]]
-    patterns = frames.select("hi", "lo").distinct()
-    keyed = patterns.select("hi", "lo", F.posexplode(F.array(*pairs)).alias("bands", "value"))
-    met = keyed.join(keyed.withColumnsRenamed({"hi": "hi_b", "lo": "lo_b"}), ["bands", "value"])
-    distance = F.bit_count(F.col("hi").bitwiseXOR(F.col("hi_b"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("lo_b")))
-    near = met.filter(distance <= tolerance).select("hi", "lo", "hi_b", "lo_b").distinct()
-    shown = frames.select(F.col("title").alias("b"), F.col("hi").alias("hi_b"), F.col("lo").alias("lo_b")).distinct()
-    hit = frames.select(F.col("title").alias("a"), "frame_pos", "hi", "lo").join(near, ["hi", "lo"]).join(shown, ["hi_b", "lo_b"]).filter("a <> b").select("a", "frame_pos", "b").distinct()
+    numbers = frames.select("title").distinct().withColumn("number", (F.row_number().over(Window.orderBy("title")) - 1).cast("int"))
+    told = frames.join(numbers, "title").select("hi", "lo", F.shiftright("number", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("number") % 64).alias("bits"))
+    shown = told.groupBy("hi", "lo", "word").agg(F.bit_or("bits").alias("bits"))
+    keyed = shown.select("hi", "lo", "word", "bits", F.posexplode(F.array(*pairs)).alias("bands", "value"))
+    # only how a bucket is cut follows from a part of the patterns; every row is in
+    counted = shown.filter(F.pmod(F.xxhash64("hi", "lo"), F.lit(16)) == 0).select(F.posexplode(F.array(*pairs)).alias("bands", "value")).groupBy("bands", "value").count()
+    crowded = counted.filter(F.col("count") > TILE // 16).select("bands", "value", F.ceil(F.col("count") * 16 / TILE).cast("int").alias("tiles"))
+    placed = keyed.join(F.broadcast(crowded), ["bands", "value"], "left").withColumn("own", F.pmod(F.hash("lo", "hi"), F.col("tiles")))
+    tile = lambda role, i, j: F.struct(F.lit(role).alias("role"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    each = F.sequence(F.lit(0), F.col("tiles") - 1)
+    met = F.concat(F.transform(each, lambda k: tile(1, F.col("own"), k)), F.transform(each, lambda k: tile(2, k, F.col("own"))))
+    tiles = F.explode(F.when(F.col("tiles").isNull(), F.array(tile(0, F.lit(0), F.lit(0)))).otherwise(met)).alias("t")
+    spread = placed.select("bands", "value", "hi", "lo", "word", "bits", tiles).select("bands", "value", "t.i", "t.j", "t.role", "hi", "lo", "word", "bits")
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = spread.repartition(parts, "bands", "value", "i", "j").sortWithinPartitions("bands", "value", "i", "j")
+    near = sorted_.mapInArrow(_shown_nearby(tolerance), "hi bigint, lo bigint, word int, bits bigint").unionByName(shown).groupBy("hi", "lo", "word").agg(F.bit_or("bits").alias("bits"))
+    # one row for each frame, however often it is listed
+    hit = frames.select("title", "frame_pos", "hi", "lo").join(near.hint("merge"), ["hi", "lo"]).groupBy("title", "frame_pos", "word").agg(F.bit_or("bits").alias("bits"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.call_function("getbit", F.col("bits"), k) == 1)
+    counts = hit.groupBy("title", "word", "bits").agg(F.count("*").alias("c")).select("title", F.explode(bits).alias("bit"), "word", "c").groupBy("title", (F.col("word") * 64 + F.col("bit")).alias("number")).agg(F.sum("c").alias("hits"))
     n = frames.groupBy(F.col("title").alias("a")).agg(F.count("*").alias("n"))
-    return hit.groupBy("a", "b").agg(F.count("*").alias("hits")).join(n, "a").select("a", "b", "hits", "n")
+    named = counts.withColumnRenamed("title", "a").join(numbers.withColumnRenamed("title", "b"), "number")
+    return named.filter("a <> b").join(n, "a").select("a", "b", "hits", "n")
 
 
 def extended_cuts(frames: DataFrame, loose: DataFrame, episodes: DataFrame, least: float = 0.15) -> DataFrame:

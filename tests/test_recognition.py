@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from platterlens.functions import naming, predicates
@@ -69,6 +70,36 @@ def test_cuts_and_references(spark):
     assert [tuple(r) for r in matching.dangling(refs, spark.createDataFrame([("m", 1)], "owner string, id int")).collect()] == [("m", 1)]
 
 
+def test_crowded_frames_are_all_compared_without_pairs(spark, monkeypatch):
+    import random
+
+    # three bases, each with hundreds of patterns a few bits away, and more titles than a word has bits
+    draw = random.Random(5)
+    bases = [(draw.getrandbits(62), draw.getrandbits(62)) for _ in range(3)]
+    frames = []
+    for i in range(900):
+        hi, lo = bases[i % 3]
+        for _ in range(draw.randint(0, 7)):
+            side, bit = draw.randrange(2), draw.randrange(62)
+            hi, lo = (hi ^ (1 << bit), lo) if side else (hi, lo ^ (1 << bit))
+        frames.append((f"t{draw.randrange(70)}", i, hi, lo))
+    told = {}
+    for a, _, hi, lo in frames:
+        for b in {b for b, _, h, k in frames if (hi ^ h).bit_count() + (lo ^ k).bit_count() <= 4} - {a}:
+            told[a, b] = told.get((a, b), 0) + 1
+    df = spark.createDataFrame(frames, "title string, frame_pos bigint, hi bigint, lo bigint")
+    for small, tile in ((48, 1 << 15), (2, 32)):
+        monkeypatch.setattr(matching, "SMALL", small)
+        monkeypatch.setattr(matching, "TILE", tile)
+        assert {(r["a"], r["b"]): r["hits"] for r in matching.similar_frames(df, 4).collect()} == told
+    monkeypatch.setattr(matching, "SMALL", 48)
+    work = matching._shown_nearby(8)
+    crowd = {"bands": [0] * 6000, "value": [7] * 6000, "hi": [1 << (i % 60) for i in range(6000)], "lo": list(range(6000)), "word": [0] * 6000, "bits": [1 << (i % 25) for i in range(6000)]}
+    batch = lambda: pa.record_batch({**{k: pa.array(v, pa.int64() if k in ("value", "hi", "lo", "bits") else pa.int32()) for k, v in crowd.items()}, **{k: pa.array([0] * 6000, pa.int32()) for k in ("role", "i", "j")}})
+    sizes = [b.num_rows for b in work(iter([batch()]))]
+    assert sum(sizes) <= 6000  # not 36 million pairs
+
+
 def test_music(spark):
     tracks = spark.createDataFrame([("d", 1, 0, True, 3000), ("d", 2, 750, False, 3000), ("d", 3, 1500, False, 3000)], "disc_id string, number int, start bigint, is_data boolean, leadout bigint")
     album = spark.createDataFrame([("d", "Al", "Band")], "disc_id string, title string, performer string")
