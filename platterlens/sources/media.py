@@ -41,14 +41,14 @@ def attributes(lines: DataFrame) -> DataFrame:
 
     `TINFO:title,attr,code,"value"` tells of a title, `SINFO:title,stream,attr,code,"value"` of a stream in it.
     """
-    of = F.regexp_extract("line", r"^([A-Z]+):", 1)
-    value = F.replace(F.regexp_extract("line", r'"((?:[^"]|"")*)"\s*$', 1), F.lit('""'), F.lit('"'))
-    number = lambda i: F.try_element_at(F.split(F.regexp_replace("line", "^[A-Z]+:", ""), ","), F.lit(i)).try_cast("int")
-    rows = lines.withColumn("of", of).filter(F.col("of").isin("CINFO", "TINFO", "SINFO"))
+    # all that is told of a title meets in one shuffle, and the pivot of titles() needs no other
+    value = F.replace(F.regexp_extract("line", r'"([^"]*+(?:""[^"]*+)*+)"\s*$', 1), F.lit('""'), F.lit('"'))
+    number = lambda i: F.split_part(F.substring("line", 7, 1 << 30), F.lit(","), F.lit(i)).try_cast("int")
+    rows = lines.withColumn("of", F.substring("line", 1, 6)).filter(F.col("of").isin("CINFO:", "TINFO:", "SINFO:")).withColumn("of", F.substring("of", 1, 5))
     stream = F.when(F.col("of") == "SINFO", number(2))
     attr = F.when(F.col("of") == "CINFO", number(1)).when(F.col("of") == "TINFO", number(2)).otherwise(number(3))
     said = rows.select("disc_id", "line_no", F.when(F.col("of") != "CINFO", number(1)).alias("title"), stream.alias("stream"), attr.alias("attr"), value.alias("value"))
-    return said.groupBy("disc_id", "title", "stream", "attr").agg(F.max_by("value", "line_no").alias("value"))
+    return said.repartition("disc_id", "title").groupBy("disc_id", "title", "stream", "attr").agg(F.max_by("value", "line_no").alias("value"))
 
 
 def titles(attrs: DataFrame) -> DataFrame:

@@ -93,3 +93,11 @@ def test_stream_counts(spark, small, tmp_path):
     query = counted.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("counted").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_titles_of_a_log_need_one_shuffle_and_read_long_values(spark):
+    long = "x" * 30_000 + '""y""'
+    lines = [("d", 1, f'TINFO:0,2,0,"{long}"'), ("d", 2, 'TINFO:0,8,0,"7"'), ("d", 3, 'SINFO:0,1,8,0,"9"'), ("d", 4, 'CINFO:8,0,"5"'), ("d", 5, "TINFO:0"), ("d", 6, 'TINFOS:0,8,0,"1"'), ("d", 7, 'TINFO:0,8,0,"8"')]
+    found = media.titles(media.attributes(spark.createDataFrame(lines, "disc_id string, line_no bigint, line string")))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert [(r["title"], r["name"], r["chapters"]) for r in found.collect()] == [(0, long.replace('""', '"'), 8)]
