@@ -13,6 +13,10 @@ from ..sources import catalogues, datfiles, media, texts
 from .tables import LINES_SQL, VISITS_SQL, lines, table, visits
 
 
+#: Orders to a slice of the datfiles that are written.
+SLICE = 100_000
+
+
 def _nullable(condition: Column, value: Column) -> Column:
     return F.when(condition, value)
 
@@ -26,12 +30,19 @@ def datfile_roms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     roms = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", rom.alias("rom")))), lambda x: x.rom), "").alias("roms"))
     games = roms.join(table(spark, sf_dir, "orders"), k == F.col("o_orderkey")).select(F.col("o_orderpriority").alias("system"), k.alias("place"), F.concat(F.lit('<game name="Game '), k.cast("string"), F.lit(' &lt;Q&gt;">'), F.col("roms"), F.lit("</game>")).alias("value"))
-    heads = games.select("system").distinct().select("system", F.lit(-1).cast("long").alias("place"), F.concat(F.lit("<datafile><header><name>System "), "system", F.lit("</name></header>")).alias("value"))
+    # a slice of a datfile's games is a part of it, so a datfile is many tasks' work; keys that crowd make large parts, no wrong ones
+    least, most, n = table(spark, sf_dir, "orders").agg(F.min("o_orderkey"), F.max("o_orderkey"), F.count("*")).first()
+    slices = -(-n // SLICE)
+    at = F.floor((F.col("place") - F.lit(least or 0)) / F.lit(((most or 0) - (least or 0)) // max(slices, 1) + 1)).cast("long")
+    sold = table(spark, sf_dir, "lineitem").select("l_orderkey")
+    heads = table(spark, sf_dir, "orders").join(sold, k == F.col("o_orderkey"), "left_semi").select(F.col("o_orderpriority").alias("system")).distinct()
+    heads = heads.select("system", F.lit(-1).cast("long").alias("place"), F.concat(F.lit("<datafile><header><name>System "), "system", F.lit("</name></header>")).alias("value"))
     folder = f"{shared_folder(spark)}/datfiles-{uuid.uuid4().hex}"
-    games.unionByName(heads).repartition("system").sortWithinPartitions("system", "place").withColumn("of", F.col("system")).drop("place", "system").write.partitionBy("of").text(folder)
-    found = datfiles.read_datfiles(spark, folder, r"/part-[^/]*$")
-    numbered = datfiles.tracks_of(found).select("dat_pos", "game_pos", "rom_pos", F.col("track_pos").cast("long").alias("track_pos"))
-    return found.join(numbered, ["dat_pos", "game_pos", "rom_pos"], "left").select("system", F.col("dat_pos").cast("long").alias("dat_pos"), "game_pos", "game", F.col("rom_pos").cast("long").alias("rom_pos"), "name", "size", "crc32", "sha1", "track_pos")
+    placed = games.unionByName(heads).withColumns({"of": F.col("system"), "slice": F.when(F.col("place") < 0, "0").otherwise(F.format_string("1%09d", at))})
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), slices)
+    placed.repartition(parts, "of", "slice").sortWithinPartitions("of", "slice", "place").select("value", "of", "slice").write.partitionBy("of", "slice").text(folder)
+    found = datfiles.with_tracks(datfiles.read_datfiles(spark, folder, r"/part-[^/]*$", r"^(.*/of=[^/]*)/"))
+    return found.select("system", F.col("dat_pos").cast("long").alias("dat_pos"), "game_pos", "game", F.col("rom_pos").cast("long").alias("rom_pos"), "name", "size", "crc32", "sha1", F.col("track_pos").cast("long").alias("track_pos"))
 
 
 def _answers(rows: DataFrame, key: str, order: str, item: Column, name: str | None = None) -> DataFrame:

@@ -36,23 +36,34 @@ def roms_of(files: DataFrame) -> DataFrame:
     return _roms(files.join(numbered, "path").select(_system(F.col("xml")).alias("system"), "dat_pos", F.posexplode(games).alias("game_pos", "body")))
 
 
-def read_datfiles(spark: SparkSession, path: str, names: str = r"\.(dat|xml)$") -> DataFrame:
+def read_datfiles(spark: SparkSession, path: str, names: str = r"\.(dat|xml)$", parts: str | None = None) -> DataFrame:
     """The same of the files below path whose names match, of any size: a record ends where the next game begins, so a file
     is read by as many tasks as it has splits, and the text source puts together what lies across their borders. A game's
-    place is its place in its split and what the splits before it hold."""
+    place is its place in its split and what the splits before it hold.
+
+    A datfile may lie in parts, whose paths give their order and of which each ends between two games: `parts` is then a pattern
+    whose first group is, of a part's path, what all parts of a datfile have in common."""
     rows = spark.read.option("lineSep", "<game").option("recursiveFileLookup", "true").text(path)
-    told = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("body"))
-    told = told.filter(F.lower("path").rlike(names))
-    splits = told.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = splits.select("path", "block", (before - F.col("first")).alias("shift"))
-    placed = told.join(shifts, ["path", "block"]).withColumn("nth", F.col("at") + F.col("shift"))
+    told = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("body"))
+    told = told.filter(F.lower("file").rlike(names)).withColumn("path", F.regexp_extract("file", parts, 1) if parts else F.col("file"))
+    if parts:
+        told = told.filter(F.trim("body") != "")  # what stands before a part's first game
+    splits = told.groupBy("path", "file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = splits.select("file", "block", (before - F.col("first")).alias("shift"))
+    placed = told.join(shifts, ["file", "block"]).withColumn("nth", F.col("at") + F.col("shift"))
     # what stands before the first game is the file's header
     heads = placed.filter("nth = 0").select("path", _system(F.col("body")).alias("system")).withColumn("dat_pos", F.row_number().over(Window.orderBy("path")) - 1)
     return _roms(placed.filter("nth > 0").join(heads, "path").select("system", "dat_pos", (F.col("nth") - 1).alias("game_pos"), "body"))
 
 
+def with_tracks(roms: DataFrame) -> DataFrame:
+    """Roms with track_pos, their number among those of their game that are not cue sheets, which have none."""
+    order = Window.partitionBy("dat_pos", "game_pos").orderBy("rom_pos").rowsBetween(Window.unboundedPreceding, 0)
+    cue = F.lower("name").endswith(".cue")
+    return roms.withColumn("track_pos", F.when(~cue, (F.count_if(~cue).over(order) - 1).cast("int")))
+
+
 def tracks_of(roms: DataFrame) -> DataFrame:
     """Roms that are not cue sheets, numbered again within their game."""
-    order = Window.partitionBy("dat_pos", "game_pos").orderBy("rom_pos")
-    return roms.filter(~F.lower("name").endswith(".cue")).withColumn("track_pos", F.row_number().over(order) - 1)
+    return with_tracks(roms).filter("track_pos is not null")
