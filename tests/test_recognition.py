@@ -176,3 +176,10 @@ def test_lettering_is_learned_in_batches_while_it_is_thin(spark):
     got, asked = glyphs.learned(table(cues, "key"), table(said, "label"), 9, 40, 8)
     assert sorted(map(tuple, asked.collect())) == sorted(read)
     assert {(r["stream"], r["key"], r["label"]): r["n"] for r in got.collect()} == votes
+
+
+def test_taught_votes_are_worked_out_once(spark, small):
+    from platterlens.plans import catalogue
+
+    plan = catalogue.queries()["taught_votes"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
