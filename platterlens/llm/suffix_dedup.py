@@ -29,12 +29,14 @@ read whole, in pieces that overlap by a window.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +44,16 @@ from .common import documents, drop_written, mixed, sliced, written
 
 WIDTH, K = 50, 24
 SPAN = WIDTH - K + 1
+#: Bytes of an entry at most: a suffix, 255, what stands before, and a length.
+ENTRY = WIDTH + SPAN + 1
 #: Bytes of text worked on at once, entries in a run, bytes of text for a bucket, and texts that make a mark common.
-PIECE, RUN, BUCKET_BYTES, HOT = 400_000, 60_000, 6_000_000, 2000
+PIECE, RUN, BUCKET_BYTES, HOT = 60_000, 250_000, 12_000_000, 2000
 #: Marks and texts in a run of marks, and bytes of text for a bucket of marks.
 SEND, NAMES, MARK_BYTES = 500_000, 1_000_000, 12_000_000
 #: Rows of a batch that are worked on at once, which bounds a worker's memory and changes no result.
 ROWS = 1500
+#: Entries of a group up to which each is laid beside each, rather than all their windows in a table; it changes no result.
+FEW = 6
 LOWEST = -(1 << 63)
 _BASE, _SPREAD = 0x9E3779B97F4A7C15, 0x9E3779B97F
 
@@ -70,6 +76,15 @@ def gram_marks(data: np.ndarray, k: int) -> np.ndarray:
     return mixed(out) >> np.uint64(24)
 
 
+def window_marks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """What gram_marks gives for the WIDTH-byte windows at some starts."""
+    powers = np.array([pow(_BASE, WIDTH - 1 - i, 1 << 64) for i in range(WIDTH)], np.uint64)
+    out = np.zeros(len(starts), np.uint64)
+    for i in range(WIDTH):
+        out += (data[starts + i].astype(np.uint64) + np.uint64(1)) * powers[i]
+    return mixed(out) >> np.uint64(24)
+
+
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of texts laid end to end in data: for each anchor its mark, place, first and last window, and text number."""
     nothing = tuple(np.empty(0, np.int64) for _ in range(5))
@@ -155,7 +170,8 @@ def mark_runs(texts: DataFrame, buckets: int) -> DataFrame:
         names: list[int] = []
 
         def told() -> pa.RecordBatch:
-            both = np.unique(np.concatenate([m.astype(np.uint64) << np.uint64(24) | (own + base).astype(np.uint64) for m, own, base in held]))  # NAMES and a slice's rows are fewer than 2 ** 24
+            both = np.sort(np.concatenate([m.astype(np.uint64) << np.uint64(24) | (own + base).astype(np.uint64) for m, own, base in held]))  # NAMES and a slice's rows are fewer than 2 ** 24
+            both = both[np.r_[True, both[1:] != both[:-1]]]  # np.unique would hash, which is several times slower
             hashes = np.array(names, np.int64).tobytes()
             held.clear()
             names.clear()
@@ -361,77 +377,123 @@ def merged(runs: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[int, int
     w = level[0]
     while heads[w] is not None:
         yield w, place[w], shared[w], heads[w]
-        place[w] += 1
-        if place[w] < len(entries[w]):
-            heads[w], shared[w] = entries[w][place[w]], runs[w][0][place[w]]
+        at = place[w] = place[w] + 1
+        if at < len(entries[w]):
+            x, mine = entries[w][at], runs[w][0][at]
         else:
-            heads[w], shared[w] = None, -1
+            x, mine = None, -1
+        heads[w], shared[w] = x, mine
         node = (w + k) // 2
         while node:
-            w, losers[node] = match(w, losers[node])
+            other = losers[node]
+            if shared[other] > mine:
+                losers[node], w = w, other
+                x, mine = heads[w], shared[w]
+            elif shared[other] == mine and x is not None:
+                won, losers[node] = match(w, other)
+                if won != w:
+                    w = won
+                    x, mine = heads[w], shared[w]
             node //= 2
 
 
+def entries_of(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A row of ENTRY bytes, zeros behind it, for each anchor: the suffix from it to the end of its last window, 255, what
+    stands before it from its first window on, reversed, and the suffix's length. That length is no zero, so rows are in the
+    order of the entries, and equal where those are."""
+    out, size, before = np.zeros((len(at), ENTRY), np.uint8), last - at + WIDTH, at - first
+    right = sliding_window_view(np.concatenate([data, np.zeros(WIDTH, np.uint8)]), WIDTH)[at]
+    left = sliding_window_view(np.concatenate([data[::-1], np.zeros(SPAN, np.uint8)]), SPAN - 1)[len(data) - at]
+    left[np.arange(SPAN - 1) >= before[:, None]] = 0
+    for n in np.unique(size).tolist():
+        rows = np.flatnonzero(size == n)
+        out[rows, :n] = right[rows, :n]
+        out[rows, n] = 255
+        out[rows, n + 1 : n + SPAN] = left[rows]
+    out[np.arange(len(at)), size + before + 1] = size
+    return out
+
+
 def write_runs(rows: DataFrame, buckets: int) -> DataFrame:
     """(run_id, bucket, entries, least, refs) of rows (doc_id, h, text, marks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, bytes, int, int, int, int]] = []  # bucket, entry, document number, first window, windows
+        found: list[tuple[np.ndarray, ...]] = []  # bucket, entry, document number, first window, windows
         docs: list[tuple[int, int]] = []
+        size = 0
         for batch in _sliced(batches):
-            for doc_id, h, text, marks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text", "marks"))):
-                text = text.encode() if isinstance(text, str) else text
-                flags = np.sort(np.frombuffer(marks, np.uint64))
-                docs.append((doc_id, h))
-                for data, starts, ends, _, offset in pieces([text]):
-                    mark, at, first, last, own = anchors(data, starts, ends)
-                    place = np.minimum(np.searchsorted(flags, mark * np.uint64(2)), len(flags) - 1)
-                    hit = np.flatnonzero(flags[place] >> np.uint64(1) == mark)
-                    to, common = _bucket(mark[hit], buckets).tolist(), (flags[place[hit]] & np.uint64(1)).tolist()
-                    body, shift = data.tobytes(), offset[own[hit]].tolist()
-                    for b, hot, a, f, z, o in zip(to, common, at[hit].tolist(), first[hit].tolist(), last[hit].tolist(), shift):
-                        if not hot:
-                            right = body[a : z + WIDTH]
-                            found.append((b, right + b"\xff" + body[f:a][::-1] + bytes((len(right),)), len(docs) - 1, f + o, z - f + 1))
-                        else:
-                            for s in range(f, z + 1):
-                                window = body[s : s + WIDTH]
-                                found.append((xxhash.xxh3_64_intdigest(window) % buckets, window + b"\xff" + bytes((WIDTH,)), len(docs) - 1, s + o, 1))
-                        if len(found) >= RUN:  # within a text too, whose rest begins another run
-                            yield packed(found, docs)
-                            found, docs = [], [(doc_id, h)]
+            ids, hashes, own_marks = (batch.column(c).to_pylist() for c in ("doc_id", "h", "marks"))
+            for data, starts, ends, number, offset in pieces(batch.column("text").cast(pa.binary()).to_pylist()):
+                mark, at, first, last, own = anchors(data, starts, ends)
+                flags = [np.frombuffer(own_marks[i], np.uint64) for i in number.tolist()]
+                # flags of a piece's texts one after the other; a mark is looked for among those of its text
+                text = np.repeat(np.arange(len(flags), dtype=np.uint64), [len(x) for x in flags]) << np.uint64(41)
+                known = np.sort(np.concatenate([*flags, np.empty(0, np.uint64)]) | text)
+                asked = (own.astype(np.uint64) << np.uint64(41)) | (mark * np.uint64(2))
+                place = np.minimum(np.searchsorted(known, asked), max(len(known) - 1, 0))
+                hit = np.flatnonzero(known[place] >> np.uint64(1) == asked >> np.uint64(1)) if len(known) else place[:0]
+                common = (known[place[hit]] & np.uint64(1)).astype(bool)
+                hot, hit = hit[common], hit[~common]
+                # a common mark's windows go one by one, as suffixes of their own
+                many = last[hot] - first[hot] + 1
+                each = np.repeat(first[hot] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                to = _bucket(mark[hit], buckets)
+                if len(each):
+                    to = np.concatenate([to, _bucket(window_marks(data, each), buckets)])
+                at, f, z = (np.concatenate([x, each]) for x in (at[hit], first[hit], last[hit]))
+                part = np.concatenate([own[hit], np.repeat(own[hot], many)])
+                done, shift = 0, (offset - starts)[part]
+                numbers = len(docs) + number - (number[0] if len(number) else 0)
+                docs += [(ids[i], hashes[i]) for i in range(number[0], number[-1] + 1)]
+                while done < len(at):
+                    now = slice(done, done + RUN - size)
+                    found.append((to[now], entries_of(data, at[now], f[now], z[now]), numbers[part[now]], (f + shift)[now], (z - f + 1)[now]))
+                    size += len(found[-1][0])
+                    done += len(found[-1][0])
+                    if size >= RUN:  # within a text too, whose rest begins another run
+                        yield packed(found, docs)
+                        # what is left of this piece is numbered anew
+                        numbers = numbers - numbers[0]
+                        found, docs, size = [], docs[len(docs) - (number[-1] - number[0] + 1) :], 0
         if found:
             yield packed(found, docs)
 
     def packed(found: list, docs: list) -> pa.RecordBatch:
         press = zstandard.ZstdCompressor(level=3)
-        found.sort()
-        name = xxhash.xxh3_64_intdigest(repr((docs[0], docs[-1], len(docs), len(found), found[0], found[-1])).encode()) >> 1
-        out, at = [], 0
-        while at < len(found):
-            end, bucket = at, found[at][0]
-            entries, times, numbers, windows, counts = [], [], [], [], []
-            while end < len(found) and found[end][0] == bucket:
-                _, entry, number, window, count = found[end]
-                if entries and entries[-1] == entry:
-                    times[-1] += 1
-                else:
-                    entries.append(entry)
-                    times.append(1)
-                    counts.append(count)
-                numbers.append(number)
-                windows.append(window)
-                end += 1
-            names, index = np.unique(np.array(numbers, np.int64), return_inverse=True)
-            ids = np.array([docs[i][0] for i in names], np.int64)
-            first = np.r_[0, np.cumsum(times)[:-1]]
-            least = np.minimum.reduceat(ids[index], first)
+        to, entries, number, window, count = (np.concatenate(x) for x in zip(*found))
+        found.clear()
+        order = np.argsort(entries.view(f"S{ENTRY}").ravel(), kind="stable")
+        order = order[np.argsort(to[order], kind="stable")]
+        to, entries, number, window, count = to[order], entries[order], number[order], window[order], count[order]
+        name = xxhash.xxh3_64_intdigest(repr((docs[0], docs[-1], len(docs))).encode() + entries.tobytes() + number.tobytes() + window.tobytes()) >> 1
+        # equal entries of a bucket are one
+        same = np.zeros((len(entries), ENTRY + 1), bool)
+        np.equal(entries[1:], entries[:-1], out=same[1:, :-1])
+        shared = same.argmin(axis=1)
+        new = np.r_[True, to[1:] != to[:-1]]
+        first = np.flatnonzero(new | (shared < ENTRY))
+        shared = np.where(new, 0, shared)[first]
+        times, counts, entries, of = np.diff(np.r_[first, len(to)]), count[first], entries[first], to[first]
+        long = ENTRY - (entries[:, ::-1] != 0).argmax(axis=1)
+        shared = np.minimum(shared, np.minimum(long, np.r_[0, long[:-1]]))
+        places = np.arange(ENTRY)
+        rests = entries[(places >= shared[:, None]) & (places < long[:, None])].tobytes()
+        ends = np.r_[0, np.cumsum(long - shared)]
+        shared, rest = shared.astype(np.uint8), (long - shared).astype(np.uint8)
+        docs_ids, docs_h = np.array([d for d, _ in docs], np.int64), np.array([h for _, h in docs], np.int64)
+        least = np.minimum.reduceat(docs_ids[number], first)
+        cuts = [*np.flatnonzero(np.r_[True, of[1:] != of[:-1]]).tolist(), len(of)]
+        first = [*first.tolist(), len(to)]
+        out = []
+        for a, b in zip(cuts, cuts[1:]):
+            rows = slice(first[a], first[b])
+            names, index = np.unique(number[rows], return_inverse=True)
             refs = (
-                np.array([len(names), len(times), len(index)], np.int64).tobytes() + ids.tobytes() + np.array([docs[i][1] for i in names], np.int64).tobytes()
-                + np.array(times, np.uint32).tobytes() + np.array(counts, np.uint32).tobytes() + index.astype(np.uint32).tobytes() + np.array(windows, np.uint64).tobytes()
+                np.array([len(names), b - a, len(index)], np.int64).tobytes() + docs_ids[names].tobytes() + docs_h[names].tobytes()
+                + times[a:b].astype(np.uint32).tobytes() + counts[a:b].astype(np.uint32).tobytes() + index.astype(np.uint32).tobytes() + window[rows].astype(np.uint64).tobytes()
             )
-            out.append((name, bucket, press.compress(front_coded(entries)), press.compress(least.tobytes()), press.compress(refs)))
-            at = end
+            coded = np.array([b - a], np.int64).tobytes() + shared[a:b].tobytes() + rest[a:b].tobytes() + rests[ends[a] : ends[b]]
+            out.append((name, int(of[a]), press.compress(coded), press.compress(least[a:b].tobytes()), press.compress(refs)))
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["run_id", "bucket", "entries", "least", "refs"])
 
     return written(rows.mapInArrow(run, "run_id long, bucket int, entries binary, least binary, refs binary"), "runs")
@@ -443,6 +505,46 @@ def _windows(entry: bytes) -> list[bytes]:
     return [whole[i : i + WIDTH] for i in range(len(whole) - WIDTH + 1)]
 
 
+def _lengths(docs: Iterable[int]) -> tuple[list[int], list[int]]:
+    size, doc = [], []
+    for low in docs:
+        if doc and doc[-1] == low:
+            size[-1] += 1
+        else:
+            size.append(1)
+            doc.append(low)
+    return size, doc
+
+
+def _nearer(group: list, lows: list[int], j: int) -> tuple[list[int], list[int]]:
+    """The smallest document of each window of entry j of a group, as run lengths, by what it has in common with the others.
+    A window that begins l bytes before the anchor is another entry's too if l bytes before it and WIDTH - l from it on are."""
+    entry, low = group[j][0], lows[j]
+    n = entry[-1]
+    left, before = entry[n + 1 : -1], len(entry) - n - 2
+    found = []
+    for step in (-1, 1):
+        common, at = n, j + step
+        while 0 <= at < len(group):
+            common = min(common, group[at + 1 if step < 0 else at][2])
+            if lows[at] < low:
+                other = group[at][0]
+                m = other[-1]
+                there = other[m + 1 : -1]
+                most = min(before, len(there))
+                if left[:most] != there[:most]:
+                    most = next(i for i in range(most) if left[i] != there[i])
+                if most >= WIDTH - common:
+                    found.append((lows[at], before - most, before - WIDTH + common + 1))
+            at += step
+    if not found:
+        return [255], [low]
+    docs = [low] * (before + n - WIDTH + 1)
+    for told, a, b in sorted(found, reverse=True):
+        docs[a:b] = [told] * (b - a)
+    return _lengths(docs)
+
+
 def merge_runs(runs: DataFrame) -> DataFrame:
     """(run_id, bucket, answer): for each entry of the run the smallest document of each of its windows, as run lengths."""
 
@@ -450,56 +552,48 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         rows.sort(key=lambda r: r[0])
         unpress, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         least = [np.frombuffer(unpress.decompress(r[3]), np.int64).tolist() for r in rows]
-        answers: list[tuple[list, list, list]] = [([], [], []) for _ in rows]
+        answers = [(array("B"), array("B"), array("q")) for _ in rows]
+
+        def tell(members: list, size: list, doc: list) -> None:
+            for r, _ in members:
+                times, sizes, docs = answers[r]
+                times.append(len(size))
+                sizes.extend(size)
+                docs.extend(doc)
 
         def settle(group: list) -> None:
-            """group: entries that share an anchor, each with its members (run, place)."""
-            if len(group) == 1:
-                entry, members = group[0]
-                low = min([least[r][i] for r, i in members])
-                for r, _ in members:
-                    times, sizes, docs = answers[r]
-                    times.append(1)
-                    sizes.append(255)
-                    docs.append(low)
+            """group: entries that share an anchor, each with its members (run, place) and what it shares with the one before."""
+            lows = [min([least[r][i] for r, i in members]) for _, members, _ in group]
+            if len(group) <= FEW:
+                for j, (entry, members, _) in enumerate(group):
+                    tell(members, *(([255], [lows[j]]) if lows[j] == min(lows) else _nearer(group, lows, j)))
                 return
             smallest: dict[bytes, int] = {}
             known = []
-            for entry, members in group:
-                low, own = min([least[r][i] for r, i in members]), _windows(entry)
+            for low, (entry, _, _) in zip(lows, group):
+                own = _windows(entry)
                 known.append(own)
                 for x in own:
                     old = smallest.get(x)
                     if old is None or low < old:
                         smallest[x] = low
-            for (entry, members), own in zip(group, known):
-                size, doc = [], []
-                for low in map(smallest.__getitem__, own):
-                    if doc and doc[-1] == low:
-                        size[-1] += 1
-                    else:
-                        size.append(1)
-                        doc.append(low)
-                for r, _ in members:
-                    times, sizes, docs = answers[r]
-                    times.append(len(size))
-                    sizes += size
-                    docs += doc
+            for (_, members, _), own in zip(group, known):
+                tell(members, *_lengths(map(smallest.__getitem__, own)))
 
         group: list = []
         for r, i, shared, entry in merged([unpacked(unpress.decompress(x[2])) for x in rows]):
             if group and shared >= len(entry) and len(entry) == len(group[-1][0]):
                 group[-1][1].append((r, i))
             elif group and shared >= K:
-                group.append((entry, [(r, i)]))
+                group.append((entry, [(r, i)], shared))
             else:
                 if group:
                     settle(group)
-                group = [(entry, [(r, i)])]
+                group = [(entry, [(r, i)], 0)]
         if group:
             settle(group)
-        body = [np.array([len(t), len(s)], np.int64).tobytes() + np.array(t, np.uint8).tobytes() + np.array(s, np.uint8).tobytes() + np.array(d, np.int64).tobytes() for t, s, d in answers]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([press.compress(b) for b in body], pa.binary())], ["run_id", "bucket", "answer"])
+        body = [press.compress(np.array([len(t), len(s)], np.int64).tobytes() + t.tobytes() + s.tobytes() + d.tobytes()) for t, s, d in answers]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(body, pa.binary())], ["run_id", "bucket", "answer"])
 
     def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _each_bucket(batches, ("run_id", "bucket_no", "entries", "least"), work)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import zstandard
 from edge import awkward, documents
 
 from pyspark.sql import functions as F
@@ -77,6 +78,29 @@ def test_a_long_text_of_common_marks_makes_many_runs(spark, monkeypatch):
     assert runs.select("run_id").distinct().count() > 10
 
 
+def test_runs_hold_many_entries(spark):
+    """Rows of runs are runs times buckets, so runs of few entries make them grow with the square of the input."""
+    draw = random.Random(5)
+    text = " ".join(f"{draw.randrange(10**6)}" for _ in range(200_000))
+    texts = documents(spark, [(1, text, "en", "a"), (2, text + " and more", "en", "a")]).select("doc_id", "text").withColumn("h", F.xxhash64("text"))
+    asked = suffix_dedup.mark_runs(texts, 16)
+    marks = suffix_dedup.flagged_marks(asked, suffix_dedup.mark_answers(asked))
+    runs = suffix_dedup.write_runs(texts.join(marks, "h").select("doc_id", "h", "text", "marks").coalesce(1), 16).collect()
+    entries = sum(len(suffix_dedup.unpacked(zstandard.ZstdDecompressor().decompress(bytes(r["entries"])))[1]) for r in runs)
+    assert entries > 90_000 and len(runs) <= 16 * 2
+
+
+def test_near_contexts_of_an_anchor(spark, monkeypatch):
+    """Entries of a group, laid beside one another or looked up window by window, give what brute force gives."""
+    draw = random.Random(8)
+    core = "the anchor of all of these lies somewhere within this passage of text"
+    rows = [(draw.randrange(10**6), "".join(draw.choice("xy") for _ in range(60)) + core[: draw.randrange(55, 70)] + "".join(draw.choice("xy") for _ in range(9)), "en", "a") for _ in range(14)]
+    texts = [(i, t[draw.randrange(55, 62) :] if k % 3 else t, *rest) for k, (i, t, *rest) in enumerate(rows)]
+    for few in (1, 50):
+        monkeypatch.setattr(suffix_dedup, "FEW", few)
+        same(spark, texts + rows[:4])
+
+
 def test_texts_without_marks_are_no_burden(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "NAMES", 5)
     same(spark, [(i, "short" * (i % 4), "en", "a") for i in range(40)] + awkward())
