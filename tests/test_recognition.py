@@ -183,3 +183,21 @@ def test_taught_votes_are_worked_out_once(spark, small):
 
     plan = catalogue.queries()["taught_votes"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan
+
+
+def test_learning_reads_shapes_once_and_then_once_a_round(spark):
+    from platterlens.operators import glyphs
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(key):
+        read.add(1)
+        return key
+
+    seen = [("x", c, i, (c * 3 + i) % 11) for c in range(40) for i in range(3)]
+    shapes = spark.createDataFrame(seen, "stream string, cue int, pos int, code int").withColumn("key", F.udf(counted, "int")("code"))
+    said = spark.createDataFrame([(s, c, i, "abcdefghijk"[k]) for s, c, i, k in seen], "stream string, cue int, pos int, label string")
+    votes, asked = glyphs.learned(shapes.drop("code"), said, 6, 40, 6)
+    rounds = asked.select("batch_no").distinct().count()
+    assert rounds > 3 and votes.agg(F.sum("n")).first()[0] == 3 * asked.count()
+    assert read.value <= len(seen) * (1 + rounds)
