@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import SLIVER, TOLERANCE
+from ..shared import kept
 from .voting import densest_cluster
 
 #: Milliseconds: what an episode lasts.
@@ -22,7 +23,7 @@ def _peeled(chapters: list[int], parts: list[tuple[str, list[int]]], own: str) -
     order, at = [], 0
     while True:
         for key, want in parts:
-            if key != own and key not in order and at + len(want) <= len(chapters) and all(abs(a - b) <= TOLERANCE for a, b in zip(chapters[at:], want)):
+            if at < len(chapters) and abs(chapters[at] - want[0]) <= TOLERANCE and key != own and key not in order and at + len(want) <= len(chapters) and all(abs(a - b) <= TOLERANCE for a, b in zip(chapters[at:], want)):
                 order.append(key)
                 at += len(want)
                 break
@@ -76,7 +77,8 @@ def episodes_by_duration(titles: DataFrame) -> DataFrame:
 
 
 def organise(titles: DataFrame) -> DataFrame:
-    """decompose, and for discs without a play-all the episodes of the house length."""
+    """decompose, and for discs without a play-all the episodes of the house length. Titles are written once, since both read them."""
+    titles = kept(titles, "titles")
     found = decompose(titles).withColumn("__told", F.bool_or(F.col("role") == "play_all").over(Window.partitionBy("disc_id")))
     by_length = episodes_by_duration(titles).select("disc_id", "key", F.col("title_pos").alias("__at"))
     both = found.join(by_length, ["disc_id", "key"], "left").withColumn("__at", F.when(~F.col("__told"), F.col("__at")))

@@ -192,10 +192,10 @@ def decompose_playall(spark: SparkSession, sf_dir: str) -> DataFrame:
     chapters = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "l_quantity"))), lambda x: (x.l_quantity * 10_000 + 200_000).cast("long")).alias("chapters"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("disc_id"), "o_orderkey").join(chapters, F.col("o_orderkey") == F.col("l_orderkey"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    single = orders.select("disc_id", F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderkey").alias("title_pos"), "chapters")
-    on_end = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("title_pos", "chapters"))), lambda x: x.chapters))
-    whole = single.groupBy("disc_id").agg(on_end.alias("chapters")).select("disc_id", F.lit("all").alias("key"), F.lit(-1).cast("long").alias("title_pos"), "chapters")
-    titles = single.unionByName(whole).withColumn("duration_ms", total(F.col("chapters")))
+    # a disc's own titles give the one of all of them, so lines are laid out once
+    single = orders.groupBy("disc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("title_pos"), F.col("o_orderkey").cast("string").alias("key"), "chapters"))).alias("singles"))
+    whole = F.struct(F.lit(-1).cast("long").alias("title_pos"), F.lit("all").alias("key"), F.flatten(F.transform("singles", lambda x: x.chapters)).alias("chapters"))
+    titles = single.select("disc_id", F.explode(F.concat(F.array(whole), "singles")).alias("t")).select("disc_id", "t.*").withColumn("duration_ms", total(F.col("chapters")))
     return structure.organise(titles)
 
 

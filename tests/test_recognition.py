@@ -201,3 +201,18 @@ def test_learning_reads_shapes_once_and_then_once_a_round(spark):
     rounds = asked.select("batch_no").distinct().count()
     assert rounds > 3 and votes.agg(F.sum("n")).first()[0] == 3 * asked.count()
     assert read.value <= len(seen) * (1 + rounds)
+
+
+def test_titles_are_made_once_for_both_readings(spark):
+    from platterlens.operators import structure
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(ms):
+        made.add(1)
+        return ms
+
+    rows = [(f"d{d}", f"t{t}", t, 1_200_000 + 1000 * t, [300_000 + t, 900_000]) for d in range(5) for t in range(4)]
+    titles = spark.createDataFrame(rows, "disc_id string, key string, title_pos int, ms long, chapters array<long>").withColumn("duration_ms", F.udf(counted, "long")("ms")).drop("ms")
+    assert structure.organise(titles).filter("role = 'episode'").count() == len(rows)
+    assert made.value == len(rows)
