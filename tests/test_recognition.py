@@ -216,3 +216,16 @@ def test_titles_are_made_once_for_both_readings(spark):
     titles = spark.createDataFrame(rows, "disc_id string, key string, title_pos int, ms long, chapters array<long>").withColumn("duration_ms", F.udf(counted, "long")("ms")).drop("ms")
     assert structure.organise(titles).filter("role = 'episode'").count() == len(rows)
     assert made.value == len(rows)
+
+
+def test_patterns_are_never_broadcast(spark):
+    """However well patterns compress, only tables of titles and of crowded buckets go through the driver."""
+    import re
+
+    k = F.col("id")
+    frames = spark.range(4000).select((F.floor(k / 1200) + k % 2).cast("string").alias("title"), k.alias("frame_pos"), (k % 400 * 7919).alias("hi"), (k % 300 * 104729).alias("lo"))
+    found = matching.similar_frames(frames, 7)
+    assert len(found.collect()) > 0
+    told = spark.sparkContext._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted").split("== Initial Plan ==")[0]
+    sizes = [int(float(n)) for n in re.findall(r"BroadcastQueryStage .*rowCount=([0-9.E+]+)", told)]
+    assert sizes and max(sizes) <= 25
